@@ -47,4 +47,4 @@ def spread(df: DataFrame) -> DataFrame:
     cores = spark.sparkContext.defaultParallelism
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores * 2) if int(size.toString()) < cores * split else df
+    return df.repartition(cores * 2) if int(str(size)) < cores * split else df
