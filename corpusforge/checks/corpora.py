@@ -7,7 +7,7 @@ unique, so a file never holds more than 16 blocks whatever the data.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.session import spread
+from corpusforge.session import shuffle_partitions, spread
 
 
 def text(*parts) -> str:
@@ -151,7 +151,8 @@ def _grouped(spark, sf_dir, keep, bonus, row_block, columns) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(
         "p_partkey", "p_name", "p_brand", "p_type", "p_size", f"{MODULE} as m", f"({keep}) as keep", f"{bonus} as bonus")
     body = F.expr("listagg(b, chr(10)) within group (order by p_partkey) filter (where keep)")
-    return _columns(rows.withColumn("b", F.expr(row_block)).groupBy("m").agg(body.alias("body")), columns)
+    keyed = rows.withColumn("b", F.expr(row_block)).repartition(shuffle_partitions(spark), "m")
+    return _columns(keyed.groupBy("m").agg(body.alias("body")), columns)
 
 
 def modules(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:

@@ -121,19 +121,19 @@ def _fenced() -> str:
 def _ingest() -> str:
     cut = ("case when starts_with(x, chr(123)) then x when position(chr(123) in x) > 0 then case when length(x) - position(chr(125) in reverse(x)) + 1 > position(chr(123) in x) "
            "and contains(x, chr(125)) then substr(x, position(chr(123) in x), length(x) - position(chr(125) in reverse(x)) + 1 - position(chr(123) in x) + 1) else x end end")
-    usable = "(js is not null and json_valid(js) and json_type(js) = 'OBJECT')"
+    usable = "(case when json_valid(js) then json_type(js) = 'OBJECT' else false end)"
 
     def absent(key):
-        return f"(json_extract(js, '$.{key}') is null)::int"
+        return f"(json_extract(case when json_valid(js) then js end, '$.{key}') is null)::int"
 
     count = " + ".join(absent(k) for k in fv.RESPONSE_KEYS)
     method = (f"case when {t.blank('r.content')} then {lit(fv.METHOD_BLANK)} when {usable} then 'semantic-llm' "
               f"else 'semantic-llm-failed, fallback to ' || m.method end")
     return statement(
         f"select r.corpus_id, r.path, case when {usable} then {count} else 0 end as n_missing_keys, {usable} as usable, "
-        f"case when {usable} then coalesce(json_extract_string(js, '$.file_path'), r.path) end as file_path, "
-        f"case when {usable} then coalesce(json_extract_string(js, '$.overall_purpose'), '') end as purpose, "
-        f"case when {usable} then '[]' end as imports, case when {usable} then coalesce(json_extract(js, '$.key_components.configuration')::varchar, '') end as configuration, "
+        f"case when {usable} then coalesce(json_extract_string(case when json_valid(js) then js end, '$.file_path'), r.path) end as file_path, "
+        f"case when {usable} then coalesce(json_extract_string(case when json_valid(js) then js end, '$.overall_purpose'), '') end as purpose, "
+        f"case when {usable} then '[]' end as imports, case when {usable} then coalesce(json_extract(case when json_valid(js) then js end, '$.key_components.configuration')::varchar, '') end as configuration, "
         f"{method} as method from (select *, {cut} as js from fenced) r join shown m using (corpus_id, path)",
         "docs", fenced=f"select corpus_id, path, content, {_fenced()} as x from ({select(q.RESPONSES)})", **level_ctes("docs", "aggressive"))
 
@@ -286,14 +286,16 @@ def _importance() -> str:
 _RANK = "partition by corpus_id order by importance_score desc, path"
 
 
+def _nested(ctes: dict[str, str], body: str) -> str:
+    """A parenthesised statement of its own, so that CTE names may repeat elsewhere."""
+    return f"(with {', '.join(f'{n} as ({s})' for n, s in ctes.items())} {body})"
+
+
 def _budget_levels() -> str:
     levels = ("light", "medium", "aggressive")
-    text = {"light": t.light("content"), "medium": t.medium("content", "file_type"),
-            "aggressive": f"coalesce({t.signatures('content', 'file_type')}, {t.regex_medium('content', 'file_type')})"}
-    ctes = {"prose": PROSE, **typed("prose"),
-            "r": f"select corpus_id, path, file_type, {', '.join(f'{text[n]} as r_{n}' for n in levels)} from typed",
-            "c": f"select *, {', '.join(t.cleaned(f'r_{n}', 'file_type') + f' as c_{n}' for n in levels)} from r",
-            "tk": f"select corpus_id, path, {_importance()} as importance_score, {', '.join(t.tokens(f'c_{n}', f'r_{n}', 'file_type') + f' as {n}' for n in levels)} from c",
+    each = [_nested(level_ctes("prose", n), f"select corpus_id, path, tokens as {n} from shown") for n in levels]
+    ctes = {"prose": PROSE,
+            "tk": f"select *, {_importance()} as importance_score from {each[0]} join {each[1]} using (corpus_id, path) join {each[2]} using (corpus_id, path)",
             "chosen": f"select corpus_id, case when sum(light) <= {q.BUDGET} then 'light' when sum(medium) <= {q.BUDGET} then 'medium' else 'aggressive' end as level from tk group by corpus_id",
             "leveled": "select *, case level when 'light' then light when 'medium' then medium else aggressive end as tokens from tk join chosen using (corpus_id)",
             "summed": f"select *, row_number() over ({_RANK}) as priority_rank, cast(sum(tokens) over ({_RANK}) as bigint) as running_tokens from leveled"}
@@ -301,6 +303,28 @@ def _budget_levels() -> str:
                      "docs", "sites", **ctes)
 
 
+def _applied_ctes() -> dict[str, str]:
+    """Edits one after the other: a recursive walk over each script's instructions."""
+    opens = starts(t.lstrip("x"), fv.DEFINITION_STARTS)
+    empty = "cast([] as varchar[])"
+    body = f"case when {strip('replace_with')} <> '' then {splitlines('replace_with')} else {empty} end"
+    find, until = strip("find_method"), strip("until_exclude")
+    gap = f"case when len(ls) > 0 and {strip('ls[len(ls)]')} <> '' then [''] else {empty} end"
+    step = "select s.corpus_id, s.path, s.k + 1 as k, s.ls, s.applied, e.find_method, e.until_exclude, e.replace_with from walk s join edits e on e.script_id = concat_ws(':', s.corpus_id, s.path) and e.seq = s.k + 1"
+    found = f"select *, list_position({t.each('ls', 'contains(' + strip('x') + ', ' + find + ')')}, true) as hit from ({step})"
+    marks = f"array_to_string(list_transform(list_reverse(list_slice(ls, 1, hit - 1)), lambda x: case when starts_with({strip('x')}, '@') then 'D' when {strip('x')} = '' or starts_with({strip('x')}, '#') then 'S' else 'X' end), '')"
+    begun = f"select *, hit - length(regexp_extract({marks}, '^[DS]*D')) as beg from ({found})"
+    rested = f"select *, list_slice(ls, beg + 1, len(ls)) as rest, length(ls[beg]) - length({t.lstrip('ls[beg]')}) as lim from ({begun})"
+    stop = (f"select *, case when {until} <> '' then list_position({t.each('rest', 'contains(' + strip('x') + ', ' + until + ')')}, true) else "
+            f"list_position({t.each('rest', opens + ' and length(x) - length(' + t.lstrip('x') + ') <= lim')}, true) end as stop from ({rested})")
+    after = (f"case when {find} = '' then case when {strip('replace_with')} <> '' then list_concat(list_concat(ls, {gap}), {body}) else ls end "
+             f"when hit > 0 then list_concat(list_concat(list_slice(ls, 1, beg - 1), {body}), case when stop > 0 then list_slice(rest, stop, len(rest)) else {empty} end) else ls end")
+    return {**edit_ctes(),
+            "walk": f"select corpus_id, path, cast(0 as bigint) as k, {splitlines('content')} as ls, 0 as applied from mods_old union all "
+                    f"select corpus_id, path, k, {after}, applied + case when {find} = '' or hit > 0 then 1 else 0 end from ({stop})",
+            "walked": "select corpus_id, path, k as n_instructions, ls, applied from (select *, row_number() over (partition by corpus_id, path order by k desc) as r from walk) where r = 1 and k > 0"}
+
+
 def _audit_documents() -> str:
     """By JSON functions over the document text; arrays of entries are unnested."""
     keys = " union all ".join(f"select {i} as k, 'missing {name}' as violation, '{name}' as name" for i, name in enumerate(fv.REQUIRED_ENTRY_KEYS))
@@ -408,6 +432,10 @@ ORACLES = {
         "left join heads h on h.corpus_id = c.corpus_id and h.path = c.path and h.line_no > c.end_line group by all",
         "mods_old", **ss.statement_ctes("mods_old", "st"), **ss.definition_ctes("mods_old", "st"), heads=_heads("mods_old")),
     "generate_edits": statement("select script_id, seq, file, find_method, until_exclude, sha256(replace_with) as replace_sha from edits", "mods_old", "mods_new", **edit_ctes()),
+    "apply_edits": statement(f"select concat_ws(':', corpus_id, path) as script_id, path as file, sha256({_file_text('ls')}) as content_sha, n_instructions, applied from walked",
+                             "mods_old", "mods_new", **_applied_ctes()).replace("with ", "with recursive ", 1),
+    "apply_report": statement("select concat_ws(':', corpus_id, path) as script_id, n_instructions, applied, applied > 0 as success from walked",
+                              "mods_old", "mods_new", **_applied_ctes()).replace("with ", "with recursive ", 1),
     "apply_preamble": _preamble(), "apply_append": _append(), "apply_replace": _replace(),
     "archive_totals": statement(f"select archive_id, {_TOTALS} from entries group by archive_id", "docs", "sites", **_entries()),
     "corpus_stats": statement(

@@ -101,12 +101,7 @@ def regex_generic(spark, sf):
 
 def summary(spark, sf):
     """Totals by level and file type over every corpus: the flagship."""
-    source = c.files(spark, sf)
-    parts = [reduce.reduce_corpus(source, level) for level in ("none", "light", "medium", "aggressive")]
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    return stats.compression_summary(rows)
+    return stats.compression_summary(reduce.reduce_levels(c.files(spark, sf), ["none", "light", "medium", "aggressive"]))
 
 
 def dedupe(spark, sf):
@@ -316,17 +311,9 @@ def report(spark, sf):
     return edits.apply_report(*_applied(spark, sf))
 
 
-def _budget_levels(spark, sf):
-    source = reduce.typed(_prose(spark, sf))
-    content, kind = F.col("content"), F.col("file_type")
-    for level, reduced in (("light", reduce.light(content)), ("medium", reduce.medium(content, kind)),
-                           ("aggressive", reduce.aggressive(content, kind))):
-        source = tokens.add_tokens(source.withColumn("_r", reduced), "_r", out=f"tokens_{level}").drop("_r")
-    return source.select(*K, "tokens_light", "tokens_medium", "tokens_aggressive")
-
-
 def budget_level(spark, sf):
-    return budget.budget_level(_budget_levels(spark, sf), BUDGET, slices=4)
+    reduced = reduce.reduce_levels(_prose(spark, sf), budget.LEVELS_WEAK_TO_STRONG)
+    return budget.budget_level(budget.level_tokens(reduced), BUDGET, slices=4)
 
 
 def prompts(spark, sf):

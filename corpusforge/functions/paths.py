@@ -31,13 +31,10 @@ def has_extension(path: Column, extensions: list[str] | None) -> Column:
 
 
 def file_type(path: Column) -> Column:
-    pairs = [F.lit(x) for kv in fv.FILE_TYPES.items() for x in kv]
-    name = F.lower(basename(path))
-    by_suffix = F.try_element_at(F.create_map(*pairs), suffix(path))
-    result = F
-    for whole, kind in fv.FILE_TYPES_BY_NAME.items():
-        result = result.when(name == whole, kind)
-    return result.otherwise(F.coalesce(by_suffix, F.lit(fv.DEFAULT_FILE_TYPE)))
+    table = {**fv.FILE_TYPES, **{"/" + name: kind for name, kind in fv.FILE_TYPES_BY_NAME.items()}}
+    types = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in table.items())), F.lit(","), F.lit(":"))
+    whole = F.concat(F.lit("/"), F.lower(basename(path)))
+    return F.coalesce(F.try_element_at(types, whole), F.try_element_at(types, suffix(path)), F.lit(fv.DEFAULT_FILE_TYPE))
 
 
 def normalise(path: Column) -> Column:

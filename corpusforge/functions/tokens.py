@@ -15,7 +15,7 @@ def clean(text: Column, file_type: Column) -> Column:
         return ~head.startswith("#") | head.startswith("#!")
 
     kept = F.when(file_type == "python", join_lines(F.filter(newline_split(text), is_code))).otherwise(text)
-    spaced = F.regexp_replace(kept, "[ \t]+", " ")
+    spaced = F.regexp_replace(kept, "[ \t]{2,}|\t", " ")
     return strip(F.regexp_replace(spaced, f"\n[{SPACE}]*\n[{SPACE}]*\n", "\n\n"))
 
 
@@ -34,10 +34,9 @@ def keyword_count(cleaned: Column, file_type: Column) -> Column:
 
 
 def _by_type(file_type: Column, index: int, markdown: float, default: float) -> Column:
-    value = F.when(file_type == "markdown", F.lit(markdown))
-    for kind, config in fv.TOKEN_WORDS.items():
-        value = value.when(file_type == kind, F.lit(config[index]))
-    return value.otherwise(F.lit(default))
+    values = {"markdown": markdown, **{kind: config[index] for kind, config in fv.TOKEN_WORDS.items()}}
+    table = F.str_to_map(F.lit(",".join(f"{k}:{v}" for k, v in values.items())), F.lit(","), F.lit(":"))
+    return F.coalesce(F.try_element_at(table, file_type), F.lit(str(default))).cast("double")
 
 
 def add_tokens(df: DataFrame, text: str, file_type: str = "file_type", out: str = "tokens") -> DataFrame:
@@ -50,7 +49,7 @@ def add_tokens(df: DataFrame, text: str, file_type: str = "file_type", out: str
     weight = _by_type(kind, 1, fv.MARKDOWN_WEIGHT, fv.DEFAULT_WEIGHT)
     value = F.floor(F.length(cleaned) / ratio + keyword_count(cleaned, kind) * weight).cast("bigint")
     tokens = F.when(F.col(text) == "", F.lit(0)).otherwise(F.greatest(F.lit(1), value)).cast("bigint")
-    return df.withColumn("_cleaned", clean(F.col(text), kind)).withColumn(out, tokens).drop("_cleaned")
+    return df.select("*", clean(F.col(text), kind).alias("_cleaned")).withColumn(out, tokens).drop("_cleaned")
 
 
 def crude(text: Column) -> Column:

@@ -44,6 +44,12 @@ def budget_fit(files: DataFrame, budget: int, tokens: str = "tokens", slices: in
     return rows.filter(fits)
 
 
+def level_tokens(reduced: DataFrame) -> DataFrame:
+    """Rows of ``reduce.reduce_levels`` to one row per file with the tokens of each level side by side."""
+    return reduced.groupBy("corpus_id", "path").agg(*[
+        F.max(F.when(F.col("level") == level, F.col("tokens"))).alias(f"tokens_{level}") for level in LEVELS_WEAK_TO_STRONG])
+
+
 def budget_level(files: DataFrame, budget: int, slices: int | None = None) -> DataFrame:
     """Per corpus, the weakest level at which all files fit the budget, else the strongest; then the budget prefix.
 

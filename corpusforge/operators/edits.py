@@ -32,17 +32,25 @@ def _indent(line: Column) -> Column:
 
 def apply_preamble(lines: Column, until: Column, body: Column) -> Column:
     """Replace all before the line holding ``until`` (without it: before the first definition)."""
-    hit = F.when(until != "", _first(lines, lambda line: strip(line).contains(until))).otherwise(
-        _first(lines, _opens_definition))
-    return bind(hit, lambda at: F.concat(splitlines(body), F.when(at > 0, _tail(lines, at)).otherwise(
-        F.array().cast(_EMPTY))))
+
+    def replaced(kept):
+        hit = F.when(until != "", _first(kept, lambda line: strip(line).contains(until))).otherwise(
+            _first(kept, _opens_definition))
+        return bind(hit, lambda at: F.concat(splitlines(body), F.when(at > 0, _tail(kept, at)).otherwise(
+            F.array().cast(_EMPTY))))
+
+    return bind(lines, replaced)
 
 
 def apply_append(lines: Column, body: Column) -> Column:
     """Add a non-blank body at the end, after a blank line unless there is one."""
-    gap = F.when((F.size(lines) > 0) & (strip(F.try_element_at(lines, F.lit(-1))) != ""), F.array(F.lit(""))) \
-        .otherwise(F.array().cast(_EMPTY))
-    return F.when(strip(body) != "", F.concat(lines, gap, splitlines(body))).otherwise(lines)
+
+    def appended(kept):
+        gap = F.when((F.size(kept) > 0) & (strip(F.try_element_at(kept, F.lit(-1))) != ""), F.array(F.lit(""))) \
+            .otherwise(F.array().cast(_EMPTY))
+        return F.when(strip(body) != "", F.concat(kept, gap, splitlines(body))).otherwise(kept)
+
+    return bind(lines, appended)
 
 
 def _with_decorators(lines: Column, at: Column) -> Column:
@@ -57,20 +65,28 @@ def _with_decorators(lines: Column, at: Column) -> Column:
 
 
 def apply_replace(lines: Column, find: Column, until: Column, body: Column) -> Column:
-    """Replace (blank body: remove) the block that starts at the line holding ``find``; null when it is not found."""
-
-    def from_start(start):
-        rest = _tail(lines, start + 1)
-        limit = _indent(F.element_at(lines, start.cast("int")))
-        stop = F.when(until != "", _first(rest, lambda line: strip(line).contains(until))).otherwise(
-            _first(rest, lambda line: _opens_definition(line) & (_indent(line) <= limit)))
-        added = F.when(strip(body) != "", splitlines(body)).otherwise(F.array().cast(_EMPTY))
-        return bind(stop, lambda s: F.concat(
-            F.slice(lines, 1, (start - 1).cast("int")), added,
-            F.when(s > 0, _tail(rest, s)).otherwise(F.array().cast(_EMPTY))))
-
-    hit = _first(lines, lambda line: strip(line).contains(find))
-    return bind(hit, lambda at: F.when(at > 0, bind(F.when(at > 0, _with_decorators(lines, at)), from_start)))
+    """Replace (blank body: remove) the block that starts at the line holding ``find``; null when it is not found.
+
+    Whatever a lambda reads per line is bound outside of it, so each instruction costs a few passes over the lines.
+    """
+    nothing = F.array().cast(_EMPTY)
+
+    def cut(kept, start):
+        def with_rest(rest):
+            def at_limit(limit):
+                stop = F.when(until != "", _first(rest, lambda line: strip(line).contains(until))).otherwise(
+                    _first(rest, lambda line: _opens_definition(line) & (_indent(line) <= limit)))
+                added = F.when(strip(body) != "", splitlines(body)).otherwise(nothing)
+                return bind(stop, lambda s: F.concat(F.slice(kept, 1, (start - 1).cast("int")), added,
+                                                     F.when(s > 0, _tail(rest, s)).otherwise(nothing)))
+            return bind(_indent(F.element_at(kept, start.cast("int"))), at_limit)
+        return bind(_tail(kept, start + 1), with_rest)
+
+    def replaced(kept):
+        hit = _first(kept, lambda line: strip(line).contains(find))
+        return bind(hit, lambda at: F.when(at > 0, bind(_with_decorators(kept, at), lambda start: cut(kept, start))))
+
+    return bind(lines, replaced)
 
 
 def apply_one(lines: Column, section: Column, find: Column, until: Column, body: Column) -> Column:

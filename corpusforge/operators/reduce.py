@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusforge import fixed_values as fv
 from corpusforge.functions import paths
 from corpusforge.functions.text import (
-    count_of, is_blank, join_lines, lstrip, newline_split, rstrip, splitlines, strip, unify_breaks,
+    count_of, is_blank, join_lines, lstrip, newline_split, rstrip, strip, unify_breaks,
     utf8_size,
 )
 from corpusforge.functions.tokens import add_tokens
@@ -33,7 +33,7 @@ def _without_comments(content: Column, marker: str | None) -> Column:
         return (F.when((bare == "") | bare.startswith(marker), gone)
                 .when(line.contains(marker) & balanced, rstrip(head)).otherwise(line))
 
-    return join_lines(F.transform(splitlines(content), cut))
+    return join_lines(F.transform(newline_split(unify_breaks(content)), cut))
 
 
 def medium(content: Column, file_type: Column) -> Column:
@@ -85,32 +85,36 @@ def smart_route(file_type: Column, size: Column) -> Column:
 
 
 def typed(files: DataFrame) -> DataFrame:
-    return (files.withColumn("file_type", paths.file_type(F.col("path")))
-            .withColumn("original_size", utf8_size(F.col("content"))))
+    return files.select("*", paths.file_type(F.col("path")).alias("file_type"),
+                        utf8_size(F.col("content")).alias("original_size"))
 
 
-def reduce_routed(files: DataFrame, label: str = fv.STRUCTURE_LABEL) -> DataFrame:
-    """Reduce typed rows by their ``route`` column (none, light, medium, aggressive or blank).
+def reduce_routed(files: DataFrame, routes: set[str], label: str = fv.STRUCTURE_LABEL) -> DataFrame:
+    """Reduce typed rows by their ``route`` column; ``routes`` names the values it can take.
 
     Python rows routed to the aggressive level need the statement tables and so are keyed and shuffled by path; all
     other rows are one narrow projection over the scan.
     """
     route, content, kind = F.col("route"), F.col("content"), F.col("file_type")
+    rough = F.concat(F.lit("aggressive ("), kind, F.lit("-ast)"))
+    branches = {
+        "blank": lambda: (F.lit(""), F.lit(fv.METHOD_BLANK)), "none": lambda: (content, F.lit(fv.METHOD_NONE)),
+        "light": lambda: (light(content), F.lit(fv.METHOD_LIGHT)),
+        "medium": lambda: (medium(content, kind), F.lit(fv.METHOD_MEDIUM)),
+        "aggressive": lambda: (aggressive(content, kind), rough)}
+    text, method = F, F
+    for name in [n for n in branches if n in routes]:
+        reduced, described = branches[name]()
+        text, method = text.when(route == name, reduced), method.when(route == name, described)
+    if "aggressive" not in routes:
+        return files.select("*", text.alias("reduced"), method.alias("method"))
     needs_skeleton = (kind == "python") & (route == "aggressive")
-    plain = files.filter(~needs_skeleton).withColumn(
-        "reduced", F.when(route == "blank", "").when(route == "none", content).when(route == "light", light(content))
-        .when(route == "medium", medium(content, kind)).otherwise(aggressive(content, kind)))
-    plain = plain.withColumn(
-        "method", F.when(route == "blank", fv.METHOD_BLANK).when(route == "none", fv.METHOD_NONE)
-        .when(route == "light", fv.METHOD_LIGHT).when(route == "medium", fv.METHOD_MEDIUM)
-        .otherwise(F.concat(F.lit("aggressive ("), kind, F.lit("-ast)"))))
-
+    plain = files.filter(~needs_skeleton).select("*", text.alias("reduced"), method.alias("method"))
     modules = files.filter(needs_skeleton)
-    skeletons = structure_skeleton(modules, label)
-    parsed = modules.join(skeletons, KEYS, "left")
-    parsed = (parsed.withColumn("reduced", F.coalesce(F.col("skeleton"), medium(content, kind)))
-              .withColumn("method", F.when(F.col("skeleton").isNotNull(), "aggressive (python-ast)")
-                          .otherwise(fv.METHOD_MEDIUM)).drop("skeleton"))
+    found = F.col("skeleton").isNotNull()
+    parsed = modules.join(structure_skeleton(modules, label), KEYS, "left").select(
+        *[F.col(c) for c in files.columns], F.coalesce("skeleton", medium(content, kind)).alias("reduced"),
+        F.when(found, rough).otherwise(fv.METHOD_MEDIUM).alias("method"))
     return plain.unionByName(parsed)
 
 
@@ -124,27 +128,43 @@ def measured(rows: DataFrame) -> DataFrame:
     return add_tokens(sized, "reduced").withColumn("ratio", ratio)
 
 
-def reduce_corpus(files: DataFrame, level: str, label: str = fv.STRUCTURE_LABEL) -> DataFrame:
-    """files -> corpus_id, path, file_type, level, method, reduced, original_size, reduced_size, tokens, ratio.
+ROUTES = {"none": {"none"}, "light": {"blank", "light"}, "medium": {"blank", "medium"},
+          "aggressive": {"blank", "aggressive"}, "semantic": {"blank", "aggressive"},
+          "smart": {"blank", "light", "medium", "aggressive"}}
+PREFIXES = {"smart": "smart->", "semantic": f"{fv.METHOD_SEMANTIC}-failed, fallback to "}
+COLUMNS = ["corpus_id", "path", "file_type", "level", "method", "reduced", "original_size", "reduced_size", "tokens",
+           "ratio"]
+
+
+def _target(level: str) -> Column:
+    target = {"smart": lambda: smart_route(F.col("file_type"), F.col("original_size")),
+              "semantic": lambda: F.lit("aggressive")}.get(level, lambda: F.lit(level))()
+    return target if level == "none" else F.when(is_blank(F.col("content")), "blank").otherwise(target)
+
 
+def reduce_levels(files: DataFrame, levels: list[str], label: str = fv.STRUCTURE_LABEL) -> DataFrame:
+    """Reduced rows of several levels from one scan: each file is repeated per level before it is reduced.
+
+    files -> corpus_id, path, file_type, level, method, reduced, original_size, reduced_size, tokens, ratio.
     ``smart`` and ``semantic`` here treat every file as having no model response; see operators.semantic for the
     form that takes a response table.
     """
-    level = normalise_level(level)
-    rows = typed(files)
-    blank = is_blank(F.col("content"))
-    target = {"smart": smart_route(F.col("file_type"), F.col("original_size")),
-              "semantic": F.lit("aggressive")}.get(level, F.lit(level))
-    if level != "none":
-        target = F.when(blank, "blank").otherwise(target)
-    prefix = {"smart": "smart->", "semantic": "semantic-llm-failed, fallback to "}.get(level, "")
-    result = measured(reduce_routed(rows.withColumn("route", target), label))
-    if prefix:
-        result = result.withColumn("method", F.when(F.col("route") == "blank", F.col("method"))
-                                   .otherwise(F.concat(F.lit(prefix), F.col("method"))))
-    return (result.withColumn("level", F.lit(level))
-            .select("corpus_id", "path", "file_type", "level", "method", "reduced", "original_size", "reduced_size",
-                    "tokens", "ratio"))
+    levels = [normalise_level(level) for level in levels]
+    rows = typed(files.select("corpus_id", "path", "content"))
+    if len(levels) == 1:
+        rows = rows.select("*", F.lit(levels[0]).alias("level"), _target(levels[0]).alias("route"))
+    else:
+        pairs = [F.struct(F.lit(level).alias("level"), _target(level).alias("route")) for level in levels]
+        rows = rows.select("*", F.inline(F.array(*pairs)))
+    result = measured(reduce_routed(rows, set().union(*[ROUTES[level] for level in levels]), label))
+    prefix = F.lit("")
+    for level in [n for n in levels if n in PREFIXES]:
+        prefix = F.when((F.col("level") == level) & (F.col("route") != "blank"), PREFIXES[level]).otherwise(prefix)
+    return result.withColumn("method", F.concat(prefix, F.col("method"))).select(*COLUMNS)
+
+
+def reduce_corpus(files: DataFrame, level: str, label: str = fv.STRUCTURE_LABEL) -> DataFrame:
+    return reduce_levels(files, [level], label)
 
 
 def prefix_preview(content: Column, limit: int = fv.PREFIX_CHARS, label: str = fv.OUTLINE_LABEL) -> Column:

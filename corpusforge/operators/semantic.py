@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import basename
 from corpusforge.functions.text import is_blank, strip, utf8_size
-from corpusforge.operators.reduce import measured, reduce_routed, smart_route, typed
+from corpusforge.operators.reduce import PREFIXES, ROUTES, measured, reduce_routed, smart_route, typed
 
 KEYS = ["corpus_id", "path"]
 COMPONENT = "struct<name:string,purpose:string,key_methods:array<string>,key_attributes:array<string>>"
@@ -110,7 +110,7 @@ def ingest_responses(files: DataFrame, responses: DataFrame, level: str = "seman
     response must shrink a code file by more than its ratio, else the size tiers decide.
     """
     parsed = parse_responses(responses).select(*KEYS, "model", "record_json")
-    rows = (typed(files).join(parsed, KEYS, "left").withColumn("blank", is_blank(F.col("content")))
+    rows = (typed(files.select(*KEYS, "content")).join(parsed, KEYS, "left").withColumn("blank", is_blank(F.col("content")))
             .withColumn("semantic", F.when(F.col("record_json").isNotNull(), semantic_text())))
     size = F.col("original_size")
     if level == "smart":
@@ -118,13 +118,13 @@ def ingest_responses(files: DataFrame, responses: DataFrame, level: str = "seman
         shrinks = size / F.greatest(F.octet_length("semantic"), F.lit(1)) > fv.SMART_SEMANTIC_MIN_RATIO
         use, other, good, bad = code & shrinks, smart_route(F.col("file_type"), size), "smart->", "smart->"
     else:
-        use, other, good, bad = F.lit(True), F.lit("aggressive"), "", "semantic-llm-failed, fallback to "
+        use, other, good, bad = F.lit(True), F.lit("aggressive"), "", PREFIXES["semantic"]
     use = F.coalesce(use & F.col("semantic").isNotNull() & ~F.col("blank"), F.lit(False))
     columns = [*KEYS, "content", "file_type", "original_size"]
     kept = rows.filter(use).select(*columns, F.lit("semantic").alias("route"), F.col("semantic").alias("reduced"),
                                    F.lit(good + fv.METHOD_SEMANTIC).alias("method"))
     rest = rows.filter(~use).select(*columns, F.when(F.col("blank"), "blank").otherwise(other).alias("route"))
-    fallen = reduce_routed(rest).withColumn("method", F.when(F.col("route") == "blank", F.col("method"))
+    fallen = reduce_routed(rest, ROUTES[level]).withColumn("method", F.when(F.col("route") == "blank", F.col("method"))
                                             .otherwise(F.concat(F.lit(bad), F.col("method"))))
     return (measured(kept.unionByName(fallen)).withColumn("level", F.lit(level))
             .select(*KEYS, "file_type", "level", "method", "reduced", "original_size", "reduced_size", "tokens", "ratio"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
 from corpusforge.functions.text import NAME, bind, join_lines, lstrip, newline_split, rstrip, strip
+from corpusforge.session import shuffle_partitions
 
 KEYS = ["corpus_id", "path"]
 
@@ -65,7 +66,8 @@ def lexed_lines(files: DataFrame) -> DataFrame:
         masked = F.array_join(F.transform(parts, _mask), "")
         return F.arrays_zip(newline_split(code).alias("code"), newline_split(masked).alias("masked"))
 
-    rows = (files.select(*KEYS, "content").repartition(*KEYS)
+    # An explicit count keeps AQE from merging partitions by the size of the text: lexing multiplies the work.
+    rows = (files.select(*KEYS, "content").repartition(shuffle_partitions(files.sparkSession), *KEYS)
             .select(*KEYS, F.posexplode(bind(tokens, split_tokens)).alias("pos", "parts")))
     return rows.select(*KEYS, (F.col("pos") + 1).alias("line_no"), F.col("parts.code").alias("code"),
                        F.col("parts.masked").alias("masked"))
@@ -74,24 +76,21 @@ def lexed_lines(files: DataFrame) -> DataFrame:
 def statements(files: DataFrame) -> DataFrame:
     """Logical statements with their lines, indentation, text and kind; statement 0 holds leading blank lines."""
     order = Window.partitionBy(*KEYS).orderBy("line_no")
-    masked = F.replace(F.col("masked"), F.lit(IN_STRING), F.lit(""))
-    flat = F.replace(masked, F.lit("\t"), F.lit("        "))
-    closers, openers = F.length(F.translate(masked, ")]}", "")), F.length(F.translate(masked, "([{", ""))
-    lines = (lexed_lines(files)
-             .withColumn("in_string", F.col("masked").startswith(IN_STRING))
-             .withColumn("stray", F.col("masked").contains(STRAY_QUOTE))
-             .withColumn("masked", masked)
-             .withColumn("net", closers - openers)
-             .withColumn("blank", lstrip(F.col("masked")) == "")
-             .withColumn("indent", F.length(flat) - F.length(F.ltrim(flat)))
-             .withColumn("depth", F.coalesce(F.sum("net").over(order.rowsBetween(Window.unboundedPreceding, -1)),
-                                             F.lit(0)))
-             .withColumn("joined", F.coalesce(F.lag(F.col("masked").endswith("\\")).over(order), F.lit(False))))
-    starts = ~F.col("blank") & ~F.col("in_string") & (F.col("depth") <= 0) & ~F.col("joined")
-    lines = (lines.withColumn("starts", starts)
-             .withColumn("stmt", F.sum(F.col("starts").cast("int")).over(order))
-             .withColumn("code", F.regexp_replace("code", r"\\\z", " "))
-             .withColumn("masked", F.regexp_replace("masked", r"\\\z", " ")))
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    flat = F.replace(F.col("masked"), F.lit("\t"), F.lit("        "))
+    closers, openers = F.length(F.translate("masked", ")]}", "")), F.length(F.translate("masked", "([{", ""))
+    raw = F.col("masked")
+    lines = lexed_lines(files).select(
+        *KEYS, "line_no", "code", raw.startswith(IN_STRING).alias("in_string"), raw.contains(STRAY_QUOTE).alias("stray"),
+        F.replace(raw, F.lit(IN_STRING), F.lit("")).alias("masked"))
+    lines = lines.select(
+        "*", (closers - openers).alias("net"), (lstrip(F.col("masked")) == "").alias("blank"),
+        (F.length(flat) - F.length(F.ltrim(flat))).alias("indent"))
+    starts = (~F.col("blank") & ~F.col("in_string") & (F.coalesce(F.sum("net").over(before), F.lit(0)) <= 0)
+              & ~F.coalesce(F.lag(F.col("masked").endswith("\\")).over(order), F.lit(False)))
+    lines = lines.withColumn("starts", starts).select(
+        *KEYS, "line_no", "starts", "blank", "indent", "net", "stray", F.regexp_replace("code", r"\\\z", " ").alias("code"),
+        F.regexp_replace("masked", r"\\\z", " ").alias("masked"), F.sum(F.col("starts").cast("int")).over(order).alias("stmt"))
     grouped = lines.groupBy(*KEYS, "stmt").agg(
         F.min("line_no").alias("start_line"),
         F.max(F.when(~F.col("blank"), F.col("line_no"))).alias("end_line"),
@@ -101,8 +100,9 @@ def statements(files: DataFrame) -> DataFrame:
         F.expr("max_by(code, case when not blank then line_no end)").alias("last_code"),
         F.sum("net").alias("net"), F.max("stray").alias("stray"))
     flawed = F.col("stray") | (F.col("net") != 0) | _broken(F.col("masked"))
-    return (grouped.withColumn("kind", _kind(F.col("masked"))).withColumn("flawed", flawed)
-            .withColumn("parses", ~F.max("flawed").over(Window.partitionBy(*KEYS))).drop("flawed", "net", "stray"))
+    return grouped.select(
+        *KEYS, "stmt", "start_line", "end_line", "indent", "text", "masked", "last_code", _kind(F.col("masked")).alias("kind"),
+        (~F.max(flawed).over(Window.partitionBy(*KEYS))).alias("parses"))
 
 
 def parsed_statements(files: DataFrame) -> DataFrame:
@@ -242,32 +242,39 @@ def _imported(kind: Column, text: Column) -> Column:
             .when(kind == "from", each(listed, F.concat(F.lit("from "), module, F.lit(" import ")))))
 
 
-def _assigned(kind: Column, masked: Column, augmented: bool) -> Column:
-    """Plain names bound by an assignment, an annotation or (optionally) an augmented assignment."""
+def _assigned(kind: Column, masked: Column) -> Column:
+    """Plain names bound by an assignment or an annotation."""
     text = F.replace(masked, F.lit("=="), F.lit("\x03"))
     chain = F.regexp_extract_all(F.regexp_extract(text, rf"^\s*((?:{NAME}[ \t]*=[ \t]*)+)", 1),
                                  F.lit(f"({NAME})"), F.lit(1))
     annotated = F.regexp_extract(text, rf"^\s*({NAME})[ \t]*:", 1)
-    grown = F.regexp_extract(text, rf"^\s*({NAME})[ \t]*(?:\*\*|//|>>|<<|[-+*/%@&|^])=", 1)
-    names = F.when(F.size(chain) > 0, chain).when(
-        (annotated != "") & ~annotated.isin(_NOT_TARGETS), F.array(annotated))
-    if augmented:
-        names = names.when(grown != "", F.array(grown))
-    return F.when(kind == "other", names)
+    return F.when(kind == "other", F.when(F.size(chain) > 0, chain).when(
+        (annotated != "") & ~annotated.isin(_NOT_TARGETS), F.array(annotated)))
+
+
+def _augmented(kind: Column, masked: Column) -> Column:
+    """The plain name changed by an augmented assignment."""
+    grown = F.regexp_extract(masked, rf"^\s*({NAME})[ \t]*(?:\*\*|//|>>|<<|[-+*/%@&|^])=", 1)
+    return F.when((kind == "other") & (grown != ""), F.array(grown))
 
 
 def owned_statements(files: DataFrame) -> DataFrame:
-    """Statements with the top-level statement they belong to and the body indentation of that block."""
+    """Statements with signature (def, class), bound names and imports, and their place in a top-level block."""
     order = Window.partitionBy(*KEYS).orderBy("stmt")
     block = Window.partitionBy(*KEYS, "owner.stmt")
+    kind, text, masked = F.col("kind"), F.col("text"), F.col("masked")
     first_inside = F.min_by("indent", F.when(F.col("stmt") > F.col("owner.stmt"), F.col("stmt"))).over(block)
-    return (parsed_statements(files)
-            .withColumn("owner", F.max(F.when((F.col("indent") == 0) & (F.col("stmt") > 0),
-                                              F.struct("stmt", "kind", "text"))).over(order))
+    inside = ((F.col("owner.kind") == "class") & (F.col("stmt") > F.col("owner.stmt"))
+              & (F.col("indent") == F.col("body_indent")))
+    top = (F.col("indent") == 0) & (F.col("stmt") > 0)
+    rows = parsed_statements(files).select(
+        *KEYS, "stmt", "start_line", "indent", "kind", F.coalesce(top, F.lit(False)).alias("top"),
+        F.when(kind == "def", def_signature(text, False)).when(kind == "class", class_signature(text)).alias("signature"),
+        _assigned(kind, masked).alias("names"), _augmented(kind, masked).alias("grown"),
+        _imported(kind, text).alias("imports"))
+    return (rows.withColumn("owner", F.max(F.when(F.col("top"), F.struct("stmt", "kind", "signature"))).over(order))
             .withColumn("body_indent", first_inside)
-            .withColumn("class_item", F.coalesce((F.col("owner.kind") == "class")
-                                                 & (F.col("stmt") > F.col("owner.stmt"))
-                                                 & (F.col("indent") == F.col("body_indent")), F.lit(False))))
+            .withColumn("class_item", F.coalesce(inside, F.lit(False))))
 
 
 def import_index(files: DataFrame) -> DataFrame:
@@ -279,28 +286,25 @@ def import_index(files: DataFrame) -> DataFrame:
 
 def class_index(files: DataFrame) -> DataFrame:
     """Top-level classes with their direct sync methods and class variables; one row per class or member."""
-    rows = owned_statements(files)
-    top = (F.col("kind") == "class") & (F.col("indent") == 0)
-    members = F.when(top, F.array(F.struct(F.lit("class").alias("member"), class_signature(F.col("text")).alias("value")))) \
-        .when(F.col("class_item") & (F.col("kind") == "def"),
-              F.array(F.struct(F.lit("method").alias("member"), def_signature(F.col("text"), False).alias("value")))) \
-        .when(F.col("class_item"), F.transform(_assigned(F.col("kind"), F.col("masked"), False),
-                                               lambda n: F.struct(F.lit("variable").alias("member"), n.alias("value"))))
-    return (rows.select(*KEYS, class_signature(F.col("owner.text")).alias("class"),
-                        F.col("start_line").alias("line_no"), F.posexplode(members).alias("ordinal", "m"))
-            .select(*KEYS, "class", "line_no", "ordinal", "m.member", "m.value"))
+    kind, item = F.col("kind"), F.col("class_item")
+    member = F.when(F.col("top") & (kind == "class"), "class").when(item & (kind == "def"), "method").when(
+        item & F.col("names").isNotNull(), "variable")
+    values = F.when(F.col("member") == "variable", F.col("names")).otherwise(F.array("signature"))
+    return (owned_statements(files).withColumn("member", member).filter("member is not null")
+            .select(*KEYS, F.col("owner.signature").alias("class"), F.col("start_line").alias("line_no"), "member",
+                    F.posexplode(values).alias("ordinal", "value")))
 
 
 def toplevel_symbols(files: DataFrame) -> DataFrame:
     """Sync top-level functions by position and distinct top-level variables by first assignment."""
-    rows = parsed_statements(files).filter((F.col("indent") == 0) & (F.col("stmt") > 0))
-    functions = rows.filter("kind = 'def'").select(
-        *KEYS, F.lit("function").alias("symbol"), def_signature(F.col("text"), False).alias("value"),
-        F.col("start_line").alias("line_no"))
-    names = (rows.filter("kind = 'other'")
-             .select(*KEYS, "start_line", F.explode(_assigned(F.col("kind"), F.col("masked"), True)).alias("value"))
-             .groupBy(*KEYS, "value").agg(F.min("start_line").alias("line_no")))
-    return functions.unionByName(names.select(*KEYS, F.lit("variable").alias("symbol"), "value", "line_no"))
+    is_def = F.col("kind") == "def"
+    values = F.when(is_def, F.array("signature")).otherwise(F.coalesce("names", "grown"))
+    rows = (owned_statements(files).filter(F.col("top"))
+            .select(*KEYS, F.when(is_def, "function").otherwise("variable").alias("symbol"),
+                    F.explode(values).alias("value"), F.when(is_def, F.col("start_line")).otherwise(0).alias("place"),
+                    "start_line"))
+    return (rows.filter("value is not null").groupBy(*KEYS, "symbol", "value", "place")
+            .agg(F.min("start_line").alias("line_no")).drop("place"))
 
 
 def structure_skeleton(files: DataFrame, label: str = fv.STRUCTURE_LABEL) -> DataFrame:
@@ -309,41 +313,35 @@ def structure_skeleton(files: DataFrame, label: str = fv.STRUCTURE_LABEL) -> Dat
     Files with unbalanced quotes or brackets, or with a statement no grammar accepts, give no row.  Nested imports
     come by indentation, then position.
     """
-    kind, text, masked = F.col("kind"), F.col("text"), F.col("masked")
-    line, top = F.col("start_line"), F.coalesce((F.col("indent") == 0) & (F.col("stmt") > 0), F.lit(False))
-    none = F.lit(0)
+    kind, line, top, member = F.col("kind"), F.col("start_line"), F.col("top"), F.col("class_item")
+    signature, owner, none = F.col("signature"), F.col("owner.stmt"), F.lit(0)
+    empty = F.array().cast("array<string>")
 
     def item(section, first, second, third, value):
         return F.struct(F.lit(section).alias("section"), first.cast("int").alias("a"), second.cast("int").alias("b"),
                         third.cast("int").alias("c"), value.alias("value"))
 
-    def each(values, section, first, second, render):
-        return F.transform(values, lambda v, i: item(section, first, second, line * 1000 + i, render(v)))
-
-    owner = F.col("owner.stmt")
-    items = (F.when(kind.isin("import", "from"), F.transform(
-                 _imported(kind, text), lambda v, i: item(0, F.col("indent"), line, i, v)))
-             .when(top & (kind == "def"), F.array(item(2, line, none, none, F.concat(
-                 def_signature(text, False), F.lit(":\n    ...\n")))))
-             .when(top & (kind == "class"), F.array(item(3, owner, none, none, class_signature(text)),
+    method = F.concat(F.lit("    "), signature, F.lit(":\n        ..."))
+    items = (F.when(F.col("imports").isNotNull(), F.transform("imports", lambda v, i: item(
+                 0, F.col("indent"), line, i, v)))
+             .when(top & (kind == "def"), F.array(item(2, line, none, none, F.concat(signature, F.lit(":\n    ...\n")))))
+             .when(top & (kind == "class"), F.array(item(3, owner, none, none, signature),
                                                     item(3, owner, F.lit(9), none, F.lit(""))))
-             .when(F.col("class_item") & (kind == "def"), F.array(item(3, owner, F.lit(2), line, F.concat(
-                 F.lit("    "), def_signature(text, False), F.lit(":\n        ...")))))
-             .when(F.col("class_item"), F.transform(_assigned(kind, masked, False), lambda v, i: item(
+             .when(member & (kind == "def"), F.array(item(3, owner, F.lit(2), line, method)))
+             .when(member, F.transform("names", lambda v, i: item(
                  3, owner, F.lit(1), line * 1000 + i, F.concat(F.lit("    "), v, F.lit(" = ...")))))
-             .when(top, F.transform(_assigned(kind, masked, True), lambda v, i: item(1, line, i, none, F.concat(
-                 v, F.lit(" = ..."))))))
-    rows = owned_statements(files).select(*KEYS, F.explode_outer(items).alias("item"))
-    per_file = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list("item")).alias("items"))
-
-    def section(number):
-        return F.transform(F.filter("items", lambda x: x.section == number), lambda x: x.value)
-
-    blank = F.array(F.lit(""))
-    variables = F.array_distinct(section(1))
-    parts = F.concat(F.when(F.size(section(0)) > 0, F.concat(section(0), blank)).otherwise(F.array().cast("array<string>")),
-                     F.when(F.size(variables) > 0, F.concat(variables, blank)).otherwise(F.array().cast("array<string>")),
-                     section(2), section(3))
+             .when(top, F.transform(F.coalesce("names", "grown"), lambda v, i: item(
+                 1, line, i, none, F.concat(v, F.lit(" = ..."))))))
+    per_file = (owned_statements(files).select(*KEYS, F.explode_outer(items).alias("item"))
+                .groupBy(*KEYS).agg(F.array_sort(F.collect_list("item")).alias("items")))
+
+    def section(first, last):
+        return F.transform(F.filter("items", lambda x: x.section.between(first, last)), lambda x: x.value)
+
+    def spaced(values):
+        return F.when(F.size(values) > 0, F.array_append(values, "")).otherwise(empty)
+
+    parts = F.concat(spaced(section(0, 0)), spaced(F.array_distinct(section(1, 1))), section(2, 3))
     trailer = F.lit(f"\n# ... (Structure extracted via AST - {label})")
     return per_file.select(*KEYS, F.concat(join_lines(parts), trailer).alias("skeleton"))
 

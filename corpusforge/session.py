@@ -15,6 +15,8 @@ def build_session(app_name: str = "corpusforge", master: str | None = None, **se
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Call-site capture costs several driver round trips per column function.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **{k.replace("__", "."): v for k, v in settings.items()}}.items():
         builder = builder.config(key, value)
@@ -41,6 +43,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's shuffle width, as set for the cluster."""
+    wide = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return int(wide or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give small scans (fewer bytes than one split per core) enough partitions; large scans stay as they are."""
     spark = df.sparkSession
