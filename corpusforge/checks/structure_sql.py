@@ -41,7 +41,7 @@ def statement_ctes(source: str, name: str) -> dict[str, str]:
         f"{name}_st": f"select corpus_id, path, stmt, min(line_no) as start_line, max(line_no) filter (where not blank) as end_line, max(indent) filter (where starts) as indent, string_agg({sub('code', chr(92) * 2 + chr(92) + 'z', lit(' '))}, {NL} order by line_no) as text, string_agg({sub('m', chr(92) * 2 + chr(92) + 'z', lit(' '))}, {NL} order by line_no) as masked, arg_max(code, line_no) filter (where not blank) as last_code, sum(net) as net, bool_or(stray) as stray from {name}_ln group by corpus_id, path, stmt",
         f"{name}_kinds": f"""select *, case when {has('masked', rf'^\s*def\s+{NAME}')} then 'def'
             when {has('masked', rf'^\s*async\s+def\s+{NAME}')} then 'async def' when {has('masked', rf'^\s*class\s+{NAME}')} then 'class'
-            when {has('masked', r'^\s*import\s')} then 'import' when {has('masked', r'^\s*from[\s.].*\simport[\s(*]')} then 'from'
+            when {has('masked', r'^\s*import\s')} then 'import' when {has('masked', st.IS_FROM)} then 'from'
             when {has('masked', r'^\s*@')} then 'decorator' else 'other' end as kind,
             stray or net <> 0 or ({second} <> '' and not {among(first, st._LEADING)} and not {among(second, st._FOLLOWING)})
             or {has('masked', r'[\p{L}_)\]}"]\.\s*\z')} or ({has('masked', st._COMPOUND)} and not contains(masked, ':')) as flawed
@@ -85,8 +85,8 @@ def class_signature(header: str) -> str:
 def imported() -> str:
     flat = strip(sub(sub("text", r"[\s\\]+", lit(" ")), ";.*", lit("")))
     plain = pick(flat, "^import (.*)$", 1)
-    module = f"replace({pick(flat, r'^from ?([. ]*[^ ]*?) ?import ?[( *\p{L}_]', 1)}, ' ', '')"
-    listed = f"translate({pick(flat, r'^from ?[. ]*[^ ]*? ?import ?([(*\p{L}_].*)$', 1)}, '()', '  ')"
+    module = f"replace({pick(flat, st.FROM_IMPORT, 1)}, ' ', '')"
+    listed = f"translate({pick(flat, st.FROM_IMPORT, 2)}, '()', '  ')"
 
     def items(names, prefix):
         return each(where(each(f"string_split({names}, ',')", strip("x")), "x <> ''"), f"{prefix} || x")

@@ -5,13 +5,10 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import basename
-from corpusforge.functions.text import is_blank, strip, utf8_size
+from corpusforge.functions.text import bind, is_blank, strip, utf8_size
 from corpusforge.operators.reduce import PREFIXES, ROUTES, measured, reduce_routed, smart_route, typed
 
 KEYS = ["corpus_id", "path"]
-COMPONENT = "struct<name:string,purpose:string,key_methods:array<string>,key_attributes:array<string>>"
-FUNCTION = "struct<name:string,signature:string,purpose:string>"
-RESPONSE_FIELDS = "file_path, file_type, overall_purpose, core_logic_flow".split(", ")
 
 
 def prompt_table(files: DataFrame, model: str, max_tokens: int = 2000, temperature: float = 0.1,
@@ -52,48 +49,76 @@ def extract_json(raw: Column) -> Column:
     return F.when(text.startswith("{"), text).when(first > 0, cut)
 
 
+JSON_TOKEN = r'(?s)"(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^\s{}\[\],:"]++'
+
+
+def laid_out(json: Column, top: Column, parts: Column) -> Column:
+    """JSON text with two-space indentation, keys in their order, and missing entries added at the end.
+
+    ``top`` holds entries for the document, ``parts`` for its key_components object.  A fold over the tokens; answers
+    are bounded by the model's output limit, so its text stays small.
+    """
+    def line(depth):
+        return F.concat(F.lit("\n"), F.repeat(F.lit("  "), depth))
+
+    def step(state, token):
+        opens, closes, fresh = token.isin("{", "["), token.isin("}", "]"), state.prev.isin("{", "[", ",")
+        added = F.when((token == "}") & (state.depth == 1), top).when(
+            (token == "}") & (state.depth == 2) & (state.key == '"key_components"'), parts).otherwise(
+            F.array().cast("array<string>"))
+
+        def closing(entries):
+            listed = F.array_join(F.transform(entries, lambda e: F.concat(line(state.depth), e)), ",")
+            glue = F.when((F.size(entries) > 0) & ~state.prev.isin("{", "["), ",").otherwise("")
+            empty = state.prev.isin("{", "[") & (F.size(entries) == 0)
+            return F.concat(glue, listed, F.when(empty, "").otherwise(line(state.depth - 1)), token)
+
+        text = (F.when(closes, bind(added, closing)).when(token == ",", ",").when(token == ":", ": ")
+                .when(fresh, F.concat(line(state.depth), token)).otherwise(token))
+        key = F.when((state.depth == 1) & fresh & token.startswith('"'), token).otherwise(state.key)
+        return F.struct(F.concat(state.out, text).alias("out"),
+                        (state.depth + opens.cast("int") - closes.cast("int")).alias("depth"),
+                        token.alias("prev"), key.alias("key"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("depth"), F.lit("").alias("prev"), F.lit("").alias("key"))
+    text = F.aggregate(F.regexp_extract_all(json, F.lit(JSON_TOKEN), F.lit(0)), start, step, lambda state: state.out)
+
+    def escaped(char):
+        units = F.regexp_replace(F.lower(F.hex(F.encode(char, "UTF-16BE"))), "(.{4})", r"\\u$1")
+        return F.when(F.ascii(char) > 127, units).otherwise(char)
+
+    return bind(text, lambda t: F.when(t.rlike(r"[^\x00-\x7f]"), F.array_join(
+        F.transform(F.split(t, ""), escaped), "")).otherwise(t))
+
+
 def parse_responses(responses: DataFrame) -> DataFrame:
-    """(corpus_id, path, file_type, raw_text, ...) plus ``record`` (variant or null), missing keys and defaults.
+    """(corpus_id, path, file_type, raw_text, ...) plus ``record`` (variant, or null when the answer is not usable).
 
-    ``record_json`` is the answer with defaults for missing keys, as JSON text; null when the answer is not usable.
+    ``record_json`` is the answer laid out with defaults for missing keys, as text; ``n_missing_keys`` counts those.
     """
-    record = F.try_parse_json(extract_json(F.col("raw_text")))
-    rows = responses.withColumn("record", record)
-    usable = F.schema_of_variant("record").startswith("OBJECT<")
-    rows = rows.withColumn("record", F.when(usable, F.col("record")))
+    rows = responses.withColumn("answer", extract_json(F.col("raw_text")))
+    parsed = F.try_parse_json("answer")
+    rows = rows.withColumn("record", F.when(F.schema_of_variant(parsed).startswith("OBJECT<"), parsed))
 
     def has(path):
         return F.try_variant_get("record", path, "variant").isNotNull()
 
-    def json_text(value):
-        return F.to_json(F.struct(value.alias("v")), {"ignoreNullFields": "false"})
-
-    def quoted(value):
-        return F.regexp_extract(json_text(value), r'(?s)^\{"v":(.*)\}\z', 1)
-
-    components = F.schema_of_variant(F.try_variant_get("record", "$.key_components", "variant"))
-    missing_parts = F.when(
-        ~has("$.key_components") | components.startswith("OBJECT<"),
-        F.array_compact(F.array(
-            *[F.when(~has(f"$.key_components.{k}"), F.lit(f'"{k}":[]')) for k in fv.COMPONENT_LIST_KEYS],
-            *[F.when(~has(f"$.key_components.{k}"), F.lit(f'"{k}":""')) for k in fv.COMPONENT_TEXT_KEYS])))
-    missing_keys = F.array_compact(F.array(
-        *[F.when(~has(f"$.{k}"), F.concat(F.lit(f'"{k}":'), quoted(F.col("path")))) for k in ("file_path", "file_type")],
-        *[F.when(~has(f"$.{k}"), F.lit(f'"{k}":""')) for k in ("overall_purpose", "core_logic_flow")]))
-    rows = (rows.withColumn("_parts", missing_parts).withColumn("_keys", missing_keys)
-            .withColumn("n_missing_keys", F.size("_keys") + F.when(has("$.key_components"), 0).otherwise(1)))
-
-    def extended(json, additions):
-        bare = F.regexp_replace(json, r"\}\z", "")
-        glue = F.when(bare == "{", "").otherwise(",")
-        return F.when(F.size(additions) > 0, F.concat(bare, glue, F.array_join(additions, ","), F.lit("}"))).otherwise(json)
-
-    inner = F.to_json(F.try_variant_get("record", "$.key_components", "variant"))
-    filled = F.when(has("$.key_components"), F.when(F.col("_parts").isNotNull(), extended(inner, F.col("_parts"))).otherwise(inner)) \
-        .otherwise(F.concat(F.lit("{"), F.array_join("_parts", ","), F.lit("}")))
-    others = F.map_filter(F.try_variant_get("record", "$", "map<string,variant>"), lambda k, v: k != "key_components")
-    top = extended(F.to_json(others), F.concat(F.col("_keys"), F.array(F.concat(F.lit('"key_components":'), filled))))
-    return rows.withColumn("record_json", F.when(F.col("record").isNotNull(), top)).drop("_parts", "_keys")
+    def entry(key, default):
+        return F.concat(F.lit(f'"{key}": '), default)
+
+    path = F.regexp_extract(F.to_json(F.struct(F.col("path").alias("v"))), r'(?s)^\{"v":(.*)\}\z', 1)
+    inner = [(k, F.lit("[]")) for k in fv.COMPONENT_LIST_KEYS] + [(k, F.lit('""')) for k in fv.COMPONENT_TEXT_KEYS]
+    whole = F.concat(F.lit("{\n    "), F.concat_ws(",\n    ", *[entry(k, d) for k, d in inner]), F.lit("\n  }"))
+    defaults = {"file_path": path, "file_type": path, "overall_purpose": F.lit('""'), "key_components": whole,
+                "core_logic_flow": F.lit('""')}
+    is_object = F.schema_of_variant(F.try_variant_get("record", "$.key_components", "variant")).startswith("OBJECT<")
+    top = F.array_compact(F.array(*[F.when(~has(f"$.{k}"), entry(k, defaults[k])) for k in fv.RESPONSE_KEYS]))
+    parts = F.array_compact(F.array(*[
+        F.when(is_object & ~has(f"$.key_components.{k}"), entry(k, d)) for k, d in inner]))
+    return (rows.select("*", top.alias("_top"), parts.alias("_parts"))
+            .select("*", F.size("_top").alias("n_missing_keys"), F.when(F.col("record").isNotNull(), laid_out(
+                F.col("answer"), F.col("_top"), F.col("_parts"))).alias("record_json"))
+            .drop("_top", "_parts", "answer"))
 
 
 def semantic_text(label: str = fv.SEMANTIC_LABEL) -> Column:

@@ -31,6 +31,8 @@ def _balanced(excluded: str, depth: int) -> str:
 
 DEF_HEADER = (rf"^\s*(?:async\s+)?def\s+({NAME})\s*\(({_balanced('', 4)}*+)\)\s*(?:->\s*({_balanced(':', 4)}*+))?:")
 CLASS_HEADER = rf"^\s*class\s+({NAME})\s*(?:\(({_balanced('', 4)}*+)\))?\s*:"
+FROM_IMPORT = rf"^from ?([. ]*(?:{NAME}[\p{{L}}\p{{N}}_.]* )?) ?import ?(.*)$"
+IS_FROM = r"^\s*from[\s.](?s:.*)[\s.]import[\s(*]"
 PARAMETER = rf"({_balanced(',', 4)}++)"
 ANNOTATION = rf"^\s*{NAME}\s*:\s*({_balanced('=', 4)}++)"
 
@@ -115,7 +117,7 @@ def _kind(masked: Column) -> Column:
             .when(masked.rlike(rf"^\s*async\s+def\s+{NAME}"), "async def")
             .when(masked.rlike(rf"^\s*class\s+{NAME}"), "class")
             .when(masked.rlike(r"^\s*import\s"), "import")
-            .when(masked.rlike(r"^\s*from[\s.].*\simport[\s(*]"), "from")
+            .when(masked.rlike(IS_FROM), "from")
             .when(masked.rlike(r"^\s*@"), "decorator").otherwise("other"))
 
 
@@ -231,8 +233,8 @@ def _imported(kind: Column, text: Column) -> Column:
     """One canonical line per imported alias, in order."""
     flat = strip(F.regexp_replace(F.regexp_replace(text, r"[\s\\]+", " "), ";.*", ""))
     plain = F.regexp_extract(flat, "^import (.*)$", 1)
-    module = F.replace(F.regexp_extract(flat, r"^from ?([. ]*[^ ]*?) ?import ?[( *\p{L}_]", 1), F.lit(" "), F.lit(""))
-    listed = F.translate(F.regexp_extract(flat, r"^from ?[. ]*[^ ]*? ?import ?([(*\p{L}_].*)$", 1), "()", "  ")
+    module = F.replace(F.regexp_extract(flat, FROM_IMPORT, 1), F.lit(" "), F.lit(""))
+    listed = F.translate(F.regexp_extract(flat, FROM_IMPORT, 2), "()", "  ")
 
     def each(names, prefix):
         items = F.filter(F.transform(F.split(names, ","), lambda n: strip(n)), lambda n: n != "")

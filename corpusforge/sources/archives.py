@@ -76,7 +76,7 @@ def write_documents(documents: DataFrame, folder: str) -> None:
 
 def read_documents(spark: SparkSession, target: str, whole_files: bool = True) -> DataFrame:
     """(archive_id, document) rows; a missing target raises.  Whole files suit indented JSON."""
-    rows = spark.read.option("wholetext", whole_files).text(target)
+    rows = spark.read.text(target, wholetext=whole_files)
     archive = F.col("archive_id").cast("string") if "archive_id" in rows.columns else F.input_file_name()
     return rows.select(archive.alias("archive_id"), F.col("value").alias("document"))
 
