@@ -8,7 +8,7 @@ from corpusforge.functions import paths, text, tokens
 from corpusforge.operators import (
     audit, budget, cache, calllog, compare, edits, filters, reduce, semantic, signatures, stats, structure,
 )
-from corpusforge.session import new_folder
+from corpusforge.session import new_folder, stored
 from corpusforge.sources import archives, corpus, edit_scripts
 
 K = ["corpus_id", "path"]
@@ -168,8 +168,13 @@ def _entries(spark, sf):
     return archives.archive_entries(reduce.reduce_corpus(_prose(spark, sf), "light"))
 
 
+def _packed(spark, sf):
+    """Entries as a stored table, as a packing job leaves them: totals and documents do not reduce again."""
+    return stored(_entries(spark, sf), "entries")
+
+
 def archive_write(spark, sf):
-    entries = _entries(spark, sf)
+    entries = _packed(spark, sf)
     made = archives.archive_documents(entries, archives.archive_metadata(entries, "light", created=CREATED))
     n = F.size(F.from_json(F.get_json_object("document", "$.files"), "array<struct<path:string>>"))
 
@@ -182,7 +187,7 @@ def archive_write(spark, sf):
 
 
 def archive_roundtrip(spark, sf):
-    entries = _entries(spark, sf)
+    entries = _packed(spark, sf)
     made = archives.archive_documents(entries, archives.archive_metadata(entries, "light", created=CREATED),
                                       volume_bytes=200_000, slices=4)
     folder = new_folder(spark, "documents")
@@ -207,7 +212,7 @@ def audit_counts(spark, sf):
 
 
 def listing(spark, sf):
-    entries = _entries(spark, sf)
+    entries = _packed(spark, sf)
     return filters.list_archive(entries, archives.archive_metadata(entries, "light", created=CREATED), REGEX)
 
 
@@ -262,7 +267,7 @@ def compared(spark, sf):
 
 def next_definition(spark, sf):
     old = c.modules(spark, sf, "old")
-    return compare.next_definition(old, structure.definitions(old, with_source=False))
+    return compare.next_definition(old, structure.definitions(old, with_source=False).select(*K, "end_line").distinct())
 
 
 def generated(spark, sf):
@@ -300,15 +305,15 @@ def _single(kind):
 def _applied(spark, sf):
     old, new = _versions(spark, sf)
     scripts = compare.generate_edits(old, new, whole_path=True).withColumn("corpus_id", F.substring_index("script_id", ":", 1))
-    return scripts, edits.apply_edits(scripts, old)
+    return edits.apply_edits(scripts, old)
 
 
 def applied(spark, sf):
-    return _applied(spark, sf)[1].select("script_id", "file", _sha(F.col("content")).alias("content_sha"), "n_instructions", "applied")
+    return _applied(spark, sf).select("script_id", "file", _sha(F.col("content")).alias("content_sha"), "n_instructions", "applied")
 
 
 def report(spark, sf):
-    return edits.apply_report(*_applied(spark, sf))
+    return edits.apply_report(_applied(spark, sf))
 
 
 def budget_level(spark, sf):

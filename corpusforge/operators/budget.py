@@ -22,24 +22,27 @@ def _order() -> list[Column]:
     return [F.desc("importance_score"), F.asc("path")]
 
 
-def ranked(files: DataFrame, values: dict[str, Column], slices: int | None = None) -> DataFrame:
-    """Rank files within their corpus and add running sums of ``values`` in rank order (narrow rows only)."""
+def _cut(files: DataFrame, values: dict[str, Column], slices: int | None) -> DataFrame:
+    """Narrow rows in rank order, materialised once: the text behind the token counts is not read again."""
     rows = files.select("corpus_id", "path", importance(F.col("path")).alias("importance_score"),
                         *[v.cast("bigint").alias(n) for n, v in values.items()])
-    totals = {"priority_rank": ("sum", F.lit(1))}
-    totals.update({f"running_{n}": ("sum", F.col(n)) for n in values})
-    cut = sliced(rows, ["corpus_id"], _order(), slices)
+    return sliced(rows, ["corpus_id"], _order(), slices)
+
+
+def _ranked(cut: DataFrame, names: list[str]) -> DataFrame:
+    """Rank within the corpus and running sums of the named columns."""
+    totals = {"priority_rank": ("sum", F.lit(1)), **{f"running_{n}": ("sum", F.col(n)) for n in names}}
     return running(cut, ["corpus_id"], _order(), totals).drop("_slice")
 
 
 def priority_rank(files: DataFrame, slices: int | None = None) -> DataFrame:
     """corpus_id, path, importance_score, priority_rank (1 = first; ties by path)."""
-    return ranked(files, {}, slices)
+    return _ranked(_cut(files, {}, slices), [])
 
 
 def budget_fit(files: DataFrame, budget: int, tokens: str = "tokens", slices: int | None = None) -> DataFrame:
     """Files in rank order up to the first that would pass the budget of its corpus; 0 means no limit."""
-    rows = ranked(files, {"tokens": F.col(tokens)}, slices)
+    rows = _ranked(_cut(files, {"tokens": F.col(tokens)}, slices), ["tokens"])
     fits = F.lit(True) if budget == 0 else F.col("running_tokens") <= budget
     return rows.filter(fits)
 
@@ -57,12 +60,13 @@ def budget_level(files: DataFrame, budget: int, slices: int | None = None) -> Da
     whether the file is kept.
     """
     columns = {level: F.col(f"tokens_{level}") for level in LEVELS_WEAK_TO_STRONG}
-    totals = files.groupBy("corpus_id").agg(*[F.sum(c).alias(f"total_{n}") for n, c in columns.items()])
+    cut = _cut(files, columns, slices)
+    totals = cut.groupBy("corpus_id").agg(*[F.sum(n).alias(f"total_{n}") for n in columns])
     chosen = F
     for level in LEVELS_WEAK_TO_STRONG[:-1]:
         chosen = chosen.when((F.lit(budget) == 0) | (F.col(f"total_{level}") <= budget), level)
     levels = totals.select("corpus_id", chosen.otherwise(LEVELS_WEAK_TO_STRONG[-1]).alias("level"))
-    rows = ranked(files, columns, slices).join(levels, "corpus_id")
+    rows = _ranked(cut, list(columns)).join(levels, "corpus_id")
     tokens, total = F, F
     for level in LEVELS_WEAK_TO_STRONG:
         tokens = tokens.when(F.col("level") == level, F.col(level))

@@ -37,20 +37,20 @@ def compare_versions(old: DataFrame, new: DataFrame, keep_end: bool = False) ->
 
 
 def next_definition(files: DataFrame, ends: DataFrame) -> DataFrame:
-    """For (corpus_id, path, end_line) rows: the first later line that opens a definition, stripped; '' if none.
+    """Rows of ``ends`` (with corpus_id, path, end_line) plus ``following``: the first later line that opens a
+    definition, stripped; '' if there is none.
 
     Ends and definition lines share one pass from the bottom of each file upwards (a forward as-of match).
     """
     lines = F.transform(splitlines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line_no"), line.alias("line")))
     heads = F.filter(lines, lambda x: starts_with_any(lstrip(x.line), fv.DEFINITION_STARTS))
     opened = files.select(*KEYS, F.explode(heads).alias("x")).select(
-        *KEYS, F.col("x.line_no").alias("line_no"), strip(F.col("x.line")).alias("following"), F.lit(0).alias("is_end"))
-    asked = ends.select(*KEYS, F.col("end_line").alias("line_no"), F.lit(None).cast("string").alias("following"),
-                        F.lit(1).alias("is_end")).distinct()
-    upwards = Window.partitionBy(*KEYS).orderBy(F.desc("line_no"), F.desc("is_end"))
-    found = F.last("following", ignorenulls=True).over(upwards.rowsBetween(Window.unboundedPreceding, 0))
-    return (opened.unionByName(asked).withColumn("following", F.coalesce(found, F.lit(""))).filter("is_end = 1")
-            .select(*KEYS, F.col("line_no").alias("end_line"), "following"))
+        *KEYS, F.col("x.line_no").alias("end_line"), strip(F.col("x.line")).alias("_head"))
+    asked = ends.withColumn("_asked", F.lit(1))
+    upwards = Window.partitionBy(*KEYS).orderBy(F.desc("end_line"), F.desc("_asked"))
+    found = F.last("_head", ignorenulls=True).over(upwards.rowsBetween(Window.unboundedPreceding, 0))
+    return (asked.unionByName(opened, allowMissingColumns=True).withColumn("following", F.coalesce(found, F.lit("")))
+            .filter("_asked = 1").drop("_asked", "_head"))
 
 
 def generate_edits(old: DataFrame, new: DataFrame, whole_path: bool = False) -> DataFrame:
@@ -60,10 +60,8 @@ def generate_edits(old: DataFrame, new: DataFrame, whole_path: bool = False) ->
     by change type and name.  Files present in only one snapshot give no instructions.
     """
     both = old.join(new.select(*KEYS), KEYS, "left_semi"), new.join(old.select(*KEYS), KEYS, "left_semi")
-    changes = compare_versions(*both, keep_end=True)
-    ends = changes.filter("change_type <> 'added'").select(*KEYS, F.col("old_end").alias("end_line"))
-    following = next_definition(both[0], ends).withColumnRenamed("end_line", "old_end")
-    rows = changes.join(following, KEYS + ["old_end"], "left")
+    changes = compare_versions(*both, keep_end=True).withColumnRenamed("old_end", "end_line")
+    rows = next_definition(both[0], changes)
     added, removed = F.col("change_type") == "added", F.col("change_type") == "removed"
     order = Window.partitionBy(*KEYS).orderBy("change_type", "method_name")
     return rows.select(
@@ -71,7 +69,7 @@ def generate_edits(old: DataFrame, new: DataFrame, whole_path: bool = False) ->
         (F.col("path") if whole_path else basename(F.col("path"))).alias("file"),
         F.lit(None).cast("string").alias("section"),
         F.when(added, "").otherwise(F.col("old_signature")).alias("find_method"),
-        F.when(added, "").otherwise(F.coalesce("following", F.lit(""))).alias("until_exclude"),
+        F.when(added, "").otherwise(F.col("following")).alias("until_exclude"),
         F.when(removed, "").otherwise(F.col("new_source")).alias("replace_with"))
 
 

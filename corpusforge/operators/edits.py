@@ -112,22 +112,21 @@ def _step(state: Column, ins: Column) -> Column:
 
 
 def apply_edits(instructions: DataFrame, files: DataFrame) -> DataFrame:
-    """script_id, file, content, n_instructions, applied for every (script, file) that instructions name.
+    """script_id, corpus_id, file, content, n_instructions, applied for every (script, file) that instructions name.
 
     ``files`` has corpus_id and path; ``instructions`` also carries the corpus_id its file names belong to.  Content
-    is null when nothing exists and nothing was created.
+    is null when nothing exists and nothing was created; instructions without a file fail as a group of their own.
     """
-    named = instructions.filter(F.coalesce("file", F.lit("")) != "")
     step = F.struct("seq", "section", "find_method", "until_exclude", "replace_with")
-    scripts = (named.groupBy("script_id", "corpus_id", "file")
+    scripts = (instructions.groupBy("script_id", "corpus_id", F.nullif("file", F.lit("")).alias("file"))
                .agg(F.array_sort(F.collect_list(step)).alias("steps")))
     joined = scripts.join(files.select("corpus_id", F.col("path").alias("file"), "content"), ["corpus_id", "file"], "left")
     start = F.struct(F.coalesce(splitlines(F.col("content")), F.array().cast(_EMPTY)).alias("lines"),
                      F.col("content").isNotNull().alias("exists"), F.lit(0).alias("applied"))
-    folded = joined.withColumn("state", F.aggregate("steps", start, _step))
-    text = F.when(F.col("state.applied") == 0, F.col("content")).when(F.col("state.exists"), file_text(F.col("state.lines")))
+    folded = joined.withColumn("state", F.when(F.col("file").isNotNull(), F.aggregate("steps", start, _step)))
+    text = F.when(F.col("state.applied") > 0, file_text(F.col("state.lines"))).otherwise(F.col("content"))
     return folded.select("script_id", "corpus_id", "file", text.alias("content"), F.size("steps").alias("n_instructions"),
-                         F.col("state.applied").alias("applied"))
+                         F.coalesce("state.applied", F.lit(0)).alias("applied"))
 
 
 def patched_corpus(files: DataFrame, applied: DataFrame) -> DataFrame:
@@ -138,9 +137,7 @@ def patched_corpus(files: DataFrame, applied: DataFrame) -> DataFrame:
     return kept.unionByName(changed)
 
 
-def apply_report(instructions: DataFrame, applied: DataFrame) -> DataFrame:
+def apply_report(applied: DataFrame) -> DataFrame:
     """Per script: instructions, how many applied, and success (any did)."""
-    asked = instructions.groupBy("script_id").agg(F.count("*").alias("n_instructions"))
-    done = applied.groupBy("script_id").agg(F.sum("applied").alias("applied"))
-    return (asked.join(done, "script_id", "left").withColumn("applied", F.coalesce("applied", F.lit(0)))
+    return (applied.groupBy("script_id").agg(F.sum("n_instructions").alias("n_instructions"), F.sum("applied").alias("applied"))
             .withColumn("success", F.col("applied") > 0))

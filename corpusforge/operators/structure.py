@@ -92,7 +92,8 @@ def statements(files: DataFrame) -> DataFrame:
               & ~F.coalesce(F.lag(F.col("masked").endswith("\\")).over(order), F.lit(False)))
     lines = lines.withColumn("starts", starts).select(
         *KEYS, "line_no", "starts", "blank", "indent", "net", "stray", F.regexp_replace("code", r"\\\z", " ").alias("code"),
-        F.regexp_replace("masked", r"\\\z", " ").alias("masked"), F.sum(F.col("starts").cast("int")).over(order).alias("stmt"))
+        F.regexp_replace("masked", r"\\\z", " ").alias("masked"), F.sum(F.col("starts").cast("int")).over(
+            order.rowsBetween(Window.unboundedPreceding, 0)).alias("stmt"))
     grouped = lines.groupBy(*KEYS, "stmt").agg(
         F.min("line_no").alias("start_line"),
         F.max(F.when(~F.col("blank"), F.col("line_no"))).alias("end_line"),

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge.operators import budget, compare, edits, filters, reduce
+from corpusforge.session import stored
 from corpusforge.sources import archives
 
 
@@ -12,6 +13,8 @@ def pack(files: DataFrame, level: str, extensions: list[str] | None = None, max_
     """Filter, reduce, rank, fit the token budget; returns archive entries and archive metadata."""
     reduced = reduce.reduce_corpus(filters.by_extension(files, extensions), level)
     if max_tokens:
+        # Ranking needs the token counts and packing the text: reduce once, read twice.
+        reduced = stored(reduced, "reduced")
         kept = budget.budget_fit(reduced, max_tokens).select("corpus_id", "path", "importance_score")
         reduced = reduced.join(kept, ["corpus_id", "path"])
     else:
@@ -24,5 +27,5 @@ def carry_edits(old: DataFrame, new: DataFrame, target: DataFrame) -> tuple[Data
     """Generate the edits between two snapshots and apply them to ``target``; returns new corpus and report."""
     scripts = compare.generate_edits(old, new, whole_path=True).withColumn(
         "corpus_id", F.substring_index("script_id", ":", 1))
-    applied = edits.apply_edits(scripts, target)
-    return edits.patched_corpus(target, applied), edits.apply_report(scripts, applied)
+    applied = stored(edits.apply_edits(scripts, target), "applied")
+    return edits.patched_corpus(target, applied), edits.apply_report(applied)

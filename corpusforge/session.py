@@ -43,6 +43,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """Write wide rows once to the shared folder and read them back, where several jobs need the same costly result."""
+    folder = new_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     """The session's shuffle width, as set for the cluster."""
     wide = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
