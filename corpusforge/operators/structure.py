@@ -177,9 +177,9 @@ def class_signature(header: Column) -> Column:
 def definitions(files: DataFrame, with_source: bool = True) -> DataFrame:
     """Every def and async def at any depth with span, signature and source.
 
-    A definition ends before the first later statement that is indented no deeper.  Statements are replicated once
-    per distinct definition indentation that they can close (Python allows at most 100), and within one indentation
-    level the closing statement is simply the next row, so no pairs are formed.
+    A definition ends before the first later statement that is indented no deeper.  Each statement is repeated for
+    the definition indentations that it closes (those it dedents past) and each definition for its own, so within one
+    indentation level the closing statement is simply the next row and no pairs are formed.
     """
     order = Window.partitionBy(*KEYS).orderBy("stmt")
     whole = Window.partitionBy(*KEYS)
@@ -192,17 +192,20 @@ def definitions(files: DataFrame, with_source: bool = True) -> DataFrame:
             .withColumn("next_start", F.lead("start_line").over(order))
             .withColumn("prev_end", F.lag("end_line").over(order))
             .withColumn("prev_code", F.lag("last_code").over(order))
-            .withColumn("decorated", F.lag("kind").over(order) == "decorator")
+            .withColumn("prev_indent", F.lag("indent").over(order))
+            .withColumn("prev_kind", F.lag("kind").over(order))
             .withColumn("anchor", anchor)
             .withColumn("file_start", F.min("start_line").over(whole))
             .withColumn("file_end", F.max("end_line").over(whole))
             .withColumn("file_code", F.max_by("last_code", "stmt").over(whole))
             .withColumn("levels", F.collect_set(F.when(is_def, F.col("indent"))).over(whole)))
     rows = rows.withColumn("source_start", F.when(
-        F.col("decorated"), F.coalesce("anchor.next_start", "file_start")).otherwise(F.col("start_line")))
-    reachable = F.filter("levels", lambda level: level >= F.col("indent"))
+        F.col("prev_kind") == "decorator", F.coalesce("anchor.next_start", "file_start")).otherwise(F.col("start_line")))
+    after_def = F.col("prev_kind").isin("def", "async def")
+    reachable = F.filter("levels", lambda level: (level >= F.col("indent")) & (
+        (level < F.col("prev_indent")) | (after_def & (level == F.col("prev_indent"))) | (is_def & (level == F.col("indent")))))
     by_level = Window.partitionBy(*KEYS, "level").orderBy("stmt")
-    rows = (rows.drop("anchor", "next_start", "decorated").withColumn("level", F.explode(reachable))
+    rows = (rows.drop("anchor", "next_start").withColumn("level", F.explode(reachable))
             .withColumn("closed_end", F.lead("prev_end").over(by_level))
             .withColumn("closed_code", F.lead("prev_code").over(by_level))
             .filter(is_def & (F.col("level") == F.col("indent"))))
