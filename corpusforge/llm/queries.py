@@ -1,10 +1,12 @@
 """Queries of the corpus operators and their SQL, added by the entry file when this subpackage is there."""
 
-from corpusforge.llm import decontamination, mixing
+from corpusforge.llm import decontamination, mixing, near_dedup, token_files
 
 QUERIES = {
     "op2_mixing": mixing.op2_mixing,
+    "op3_token_files": token_files.op3_token_files,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
