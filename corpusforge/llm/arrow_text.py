@@ -89,13 +89,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class SpanHasher:
+    """64-bit hashes of ``values[start:stop]`` for any spans, after one pass over the values."""
+
+    def __init__(self, values: np.ndarray):
+        up, self.down = _grown(len(values) + 1)
+        self.total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=self.total[1:])
+
+    def __call__(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        plain = (self.total[stops] - self.total[starts]) * self.down[starts]
+        return mixed(plain + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``values[start:stop]`` for every span."""
-    up, down = _grown(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    plain = (total[stops] - total[starts]) * down[starts]
-    return mixed(plain + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return SpanHasher(values)(starts, stops)
 
 
 def log2_ceil(n: int) -> int:
