@@ -1,13 +1,15 @@
 """Queries of the corpus operators and their SQL, added by the entry file when this subpackage is there."""
 
 import corpus_pipeline
-from corpusforge.llm import decontamination, embedding_dedup, mixing, near_dedup, token_files, toxicity
+from corpusforge.llm import decontamination, embedding_dedup, html_text, lm_scoring, mixing, near_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_mixing": mixing.op2_mixing,
     "op3_token_files": token_files.op3_token_files,
     "op4_embedding_dedup": embedding_dedup.op4_embedding_dedup,
+    "op5_html_text": html_text.op5_html_text,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_decontamination": decontamination.op7_decontamination,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "pipeline": corpus_pipeline.run,
