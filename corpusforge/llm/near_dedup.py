@@ -21,8 +21,9 @@ from corpusforge.session import checkpointed, stored
 WORDS, PERCENT, SKETCH = 5, 75, 64
 #: A pair at the threshold shares fewer than so many of its union's SKETCH smallest hashes with a chance below 1e-8.
 LEAST_SHARED = 27
-#: Rounds of one hub per list, before what they leave open is compared pair by pair.
-HUB_ROUNDS = 6
+#: While more than LINEAR pairs per list entry are open, every list compares its documents with one hub, and those linked
+#: to it take its label; pairs of one label are settled.  What is open after HUB_ROUNDS is compared pair by pair.
+HUB_ROUNDS, LINEAR = 8, 4
 _PAD = np.iinfo(np.int64).max
 
 
@@ -79,6 +80,14 @@ def _listed(classes: DataFrame, percent: int) -> DataFrame:
     return listed.select("doc", "n", F.col("h.value").alias("value"))
 
 
+def _open_lists(marked: DataFrame, turn: int) -> DataFrame:
+    """Lists whose documents carry several labels: value, pairs (with different labels), hub (one document by hash)."""
+    one = F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n", "label")
+    by_label = marked.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(one).alias("hub"))
+    lists = by_label.groupBy("value").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("hub").alias("hub"))
+    return lists.filter("m * m > same").select("value", ((F.col("m") * F.col("m") - F.col("same")) / 2).cast("long").alias("pairs"), "hub")
+
+
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and union sketches allow the threshold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,12 +108,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             whole = (n_a < SKETCH) & (n_b < SKETCH)  # then the sketches are the sets
             good = np.where(whole, shared * 100 >= percent * (n_a + n_b - shared),
                             shared >= np.minimum(LEAST_SHARED, np.ceil(union * percent / 100)))
-            yield batch.filter(pa.array(good)).select(["a", "b"])
+            yield batch.filter(pa.array(good)).select(["a", "b", "label"])
 
     sized = pairs.filter(f"n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}")
     side = classes.select("doc", "sketch")
     return (sized.join(side.toDF("b", "sketch_b"), "b").join(side.toDF("a", "sketch_a"), "a")
-            .select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long"))
+            .select("a", "b", "label", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, label long"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -119,10 +128,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                         last, mine = ids[k], shingle_sets(batch.column("text_a").slice(k, 1), words)[0]
                     shared = len(np.intersect1d(mine, other, assume_unique=True))
                     good.append(shared * 100 >= percent * (len(mine) + len(other) - shared))
-                yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
+                yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b", "label"])
 
     return (pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-            .select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
+            .select("a", "b", "label", "text_a", "text_b").mapInArrow(run, "a long, b long, label long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -130,8 +139,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     Documents are linked when 100 * shared >= ``percent`` * union of their full sets of ``words``-word shingles, A-Z
     lower-cased.  Texts without words, and null texts, link with nothing.  Rows of one doc_id are one document; rows
-    without id take part through equal texts only and are always kept.  The component of every document is exact: hubs
-    first join most of each list with few pairs, then all pairs still in different components are compared.
+    without id take part through equal texts only and are always kept.  Hubs join most of each list with few pairs, then all
+    pairs that are still open are compared, so no component is missed however large a list is.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     rows = stored(_sketched(docs, words), "near-sketches")
@@ -139,32 +148,29 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = stored(rows.join(firsts, "class").filter("doc_id = doc").select("doc", "n", "sketch")
                      .filter("doc is not null"), "near-firsts")
     listed = checkpointed(_listed(classes, percent))
-    marked = listed.withColumn("comp", F.col("doc"))
-    links, tried = [], []
+    few = LINEAR * listed.count()
+    marked, links = listed.withColumn("label", F.col("doc")), []
     for turn in range(HUB_ROUNDS + 1):
-        mixed = marked.groupBy("value").agg(
-            F.min("comp").alias("_low"), F.max("comp").alias("_high"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "doc"), "doc", "n", "comp")).alias("hub"))
-        mixed = stored(mixed.filter("_low <> _high").select("value", "hub"), "near-lists")
-        if turn == HUB_ROUNDS or mixed.isEmpty():
+        lists = stored(_open_lists(marked, turn), "near-lists")
+        left = lists.agg(F.sum("pairs")).first()[0] or 0
+        if left <= few or turn == HUB_ROUNDS:
             break
-        meet = marked.join(mixed, "value").filter(F.col("comp") != F.col("hub.comp"))
+        meet = marked.join(lists, "value").filter(F.col("label") != F.col("hub.label"))
         pairs = meet.select(F.col("hub.doc").alias("a"), F.col("doc").alias("b"), F.col("hub.n").alias("n_a"),
-                            F.col("n").alias("n_b")).distinct()
-        found = checkpointed(_verified(checkpointed(_estimated(pairs, classes, percent)), texts, words, percent))
-        if found.isEmpty():
-            break
-        links.append(found)
-        grouped = components(_union(links))
-        marked = checkpointed(listed.join(grouped, listed["doc"] == grouped["node"], "left").select(
-            "doc", "n", "value", F.coalesce("component", "doc").alias("comp")))
-    if not mixed.isEmpty():
-        left, right = (marked.join(mixed.select("value"), "value", "left_semi").select(
-            "value", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "comp")]) for side in "ab")
+                            F.col("n").alias("n_b"), F.col("hub.label").alias("label")).distinct()
+        found = checkpointed(_verified(_estimated(pairs, classes, percent), texts, words, percent))
+        links.append(found.select("a", "b"))
+        moved = found.groupBy(F.col("b").alias("doc")).agg(F.min("label").alias("_label"))
+        marked = checkpointed(marked.join(moved, "doc", "left").select(
+            "doc", "n", "value", F.coalesce("_label", "label").alias("label")))
+    if left:
+        open_ones = marked.join(lists.select("value"), "value", "left_semi")
+        left, right = (open_ones.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "label")]) for side in "ab")
         pairs = left.join(right, "value").filter(
-            f"doc_a < doc_b and comp_a <> comp_b and n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}")
-        pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b").distinct()
-        links.append(checkpointed(_verified(checkpointed(_estimated(pairs, classes, percent)), texts, words, percent)))
+            f"doc_a < doc_b and label_a <> label_b and n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}")
+        pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b", F.col("label_a").alias("label"))
+        found = _verified(_estimated(pairs.distinct(), classes, percent), texts, words, percent)
+        links.append(checkpointed(found).select("a", "b"))
     owners = firsts
     if links:
         grouped = components(_union(links))

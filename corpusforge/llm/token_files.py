@@ -106,9 +106,11 @@ def decompressor(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> bytes:
     """A dictionary from a bounded sample; samples too few or too even for training serve as raw content."""
-    short = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "text")
-    sample = short.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS)
-    ids = [bytes(r["frame"]) for r in _encoded(sample, tokenizer, end_id, None).collect()]
+    drawn = docs.filter(F.octet_length("text") <= SAMPLE_BYTES).withColumn("_draw", F.xxhash64("doc_id", "text"))
+    last = drawn.select("_draw").distinct().orderBy("_draw").limit(SAMPLE_DOCS).agg(F.max("_draw")).first()[0]
+    # Equal rows have equal draws: one of each, so at most SAMPLE_DOCS.
+    sample = drawn.filter(F.col("_draw") <= last).dropDuplicates(["_draw"]).select("doc_id", "text")
+    ids = sorted(bytes(r["frame"]) for r in _encoded(sample, tokenizer, end_id, None).collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, ids).as_bytes()
     except zstandard.ZstdError:
