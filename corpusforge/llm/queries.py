@@ -1,7 +1,8 @@
 """Queries of the corpus operators and their SQL, added by the entry file when this subpackage is there."""
 
 import corpus_pipeline
-from corpusforge.llm import decontamination, embedding_dedup, html_text, lm_scoring, mixing, near_dedup, token_files, toxicity
+from corpusforge.llm import (decontamination, embedding_dedup, html_text, lm_scoring, mixing, near_dedup,
+                             substring_dedup, suffix_dedup, token_files, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +12,8 @@ QUERIES = {
     "op5_html_text": html_text.op5_html_text,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_decontamination": decontamination.op7_decontamination,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
