@@ -4,7 +4,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,8 @@ COSINE = 0.95
 RECALL = 0.998
 #: Rows of one bucket that a task compares at once with as many others.
 BLOCK = 2000
+#: Buckets up to this size are compared pair by pair in one go, larger ones as matrices.
+SMALL = 32
 SEED = 20240607
 
 
@@ -28,84 +29,99 @@ def tables_and_bits(n: int, cosine: float = COSINE, recall: float = RECALL) -> t
     return math.ceil(math.log(1 - recall) / math.log(1 - agree)), bits
 
 
+def _matrices(lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, unit vectors in double precision) of every vector length; unusable vectors are left out."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy()
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == size)
+        m = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
+        with np.errstate(all="ignore"):
+            scale = np.abs(m).max(1)
+        good = np.isfinite(scale) & (scale > 0)
+        m = m[good] / scale[good, None]
+        yield rows[good], m / np.sqrt((m * m).sum(1))[:, None]
+
+
 def _coded(vectors: DataFrame, column: str, tables: int, bits: int) -> DataFrame:
-    """vec_id, unit (float64 bytes) and codes (one per table) of the usable vectors."""
+    """vec_id, v and codes (one per table) of the usable vectors."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
         powers = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            ids, units, codes = [], [], []
-            lists, id_column = batch.column("v"), batch.column("vec_id")
-            sizes = lists.value_lengths().fill_null(0).to_numpy()
-            for size in np.unique(sizes[sizes > 0]).tolist():
-                rows = np.flatnonzero(sizes == size)
-                flat = lists.take(pa.array(rows)).flatten()
-                m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), size)
-                with np.errstate(all="ignore"):
-                    scale = np.abs(m).max(1)
-                    good = np.isfinite(scale) & (scale > 0)
-                    m = m[good] / scale[good, None]
-                    m /= np.sqrt((m * m).sum(1))[:, None]
+            for rows, m in _matrices(batch.column("v")):
+                size = m.shape[1]
                 if size not in planes:
                     planes[size] = np.random.default_rng([SEED, size]).standard_normal((size, tables * bits))
-                sign = (m @ planes[size] > 0).reshape(len(m), tables, bits)
-                ids.append(id_column.take(pa.array(rows[good])))
-                units += [u.tobytes() for u in m]
-                codes += list(sign @ powers)
-            if ids:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays(ids), pa.array(units, pa.binary()), pa.array(codes, pa.list_(pa.int64()))],
-                    names=["vec_id", "unit", "codes"])
+                for k in range(0, len(rows), 2000):
+                    part, taken = m[k:k + 2000], pa.array(rows[k:k + 2000])
+                    codes = (part @ planes[size] > 0).reshape(len(part), tables, bits) @ powers
+                    cuts = np.arange(0, codes.size + 1, tables, dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("vec_id").take(taken), batch.column("v").take(taken),
+                         pa.ListArray.from_arrays(cuts, pa.array(codes.ravel()))], names=["vec_id", "v", "codes"])
 
     worker_path(vectors.sparkSession)
-    return vectors.select(F.col("vec_id").cast("long"), F.col(column).cast("array<double>").alias("v")).filter(
-        "vec_id is not null").mapInArrow(run, "vec_id long, unit binary, codes array<long>")
+    kind = vectors.schema[column].dataType.simpleString()
+    return vectors.select(F.col("vec_id").cast("long"), F.col(column).alias("v")).filter(
+        "vec_id is not null").mapInArrow(run, f"vec_id long, v {kind}, codes array<long>")
+
+
+def _pairs(unit: np.ndarray, code: np.ndarray, side: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs with equal codes, of both sides where there are two, that reach the cosine."""
+    found = [np.zeros((2, 0), np.int64)]
+    if side.any():
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        a, b = np.nonzero(unit[left] @ unit[right].T >= cosine)
+        return left[a], right[b]
+    order = np.argsort(code, kind="stable")
+    first = np.flatnonzero(np.insert(np.diff(code[order]) != 0, 0, True)) if len(code) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(first, len(code)))
+    for at, size in zip(first[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+        rows = order[at:at + size]
+        a, b = np.nonzero(np.triu(unit[rows] @ unit[rows].T >= cosine, 1))
+        found.append(np.vstack([rows[a], rows[b]]))
+    small = np.repeat(sizes <= SMALL, sizes)
+    ends = np.repeat(first + sizes, sizes)
+    for step in range(1, min(SMALL, int(sizes.max(initial=0)))):
+        at = np.flatnonzero(small & (np.arange(len(code)) + step < ends))
+        for k in range(0, len(at), 100_000):
+            a, b = order[at[k:k + 100_000]], order[at[k:k + 100_000] + step]
+            good = np.einsum("ij,ij->i", unit[a], unit[b]) >= cosine
+            found.append(np.vstack([a[good], b[good]]))
+    return tuple(np.hstack(found))
 
 
 def _compare(cosine: float):
-    """Links of one block, or between two blocks, of a bucket: counts per vector, and the links of a spanning forest.
+    """Links within a group's buckets: the number per vector, and links to the first vector that each is joined with.
 
     A pair that met in an earlier table already is left to that table.
     """
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bucket_table = int(key[0])
-        rows = rows.sort_values(["side", "vec_id"], kind="stable")
-        sides = [rows[rows["side"] == s] for s in (0, 1)] if rows["side"].any() else [rows, rows]
-        same = sides[0] is sides[1]
-        ids = [s["vec_id"].to_numpy() for s in sides]
-        units = [[np.frombuffer(u) for u in s["unit"]] for s in sides]
-        codes = [np.array(s["codes"].tolist(), np.int64).reshape(len(s), -1)[:, :bucket_table] for s in sides]
-        counts: dict[int, int] = {}
-        root: dict[int, int] = {}
-        forest = []
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        lengths = [np.array([len(u) for u in side]) for side in units]
-        right_all = {n: np.flatnonzero(lengths[1] == n) for n in np.unique(lengths[1]).tolist()}
-        packed = {n: np.vstack([units[1][j] for j in at]) for n, at in right_all.items()}
-        for i, unit in enumerate(units[0]):
-            at = right_all.get(len(unit))
-            if at is None:
-                continue
-            begin = np.searchsorted(at, i + 1) if same else 0
-            near = at[begin:][packed[len(unit)][begin:] @ unit >= cosine]
-            if len(near) and bucket_table:
-                near = near[~(codes[1][near] == codes[0][i]).any(1)]
-            a = int(ids[0][i])
-            for b in ids[1][near].tolist():
-                counts[a] = counts.get(a, 0) + 1
-                counts[b] = counts.get(b, 0) + 1
-                if find(a) != find(b):
-                    root[find(a)] = find(b)
-                    forest.append((a, b))
-        return pd.DataFrame({"a": list(counts) + [f[0] for f in forest],
-                             "b": [None] * len(counts) + [f[1] for f in forest],
-                             "n": list(counts.values()) + [0] * len(forest)}).astype({"a": "int64", "b": "Int64", "n": "int64"})
+    def compare(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        ids, code, side = (rows.column(c).to_numpy() for c in ("vec_id", "code", "side"))
+        earlier = rows.column("t")[0].as_py()
+        codes = rows.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)[:, :earlier]
+        counts, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for at, unit in _matrices(rows.column("v").combine_chunks()):
+            a, b = _pairs(unit, code[at], side[at], cosine)
+            a, b = at[a], at[b]
+            new = np.ones(len(a), bool)
+            for k in range(0, len(a) if earlier else 0, 100_000):
+                new[k:k + 100_000] = ~(codes[a[k:k + 100_000]] == codes[b[k:k + 100_000]]).any(1)
+            a, b = a[new], b[new]
+            counts += np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
+            while True:
+                low = np.minimum(label[a], label[b])
+                before = label.copy()
+                np.minimum.at(label, a, low)
+                np.minimum.at(label, b, low)
+                label = label[label]
+                if (label == before).all():
+                    break
+        some, joined = np.flatnonzero(counts), np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"a": pa.array(np.concatenate([ids[some], ids[joined]])),
+                         "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(ids[label[joined]])]),
+                         "n": pa.array(np.concatenate([counts[some], np.zeros(len(joined), np.int64)]))})
     return compare
 
 
@@ -118,7 +134,8 @@ def near_vectors(vectors: DataFrame, column: str = "embedding", cosine: float =
     without id has no links and is kept; ids are taken as unique.
     """
     whole = vectors.select(F.col("vec_id").cast("long"))
-    tables, bits = tables_and_bits(vectors.count(), cosine)
+    n = vectors.count()
+    tables, bits = tables_and_bits(n, cosine)
     usable = vectors.filter(F.col(column).isNotNull() & ~F.exists(column, lambda x: x.isNull()))
     coded = stored(_coded(usable, column, tables, bits), "vector-codes")
     entries = coded.select("vec_id", F.posexplode("codes").alias("t", "code"))
@@ -126,11 +143,13 @@ def near_vectors(vectors: DataFrame, column: str = "embedding", cosine: float =
         "t", "code", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "vector-buckets")
     met = entries.join(full, ["t", "code"]).withColumn(
         "block", F.pmod(F.xxhash64("vec_id", "t"), F.col("blocks")).cast("int"))
-    # Block i takes part in every pair (i, j) and (j, i): the smaller number is side 0.
-    pairs = met.select("vec_id", "t", "code", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = pairs.select("vec_id", "t", "code", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+    # Small buckets go to tasks together; of a larger one, block i takes part in every pair (i, j), the lower number as side 0.
+    together = max(1, -(-n // BLOCK))
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("code"), F.lit(together))).otherwise(-1 - F.col("code"))
+    pairs = met.select("vec_id", "t", "code", "block", group.alias("bucket"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = pairs.select("vec_id", "t", "code", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                           (F.col("block") > F.col("other")).cast("int").alias("side"))
-    found = stored(placed.join(coded, "vec_id").groupBy("t", "code", "i", "j").applyInPandas(
+    found = stored(placed.join(coded, "vec_id").groupBy("t", "bucket", "i", "j").applyInArrow(
         _compare(cosine), "a long, b long, n long"), "vector-links")
     counts = found.filter("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
     grouped = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "vec_id")
