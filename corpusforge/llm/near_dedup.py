@@ -23,7 +23,11 @@ WORDS, PERCENT, SKETCH = 5, 75, 64
 LEAST_SHARED = 27
 #: While more than LINEAR pairs per list entry are open, every list compares its documents with one hub, and those linked
 #: to it take its label; pairs of one label are settled.  What is open after HUB_ROUNDS is compared pair by pair.
-HUB_ROUNDS, LINEAR = 8, 4
+HUB_ROUNDS, LINEAR = 3, 4
+#: Lists with so many open pairs are compared in tasks of two blocks of their documents, which give only likely pairs.
+HOT_PAIRS, BLOCK, PROFILE = 2000, 1000, 256
+#: Bits of the map of documents whose texts are needed: the bound of what is broadcast for it.
+BITS = 1 << 22
 _PAD = np.iinfo(np.int64).max
 
 
@@ -85,7 +89,7 @@ def _open_lists(marked: DataFrame, turn: int) -> DataFrame:
     one = F.struct(F.xxhash64(F.lit(turn), "doc").alias("h"), "doc", "n", "label")
     by_label = marked.groupBy("value", "label").agg(F.count("*").alias("c"), F.min(one).alias("hub"))
     lists = by_label.groupBy("value").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("same"), F.min("hub").alias("hub"))
-    return lists.filter("m * m > same").select("value", ((F.col("m") * F.col("m") - F.col("same")) / 2).cast("long").alias("pairs"), "hub")
+    return lists.filter("m * m > same").select("value", "m", ((F.col("m") * F.col("m") - F.col("same")) / 2).cast("long").alias("pairs"), "hub")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -116,8 +120,29 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "label", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, label long"))
 
 
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of (doc, text) that may be in ``wanted`` (doc): a bitmap of BITS hash values keeps other texts from the shuffle."""
+    spark = texts.sparkSession
+    place = F.pmod(F.xxhash64("doc"), F.lit(BITS))
+    rows = wanted.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {BITS}) & 31 as int))").alias("bit"))
+    marks = np.zeros(BITS // 32, np.uint32)
+    for word, bits in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        marks[word] = bits
+    shared = spark.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("place").to_numpy()
+            yield batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))).select(["doc", "text"])
+
+    return texts.filter("doc is not null").select("doc", "text", place.alias("place")).mapInArrow(run, "doc long, text string")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold.  Rows arrive ordered by ``a``, whose set is made once."""
+    pairs = checkpointed(pairs)
+    texts = _only(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for whole in batches:
@@ -134,6 +159,75 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             .select("a", "b", "label", "text_a", "text_b").mapInArrow(run, "a long, b long, label long"))
 
 
+def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b, label) with different labels that meet in hot lists and whose larger sketches allow the threshold.
+
+    A list is cut into blocks and its pairs of blocks into tasks.  A pair is left to the first hot list that it meets in.
+    A task gives pairs that full sets must confirm; of documents under PROFILE shingles, hardly any others.
+    """
+    def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text"):
+                sets = [(s[:PROFILE] >> 31).astype(np.uint32).tobytes() for s in shingle_sets(batch.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], names=["doc", "profile"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        side = rows.column("side").to_numpy()
+        value = rows.column("value")[0].as_py()
+        doc, n, label = (rows.column(c).to_numpy() for c in ("doc", "n", "label"))
+        profiles = [np.frombuffer(p, np.uint32) for p in rows.column("profile").to_pylist()]
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(doc)),) * 2
+        sizes = np.array([len(p) for p in profiles])
+        last = np.array([p[-1] if len(p) == PROFILE else np.iinfo(np.uint32).max for p in profiles], np.uint64)
+
+        def together(lists: list) -> np.ndarray:
+            """How many values the rows of every pair have in common."""
+            owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+            values, column, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            column = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[column]
+            total = np.zeros((len(left), len(right)), np.float32)
+            for k in range(0, int((times > 1).sum()), 4096):
+                wide = np.zeros((len(lists), 4096), np.float32)
+                inside = (column >= k) & (column < k + 4096)
+                wide[owner[inside], column[inside] - k] = 1
+                total += wide[left] @ wide[right].T
+            return total
+
+        earlier = together([np.array([x for x in h if x < value], np.int64) for h in rows.column("hot").to_pylist()])
+        shared = together(profiles)
+        # Below the smaller of two last values both sets are known whole: that is the sketch of their union.
+        until = np.minimum(last[left][:, None], last[right][None, :])
+        whole = sizes[left][:, None] + sizes[right][None, :] - shared
+        for rows_of, at in ((left, 0), (right, 1)):
+            for i, r in enumerate(rows_of):
+                if last[r] < np.iinfo(np.uint32).max:
+                    line = until[i] if at == 0 else until[:, i]
+                    beyond = sizes[r] - np.searchsorted(profiles[r].astype(np.uint64), line, side="right")
+                    if at == 0:
+                        whole[i] -= beyond
+                    else:
+                        whole[:, i] -= beyond
+        p = percent / 100
+        exact = (n[left] < PROFILE)[:, None] & (n[right] < PROFILE)[None, :]
+        margin = np.where(exact, 2.0, 6 * np.sqrt(p * (1 - p) * np.maximum(whole, 1)))
+        good = ((shared + margin >= p * whole) & (earlier == 0) & (label[left][:, None] != label[right][None, :])
+                & (n[left][:, None] * 100 >= n[right][None, :] * percent) & (n[right][None, :] * 100 >= n[left][:, None] * percent))
+        a, b = np.nonzero(np.triu(good, 1) if not side.any() else good)
+        a, b = left[a], right[b]
+        return pa.table({"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b]), "label": label[a]})
+
+    entries = marked.join(hot.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "value")
+    members = entries.groupBy("doc").agg(F.collect_set("value").alias("hot"))
+    members = stored(members.join(_only(texts, entries.select("doc")), "doc").select("doc", "hot", "text"), "near-hot")
+    profiles = members.select("doc", "text").mapInArrow(profile, "doc long, profile binary").dropDuplicates(["doc"])
+    rows = entries.withColumn("block", F.pmod(F.xxhash64("doc", "value"), F.col("blocks")).cast("int")).select(
+        "doc", "n", "label", "value", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = rows.select("doc", "n", "label", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                         (F.col("block") > F.col("other")).cast("int").alias("side"))
+    placed = placed.join(members.select("doc", "hot").dropDuplicates(["doc"]), "doc").join(profiles, "doc")
+    return placed.groupBy("value", "i", "j").applyInArrow(compare, "a long, b long, label long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_shingles, component_id (smallest doc_id linked directly or in steps), kept.
 
@@ -164,13 +258,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         marked = checkpointed(marked.join(moved, "doc", "left").select(
             "doc", "n", "value", F.coalesce("_label", "label").alias("label")))
     if left:
-        open_ones = marked.join(lists.select("value"), "value", "left_semi")
+        open_ones = marked.join(lists.filter(F.col("pairs") < HOT_PAIRS).select("value"), "value", "left_semi")
         left, right = (open_ones.select("value", *[F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "label")]) for side in "ab")
         pairs = left.join(right, "value").filter(
             f"doc_a < doc_b and label_a <> label_b and n_a * 100 >= n_b * {percent} and n_b * 100 >= n_a * {percent}")
         pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), "n_a", "n_b", F.col("label_a").alias("label"))
-        found = _verified(_estimated(pairs.distinct(), classes, percent), texts, words, percent)
-        links.append(checkpointed(found).select("a", "b"))
+        likely = _estimated(pairs.distinct(), classes, percent).union(
+            _likely_in_blocks(marked, lists.filter(F.col("pairs") >= HOT_PAIRS), texts, words, percent))
+        links.append(checkpointed(_verified(likely.dropDuplicates(["a", "b"]), texts, words, percent)).select("a", "b"))
     owners = firsts
     if links:
         grouped = components(_union(links))
