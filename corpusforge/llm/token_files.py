@@ -33,7 +33,7 @@ END_ID = 2
 #: A block ends at the document that fills it; a longer document is a block of its own.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 #: Words whose ids a Python worker remembers between documents and tasks.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 800_000
 _cache: dict[str, tuple] = {}
 
 
