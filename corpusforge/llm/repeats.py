@@ -112,11 +112,11 @@ def repeated_runs(docs: DataFrame, symbols_of: Callable, window: int, gram: int,
                          pa.array([o[2] for o in out], pa.list_(pa.list_(pa.int32())))], names=["anchor", "region", "runs"])
 
     texts = _keyed(docs).select("id", "h", "text")
-    occurrences = stored(texts.mapInArrow(cut, "id long, h long, start int, length int, anchor long, region long"), "repeat-regions")
-    groups = stored(occurrences.groupBy("anchor", "region").agg(F.count("*").alias("weight"), F.min(F.struct(
-        "id", "h", "start", "length")).alias("first")), "repeat-groups")
-    common = groups.groupBy("anchor").agg(F.sum("weight").alias("all")).filter("all > 1").select("anchor")
-    wanted = stored(groups.join(common, "anchor"), "repeat-wanted")
+    every = stored(texts.mapInArrow(cut, "id long, h long, start int, length int, anchor long, region long"), "repeat-regions")
+    common = stored(every.groupBy("anchor").count().filter("count > 1").select("anchor"), "repeat-anchors")
+    occurrences = stored(every.join(common, "anchor", "left_semi"), "repeat-occurrences")
+    wanted = stored(occurrences.groupBy("anchor", "region").agg(F.count("*").alias("weight"), F.min(F.struct(
+        "id", "h", "start", "length")).alias("first")), "repeat-wanted")
     picks = wanted.groupBy("first.id", "first.h").agg(F.collect_list(F.struct(
         "anchor", "region", "weight", "first.start", "first.length")).alias("picks"))
     strings = texts.join(picks, ["id", "h"]).select("text", "picks").mapInArrow(
