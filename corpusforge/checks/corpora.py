@@ -7,7 +7,7 @@ unique, so a file never holds more than 16 blocks whatever the data.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusforge.session import shuffle_partitions, spread
+from corpusforge.session import shuffle_partitions
 
 
 def text(*parts) -> str:
@@ -132,7 +132,7 @@ def sql_ctes() -> dict[str, str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _columns(df: DataFrame, columns: dict[str, str]) -> DataFrame:

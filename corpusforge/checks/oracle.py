@@ -374,8 +374,8 @@ ORACLES = {
     "filter_extension": statement(f"select {K} from files where {t.among(t.suffix('path'), ['.py', '.js', '.html'])}", "files"),
     "filter_path_regex": statement(f"select {K} from files where {t.has('path', q.REGEX)}", "files"),
     "filter_wildcard": _wildcard(),
-    "available_paths": statement("select r.path, r.corpus_id from requested r semi join docs using (path)", "docs", requested=_requested()),
-    "missing_paths": statement("select r.path, r.corpus_id from requested r anti join docs using (path)", "docs", requested=_requested()),
+    "available_paths": statement("select r.path, r.corpus_id from requested r semi join docs using (corpus_id, path)", "docs", requested=_requested()),
+    "missing_paths": statement("select r.path, r.corpus_id from requested r anti join docs using (corpus_id, path)", "docs", requested=_requested()),
     "detect_file_type": statement(f"select {K}, {t.file_type('path')} as file_type from files", "files"),
     "normalise_paths": f"select corpus_id, path, {normalise('path')} as normal from ({select(q.MESSY)})",
     "list_archive": statement(
@@ -440,7 +440,7 @@ ORACLES = {
     "archive_totals": statement(f"select archive_id, {_TOTALS} from entries group by archive_id", "docs", "sites", **_entries()),
     "corpus_stats": statement(
         "select r.corpus_id, count(*) as total_files, cast(coalesce(sum(strlen(content)), 0) as bigint) as total_size_bytes, coalesce(max(strlen(content)), 0) as largest_file_size, "
-        "coalesce(min(strlen(content)), 0) as smallest_file_size from requested r left join docs d using (path) group by r.corpus_id", "docs", requested=_requested()),
+        "coalesce(min(strlen(content)), 0) as smallest_file_size from requested r left join docs d using (corpus_id, path) group by r.corpus_id", "docs", requested=_requested()),
     "extension_histogram": statement(f"select corpus_id, {t.suffix('path')} as extension, count(*) as n_files from files group by all", "files"),
     "cache_stats": statement("select count(*) filter (where cached) as hits, count(*) filter (where not cached) as misses, count(*) as total_lookups, "
                              f"count(*) filter (where cached) / count(*) * 100 as hit_rate_percent from ({_LOOKED})", "docs", **_cache()),

@@ -304,7 +304,7 @@ def _single(kind):
 
 def _applied(spark, sf):
     old, new = _versions(spark, sf)
-    scripts = compare.generate_edits(old, new, whole_path=True).withColumn("corpus_id", F.substring_index("script_id", ":", 1))
+    scripts = compare.generate_edits(old, new, whole_path=True).withColumn("corpus_id", F.expr("left(script_id, length(script_id) - length(file) - 1)"))
     return edits.apply_edits(scripts, old)
 
 

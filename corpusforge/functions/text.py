@@ -79,6 +79,8 @@ def utf8_size(text: Column) -> Column:
 
 
 def decode_utf8(content: Column) -> Column:
-    """Bytes to text, dropping what is not UTF-8."""
-    repaired = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    """Bytes to text, dropping what is not UTF-8.  Genuine replacement characters wait under two noncharacters meanwhile."""
+    parked = F.replace(content.cast("string"), F.lit("\ufffd"), F.lit("\ufdd0\ufdd1"))
+    repaired = F.replace(F.make_valid_utf8(parked), F.lit("\ufffd"), F.lit(""))
+    repaired = F.replace(repaired, F.lit("\ufdd0\ufdd1"), F.lit("\ufffd"))
     return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(repaired)

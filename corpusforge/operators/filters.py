@@ -23,11 +23,12 @@ def by_wildcard(files: DataFrame, pattern: str) -> DataFrame:
 
 
 def available(requested: DataFrame, files: DataFrame) -> DataFrame:
-    return requested.join(files.select("path"), "path", "left_semi")
+    """Requested (corpus_id, path) rows whose file is in the same corpus."""
+    return requested.join(files.select("corpus_id", "path"), ["corpus_id", "path"], "left_semi")
 
 
 def missing(requested: DataFrame, files: DataFrame) -> DataFrame:
-    return requested.join(files.select("path"), "path", "left_anti")
+    return requested.join(files.select("corpus_id", "path"), ["corpus_id", "path"], "left_anti")
 
 
 def union_targets(*scans: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ def archive_totals(entries: DataFrame, by: str = "archive_id") -> DataFrame:
 
 def corpus_stats(requested: DataFrame, sizes: DataFrame) -> DataFrame:
     """Requested files, and total, largest and smallest size of the readable ones (0 when there are none)."""
-    rows = requested.join(sizes.select("path", "size_bytes"), "path", "left")
+    rows = requested.join(sizes.select("corpus_id", "path", "size_bytes"), ["corpus_id", "path"], "left")
     return rows.groupBy("corpus_id").agg(
         F.count("*").alias("total_files"), *[F.coalesce(f("size_bytes"), F.lit(0)).alias(n) for n, f in [
             ("total_size_bytes", F.sum), ("largest_file_size", F.max), ("smallest_file_size", F.min)]])

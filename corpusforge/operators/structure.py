@@ -18,7 +18,8 @@ LEXER = (r'(?s)"""(?:[^"\\]++|\\.|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\.|'(?!'')
          + r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'" + r"""|#[^\n]*+|[^"'#]++|["']""")
 IN_STRING, STRAY_QUOTE = "\x01", "\x02"
 
-_QUOTED = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
+# Possessive and unrolled: a literal of any length takes no matcher stack.
+_QUOTED = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
 
 
 def _balanced(excluded: str, depth: int) -> str:
@@ -323,9 +324,9 @@ def structure_skeleton(files: DataFrame, label: str = fv.STRUCTURE_LABEL) -> Dat
     signature, owner, none = F.col("signature"), F.col("owner.stmt"), F.lit(0)
     empty = F.array().cast("array<string>")
 
-    def item(section, first, second, third, value):
+    def item(section, first, second, third, value, fourth=F.lit(0)):
         return F.struct(F.lit(section).alias("section"), first.cast("int").alias("a"), second.cast("int").alias("b"),
-                        third.cast("int").alias("c"), value.alias("value"))
+                        third.cast("int").alias("c"), F.coalesce(fourth, none).cast("int").alias("d"), value.alias("value"))
 
     method = F.concat(F.lit("    "), signature, F.lit(":\n        ..."))
     items = (F.when(F.col("imports").isNotNull(), F.transform("imports", lambda v, i: item(
@@ -335,7 +336,7 @@ def structure_skeleton(files: DataFrame, label: str = fv.STRUCTURE_LABEL) -> Dat
                                                     item(3, owner, F.lit(9), none, F.lit(""))))
              .when(member & (kind == "def"), F.array(item(3, owner, F.lit(2), line, method)))
              .when(member, F.transform("names", lambda v, i: item(
-                 3, owner, F.lit(1), line * 1000 + i, F.concat(F.lit("    "), v, F.lit(" = ...")))))
+                 3, owner, F.lit(1), line, F.concat(F.lit("    "), v, F.lit(" = ...")), i)))
              .when(top, F.transform(F.coalesce("names", "grown"), lambda v, i: item(
                  1, line, i, none, F.concat(v, F.lit(" = ..."))))))
     per_file = (owned_statements(files).select(*KEYS, F.explode_outer(items).alias("item"))

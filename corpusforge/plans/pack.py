@@ -26,6 +26,6 @@ def pack(files: DataFrame, level: str, extensions: list[str] | None = None, max_
 def carry_edits(old: DataFrame, new: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Generate the edits between two snapshots and apply them to ``target``; returns new corpus and report."""
     scripts = compare.generate_edits(old, new, whole_path=True).withColumn(
-        "corpus_id", F.substring_index("script_id", ":", 1))
+        "corpus_id", F.expr("left(script_id, length(script_id) - length(file) - 1)"))
     applied = stored(edits.apply_edits(scripts, target), "applied")
     return edits.patched_corpus(target, applied), edits.apply_report(applied)

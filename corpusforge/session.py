@@ -24,9 +24,11 @@ def build_session(app_name: str = "corpusforge", master: str | None = None, **se
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local folder only where the session names none (tests)."""
+    """The cluster's checkpoint folder; a machine-local one only for a local master that names none (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpusforge-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
@@ -55,11 +57,3 @@ def shuffle_partitions(spark: SparkSession) -> int:
     wide = spark.conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
     return int(wide or spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give small scans (fewer bytes than one split per core) enough partitions; large scans stay as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    split = df._jdf.sparkSession().sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(cores * 2) if int(str(size)) < cores * split else df

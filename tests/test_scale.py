@@ -75,3 +75,19 @@ def test_budget_is_a_rank_prefix(spark):
             want.add((c, n))
         assert {k for k in kept if k[0] == c} == want
     assert budget.budget_fit(df, 0).count() == len(rows)
+
+
+def test_requests_are_answered_within_their_corpus(spark, corpus):
+    files = corpus(("README.md", "x"), corpus_id="b").union(corpus(("README.md", "yz"), ("a.py", "q"), corpus_id="c"))
+    sizes = files.selectExpr("corpus_id", "path", "length(content) as size_bytes")
+    wanted = spark.createDataFrame([("a", "README.md"), ("b", "README.md")], "corpus_id string, path string")
+    from corpusforge.operators import filters, stats
+    assert [r.corpus_id for r in filters.available(wanted, files).collect()] == ["b"]
+    assert [r.corpus_id for r in filters.missing(wanted, files).collect()] == ["a"]
+    assert {r.corpus_id: (r.total_files, r.total_size_bytes) for r in stats.corpus_stats(wanted, sizes).collect()} == {"a": (1, 0), "b": (1, 1)}
+
+
+def test_invalid_bytes_go_and_genuine_replacement_characters_stay(spark):
+    from corpusforge.functions.text import decode_utf8
+    rows = spark.createDataFrame([(bytearray(b"a\xef\xbf\xbdb\xffc"),), (bytearray("ü�".encode()),)], "content binary")
+    assert [r[0] for r in rows.select(decode_utf8(rows.content)).collect()] == ["a�bc", "ü�"]

@@ -82,7 +82,22 @@ def test_library_imports(library):
 
 
 def test_broken_files_have_no_structure(corpus):
-    files = corpus(("a.py", "def foo(:::"), ("b.py", "Some prose here.\n"), ("c.py", 'x = "open\n'), ("d.py", "def f(): pass\n"),
+    files = corpus(("a.py", "total = [1, (2, 3]\n"), ("b.py", "Some prose here.\n"), ("c.py", 'x = "open\n'), ("d.py", "def f(): pass\n"),
                    ("e.py", "s = '''never closed\n"), ("f.py", "for x in y\n    pass\n"))
     assert [r.path for r in structure.structure_skeleton(files).collect()] == ["d.py"]
     assert [r.path for r in structure.definitions(files).collect()] == ["d.py"]
+
+
+def test_long_literals_in_headers(corpus):
+    """Header parsing takes no stack that grows with a literal."""
+    text = f"def f(a='{'x' * 1_000_000}', b=\"{chr(92)}{chr(92)}{'y' * 500_000}\"):\n    return a\n"
+    rows = structure.definitions(corpus(("a.py", text), ("b.py", "def g(k: int = 1):\n    pass\n"))).collect()
+    assert {r.path for r in rows} == {"a.py", "b.py"}
+
+
+def test_members_of_one_statement_keep_their_order(corpus):
+    names = [f"v{i}" for i in range(1200)]
+    text = "class A:\n    " + " = ".join(names) + " = 0\n    last = 1\n"
+    skeleton = structure.structure_skeleton(corpus(("a.py", text))).first().skeleton
+    found = [line.split()[0] for line in skeleton.splitlines() if line.startswith("    v") or line.startswith("    last")]
+    assert found == [*names, "last"]
