@@ -76,9 +76,9 @@ def _select(labelled: DataFrame, categories: list[str]) -> np.ndarray:
     sums, chosen = stored(sums, "toxicity-features"), []
     for c in categories:
         inside, outside = max(whole[c] or 0, 1), max(whole["n"] - (whole[c] or 0), 1)
-        rate = F.col("n") / F.lit(whole["n"])
-        z = (F.col(c) / F.lit(inside) - (F.col("n") - F.col(c)) / F.lit(outside)) / F.sqrt(
-            rate * (1 - rate) * F.lit(1 / inside + 1 / outside))
+        rate = F.col("n") / F.lit(max(whole["n"], 1))
+        spread = F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) * F.lit(1 / inside + 1 / outside))
+        z = F.try_divide(F.col(c) / F.lit(inside) - (F.col("n") - F.col(c)) / F.lit(outside), spread)
         best = sums.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "feature").limit(FEATURES)
         chosen += [r["feature"] for r in best.select("feature").collect()]
     return np.unique(np.array(chosen, np.int64))
@@ -127,7 +127,7 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> di
 
     ``labels`` has doc_id and a 0/1 column per category; rows with a null are left out and repeated ids count as positive
     if one is.  A category's model sees the features and the out-of-fold log-odds of the categories before it; its
-    threshold is the one with the best F-score out of fold.  Without labelled or positive rows a category is never found.
+    threshold is the one with the best F-score out of fold, of those that are right in half of the cases or more.  Without such a threshold, labelled or positive rows a category is never found.
     """
     worker_path(docs.sparkSession)
     sample = (labels.dropna(subset=["doc_id", *categories]).groupBy("doc_id").agg(*[F.max(c).cast("long").alias(c) for c in categories])
@@ -169,10 +169,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: list[str]) -> di
         hits = np.cumsum(y[order])
         quality = (1 + BETA ** 2) * hits / (np.arange(1, n + 1) + BETA ** 2 * y.sum())
         quality[:-1][held[order][:-1] == held[order][1:]] = 0  # equal scores stay on one side
+        quality[hits * 2 < np.arange(1, n + 1)] = 0  # wrong more often than right
         best = int(np.argmax(quality))
         below = held[order][best + 1] if best + 1 < n else 0.0
         model["weights"].append(_fit(x, y))
-        model["thresholds"].append(float((held[order][best] + below) / 2))
+        model["thresholds"].append(float((held[order][best] + below) / 2) if quality[best] else 2.0)
         earlier = np.hstack([earlier, _logit(held)[:, None]])
     return model
 
