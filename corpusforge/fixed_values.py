@@ -104,8 +104,8 @@ RESPONSE_KEYS = ["file_path", "file_type", "overall_purpose", "key_components",
 COMPONENT_LIST_KEYS = ["imports_dependencies", "classes", "functions_methods"]
 COMPONENT_TEXT_KEYS = ["data_structures", "configuration"]
 
-# The tool label inside trailer lines is ours (it names this package's parts, not another tool's files).  It is as
-# long as the format's usual label, so sizes and token counts agree; operators that write it take it as a parameter.
+# The tool labels inside trailer lines are placeholders of the same length as the format's usual ones, so sizes and token
+# counts agree; operators that write one take it as a parameter.
 STRUCTURE_LABEL = "code_outline.py"
 OUTLINE_LABEL = "outlining.py"
 SEMANTIC_LABEL = "semantic_parts.py"

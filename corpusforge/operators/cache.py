@@ -39,10 +39,14 @@ def misses(keyed: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def upsert(cache: DataFrame, results: DataFrame) -> DataFrame:
-    """The next version of the cache: new results replace stored ones of the same key."""
+    """The next version of the cache: new results replace stored ones of the same key.
+
+    Of several new results of one key, the one that sorts first by its columns enters.
+    """
     columns = KEY + RESULT
-    kept = cache.select(*columns).join(results.select(*KEY), KEY, "left_anti")
-    return kept.unionByName(results.select(*columns))
+    first = results.groupBy(*KEY).agg(F.min(F.struct(*RESULT)).alias("_first")).select(*KEY, "_first.*")
+    kept = cache.select(*columns).join(first.select(*KEY), KEY, "left_anti")
+    return kept.unionByName(first.select(*columns))
 
 
 def save_cache(cache: DataFrame, folder: str, version: str) -> str:

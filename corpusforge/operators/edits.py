@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
+from corpusforge.functions.paths import normalise
 from corpusforge.functions.text import bind, join_lines, lstrip, splitlines, starts_with_any, strip
 
 _EMPTY = "array<string>"
@@ -111,12 +112,18 @@ def _step(state: Column, ins: Column) -> Column:
         (state.applied + after.isNotNull().cast("int")).alias("applied")))
 
 
-def apply_edits(instructions: DataFrame, files: DataFrame) -> DataFrame:
+def apply_edits(instructions: DataFrame, files: DataFrame, single_file: bool = False) -> DataFrame:
     """script_id, corpus_id, file, content, n_instructions, applied for every (script, file) that instructions name.
 
     ``files`` has corpus_id and path; ``instructions`` also carries the corpus_id its file names belong to.  Content
     is null when nothing exists and nothing was created; instructions without a file fail as a group of their own.
+    File names are normalised as paths.  With ``single_file``, the corpus is one file: all instructions address it, whatever
+    file they name.
     """
+    if single_file:
+        instructions = instructions.drop("file").join(files.select("corpus_id", F.col("path").alias("file")), "corpus_id")
+    else:
+        instructions = instructions.withColumn("file", F.when(F.col("file") != "", normalise(F.col("file"))).otherwise(F.col("file")))
     step = F.struct("seq", "section", "find_method", "until_exclude", "replace_with")
     scripts = (instructions.groupBy("script_id", "corpus_id", F.nullif("file", F.lit("")).alias("file"))
                .agg(F.array_sort(F.collect_list(step)).alias("steps")))

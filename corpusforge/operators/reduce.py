@@ -12,6 +12,7 @@ from corpusforge.functions.text import (
 from corpusforge.functions.tokens import add_tokens
 from corpusforge.operators.signatures import signatures
 from corpusforge.operators.structure import structure_skeleton
+from corpusforge.session import stored
 
 KEYS = ["corpus_id", "path"]
 
@@ -167,6 +168,28 @@ def reduce_corpus(files: DataFrame, level: str, label: str = fv.STRUCTURE_LABEL)
     return reduce_levels(files, [level], label)
 
 
+def reduce_without_model(files: DataFrame, level: str, label: str = fv.STRUCTURE_LABEL) -> DataFrame:
+    """Levels semantic and smart where no model can be asked at all.
+
+    Semantic takes the aggressive level.  Smart tries it for code files of some size and keeps what shrinks by more than
+    the semantic ratio; the size tiers decide the rest.
+    """
+    level, prefix = normalise_level(level), F.lit(f"{fv.METHOD_SEMANTIC}-unavailable, fallback to ")
+    blank = F.col("method") == fv.METHOD_BLANK
+    if level == "semantic":
+        return reduce_corpus(files, "aggressive", label).withColumn("level", F.lit(level)).withColumn(
+            "method", F.when(blank, F.col("method")).otherwise(F.concat(prefix, F.col("method"))))
+    if level != "smart":
+        return reduce_corpus(files, level, label)
+    code = typed(files.select("corpus_id", "path", "content")).filter(
+        F.col("file_type").isin(fv.SMART_CODE_TYPES) & (F.col("original_size") > fv.SMART_SEMANTIC_MIN_BYTES))
+    tried = stored(reduce_corpus(code, "aggressive", label), "smart-code").filter(
+        ~blank & (F.col("ratio") > fv.SMART_SEMANTIC_MIN_RATIO))
+    kept = tried.withColumn("level", F.lit(level)).withColumn("method", F.concat(F.lit(PREFIXES["smart"]), prefix, F.col("method")))
+    rest = files.join(tried.select("corpus_id", "path"), ["corpus_id", "path"], "left_anti")
+    return kept.unionByName(reduce_corpus(rest, level, label))
+
+
 def prefix_preview(content: Column, limit: int = fv.PREFIX_CHARS, label: str = fv.OUTLINE_LABEL) -> Column:
     """The opening characters and a note."""
     return F.concat(F.left(content, F.lit(limit)), F.lit(f"\n# ... Signature preview (stub from {label})"))

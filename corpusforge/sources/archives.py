@@ -7,11 +7,12 @@ from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import normalise
 from corpusforge.functions.scale import running, sliced
 from corpusforge.operators.stats import archive_totals
+from corpusforge.sources.corpus import qualified
 
 ENTRY = ("path string, content string, original_size_bytes bigint, compressed_size_bytes bigint, estimated_tokens bigint, "
          "compression_method string, compression_ratio double, importance_score int, last_modified_utc string")
 METADATA = (f"{fv.VERSION_KEY} string, archive_uuid string, creation_timestamp_utc string, source_tool_version string, "
-            "compression_level_setting string, max_tokens_setting int, total_files int, total_original_size_bytes bigint, "
+            "compression_level_setting string, max_tokens_setting int, total_files bigint, total_original_size_bytes bigint, "
             "total_compressed_size_bytes bigint, total_estimated_tokens bigint")
 DOCUMENT = (f"struct<metadata:struct<{METADATA.replace(' ', ':').replace(',:', ',')}>,"
             f"files:array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>>")
@@ -39,7 +40,7 @@ def archive_metadata(entries: DataFrame, level: str, max_tokens: int = 0, create
         "archive_id", F.lit(fv.FORMAT_VERSION).alias(fv.VERSION_KEY), F.col("archive_id").alias("archive_uuid"),
         created_at.alias("creation_timestamp_utc"), F.lit(tool).alias("source_tool_version"),
         F.lit(level).alias("compression_level_setting"), F.lit(max_tokens).alias("max_tokens_setting"),
-        F.col("total_files").cast("int").alias("total_files"), "total_original_size_bytes",
+        "total_files", "total_original_size_bytes",
         "total_compressed_size_bytes", "total_estimated_tokens")
 
 
@@ -82,10 +83,13 @@ def read_documents(spark: SparkSession, target: str, whole_files: bool = True) -
 
 
 def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries and metadata of the readable documents; audit_archives reports the others."""
+    """Entries of the readable documents and one metadata row per archive (all its volumes carry the same one).
+
+    audit_archives reports the other documents.
+    """
     parsed = documents.withColumn("d", F.from_json("document", DOCUMENT, {"mode": "PERMISSIVE"}))
     good = parsed.filter(F.col(f"d.metadata.{fv.VERSION_KEY}").isNotNull() & F.col("d.files").isNotNull())
-    return good.select("archive_id", F.inline("d.files")), good.select("archive_id", "d.metadata.*")
+    return good.select("archive_id", F.inline("d.files")), good.select("archive_id", "d.metadata.*").dropDuplicates(["archive_id"])
 
 
 def safe_path(path: Column) -> Column:
@@ -107,11 +111,16 @@ def extract_plan(entries: DataFrame, pattern: str | None = None) -> DataFrame:
 
 
 def extract_files(plan: DataFrame, base: str) -> None:
-    """Write every planned file below ``base``, on any storage that Arrow can open by URI.  Retries overwrite."""
+    """Write every planned file below ``base``, on any storage that Arrow can open by URI.  Retries overwrite.
+
+    Files of several archives go to a folder each.  A base without scheme is on the session's default file system.
+    """
+    several = plan.agg(F.min("archive_id") != F.max("archive_id")).first()[0]
+    uri = qualified(plan.sparkSession, base)
 
     def write(rows):
         from pyarrow import fs
-        system, root = fs.FileSystem.from_uri(base if "://" in base else f"file://{base}")
+        system, root = fs.FileSystem.from_uri(uri)
         made = set()
         for row in rows:
             target = f"{root.rstrip('/')}/{row.safe_path}"
@@ -122,4 +131,6 @@ def extract_files(plan: DataFrame, base: str) -> None:
             with system.open_output_stream(target) as out:
                 out.write(row.content.encode("utf-8"))
 
-    plan.filter("action = 'write'").select("safe_path", "content").foreachPartition(write)
+    own = F.concat(F.regexp_replace(F.coalesce(safe_path(F.col("archive_id")), F.lit("_")), "/", "_"), F.lit("/"))
+    target = F.concat(own, "safe_path") if several else F.col("safe_path")
+    plan.filter("action = 'write'").select(target.alias("safe_path"), "content").foreachPartition(write)

@@ -1,50 +1,138 @@
-"""File corpora from directories, files and globs."""
+"""File corpora from directories, files and globs.
 
+Folders are listed level by level in tasks, each task a share of the folders, and nothing is left out for its name.  Only
+files whose path passes the filters are opened; one that can't be read is a row of the skipped-files table.
+"""
+
+import posixpath
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import paths
 from corpusforge.functions.text import decode_utf8
+from corpusforge.session import stored
+
+_LISTED = "uri string, folder boolean, size_bytes long, modified_at timestamp"
+_WILD = re.compile(r"[*?\[]")
+
+
+def qualified(spark: SparkSession, target: str) -> str:
+    """The target as a URI of the file system that it belongs to, the session's default one without a scheme."""
+    fixed = target
+    if found := _WILD.search(target):
+        fixed = target[:target.rfind("/", 0, found.start()) + 1] or "."
+    path = spark._jvm.org.apache.hadoop.fs.Path(fixed)
+    uri = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    uri = re.sub("^file:/*", "file:///", uri)
+    return uri if fixed == target else f"{uri}/{target[len(fixed):] if fixed != '.' else target}"
+
+
+def glob_pattern(glob: str) -> str:
+    """A shell glob as a regex over whole paths: ``**/`` is any folders, and wildcards leave out names that begin with a dot."""
+    out = []
+    for part in glob.split("/"):
+        if part == "**":
+            out.append(r"(?:(?!\.)[^/]+/)*")
+            continue
+        body = "".join({"*": "[^/]*", "?": "[^/]"}.get(c) or (c if len(c) > 1 else re.escape(c))
+                       for c in re.findall(r"\[[^\]]+\]|.", part, re.S)).replace("[!", "[^")
+        out.append((r"(?!\.)" if _WILD.match(part) else "") + body + "/")
+    return "^" + "".join(out).removesuffix("/") + ("[^/.][^/]*$" if glob.endswith("**") else "$")
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """What is in every folder of ``rows`` (uri); a file gives itself, a missing target nothing."""
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        for batch in batches:
+            found = []
+            for uri in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(uri)
+                prefix = uri[:len(uri) - len(path)] if uri.endswith(path) else uri[:uri.index("://") + 3]
+                own = system.get_file_info(path)
+                infos = [own]
+                if own.type == fs.FileType.Directory:
+                    infos = system.get_file_info(fs.FileSelector(path, allow_not_found=True))
+                found += [(prefix + i.path, i.type == fs.FileType.Directory, i.size, i.mtime) for i in infos
+                          if i.type != fs.FileType.NotFound]
+            columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
+            kinds = [pa.string(), pa.bool_(), pa.int64(), pa.timestamp("us", "UTC")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+                                             names=["uri", "folder", "size_bytes", "modified_at"])
+    return rows.select("uri").mapInArrow(listed, _LISTED)
 
 
-def _scan(spark: SparkSession, target: str) -> DataFrame | None:
-    """One target: a directory (recursive, hidden files too), a file, or a glob; None when nothing matches."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    system = path.getFileSystem(conf)
-    matches = system.globStatus(path)
-    if not matches:
-        return None
-    reader = spark.read.format("binaryFile").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-    if "**" in target or (not any(c in target for c in "*?[{") and system.getFileStatus(path).isDirectory()):
-        reader = reader.option("recursiveFileLookup", True)
-    return reader.load(target)
+def list_files(spark: SparkSession, targets: list[str]) -> DataFrame:
+    """uri, size_bytes, modified_at of every file in or under the targets, once; globs give files only."""
+    whole = None
+    for target in targets:
+        uri = qualified(spark, target)
+        found = _WILD.search(target)
+        root = uri[:uri.rfind("/", 0, _WILD.search(uri).start())] if found else uri
+        level = spark.createDataFrame([(root,)], "uri string")
+        deepest = 1 << 30 if not found or "**" in target else uri.count("/") - root.count("/")
+        files = None
+        for _ in range(deepest):
+            level = stored(_children(level.repartition("uri")), "listing")
+            here = level.filter("not folder")
+            files = here if files is None else files.union(here)
+            level = level.filter("folder")
+            if level.isEmpty():
+                break
+        if found:
+            files = files.filter(F.col("uri").rlike(glob_pattern(uri)))
+        whole = files if whole is None else whole.union(files)
+    return whole.drop("folder").dropDuplicates(["uri"])
+
+
+def _read(files: DataFrame) -> DataFrame:
+    """``files`` with content (bytes) or the error that kept a file from being read."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        for batch in batches:
+            for k in range(batch.num_rows):
+                content, error = None, None
+                try:
+                    system, path = fs.FileSystem.from_uri(batch.column("uri")[k].as_py())
+                    with system.open_input_stream(path, compression=None) as stream:
+                        content = stream.read()
+                except OSError as failure:
+                    error = str(failure)
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([content], pa.binary()), pa.array([error], pa.string())],
+                                                 names=[*one.schema.names, "bytes", "error"])
+    return files.mapInArrow(read, "uri string, size_bytes long, modified_at timestamp, path string, bytes binary, error string")
+
+
+def _listed(spark: SparkSession, targets: list[str], extensions: list[str] | None, root: str | None) -> DataFrame:
+    path = F.regexp_replace("uri", "^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
+    if root:
+        inside = re.sub("^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)", "", posixpath.normpath(root) if ":" not in root else root)
+        path = F.when(path.startswith(inside.rstrip("/") + "/"), F.expr("substring({}, {})".format(
+            "regexp_replace(uri, '^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)', '')", len(inside.rstrip("/")) + 2))).otherwise(path)
+    return list_files(spark, targets).filter(paths.has_extension(F.col("uri"), extensions)).withColumn("path", path)
 
 
 def scan_corpus(spark: SparkSession, targets: list[str], extensions: list[str] | None = None, root: str | None = None,
                 corpus_id: str = "", with_content: bool = True) -> DataFrame:
-    """files(corpus_id, path, content, size_bytes, modified_at); missing targets give no rows.
+    """files(corpus_id, path, content, size_bytes, modified_at); missing targets give no rows, nor do unreadable files.
 
-    Paths are relative to ``root`` when given.  The extension filter acts on paths, before content is decoded; without
-    content the files are not opened at all.
+    Paths are relative to ``root`` when given.  The extension filter acts on the listing, so other files are not opened;
+    without content none is.  ``skipped_files`` has what could not be read.
     """
-    scans = [s for s in (_scan(spark, t) for t in targets) if s is not None]
-    schema = "corpus_id string, path string, content string, size_bytes bigint, modified_at timestamp"
-    if not scans:
-        empty = spark.createDataFrame([], schema)
-        return empty if with_content else empty.drop("content")
-    stored = F.regexp_replace("path", "^[a-z][a-z0-9+.-]*:(?://[^/]*)?(?=/)", "")
-    if root:
-        stored = F.regexp_replace(stored, F.lit("^" + _quoted(root.rstrip("/")) + "/"), F.lit(""))
-    columns = [F.lit(corpus_id).alias("corpus_id"), stored.alias("path"),
-               *([decode_utf8(F.col("content")).alias("content")] if with_content else []),
-               F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")]
-    rows = [s.filter(paths.has_extension(F.col("path"), extensions)).select(*columns) for s in scans]
-    union = rows[0]
-    for scan in rows[1:]:
-        union = union.unionByName(scan)
-    return union.dropDuplicates(["path"]) if len(rows) > 1 else union
-
-
-def _quoted(text: str) -> str:
-    return "".join("\\" + c if c in r".^$*+?{}[]\|()" else c for c in text)
+    files = _listed(spark, targets, extensions, root)
+    corpus = F.lit(corpus_id).alias("corpus_id")
+    if not with_content:
+        return files.select(corpus, "path", "size_bytes", "modified_at")
+    return _read(files).filter("error is null").select(
+        corpus, "path", decode_utf8(F.col("bytes")).alias("content"), "size_bytes", "modified_at")
+
+
+def skipped_files(spark: SparkSession, targets: list[str], extensions: list[str] | None = None,
+                  root: str | None = None) -> DataFrame:
+    """path and error of every file that a scan of the same targets leaves out because it can't be read."""
+    return _read(_listed(spark, targets, extensions, root)).filter("error is not null").select("path", "error")

@@ -10,7 +10,7 @@ from corpusforge.functions import paths
 from corpusforge.operators import audit, cache, filters, reduce
 from corpusforge.plans.pack import pack
 from corpusforge.sources import archives
-from corpusforge.sources.corpus import scan_corpus
+from corpusforge.sources.corpus import scan_corpus, skipped_files
 
 
 def test_scan(spark, tmp_path):
@@ -20,12 +20,30 @@ def test_scan(spark, tmp_path):
     root = str(tmp_path)
     rows = {r.path: (r.content, r.size_bytes) for r in scan_corpus(spark, [root, f"{root}/sub/*.md", f"{root}/none"], root=root).collect()}
     assert rows["b.TXT"] == ("café !", 8) and rows["sub/c.md"] == ("# c", 3)
-    assert {"a.py", "sub/d.py"} < set(rows) and len(rows) >= 4
+    assert set(rows) == {"a.py", "b.TXT", ".hidden.py", "sub/c.md", "sub/d.py"}
     only = scan_corpus(spark, [f"{root}/a.py", f"{root}/sub"], ["py"], root, with_content=False)
     assert sorted(r.path for r in only.collect()) == ["a.py", "sub/d.py"] and "content" not in only.columns
     assert scan_corpus(spark, [f"{root}/none"]).count() == 0
 
 
+def test_scan_leaves_nothing_out(spark, tmp_path):
+    names = ["src/top.py", "src/pkg/__init__.py", "src/pkg/_priv.py", "src/pkg/mod.py", "src/pkg/deep/d.py", "src/pkg/deep/er/e.py",
+             "src/.hid/h.py", "src/.dot.py", "src/pkg/deep/x.md"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "src/broken.py").symlink_to(tmp_path / "nowhere")
+    root = str(tmp_path)
+
+    def found(*targets, **options):
+        return sorted(r.path for r in scan_corpus(spark, [f"{root}/{t}" for t in targets], root=root, **options).collect())
+    assert found("src") == sorted(names)
+    assert found("src/**/*.py") == sorted(n for n in names if n.endswith(".py") and "/." not in n)
+    assert found("src/*") == ["src/top.py"] and found("src/pkg/?od.py", "src/pkg/mod.py") == ["src/pkg/mod.py"]
+    assert found("src", extensions=["md"], with_content=False) == ["src/pkg/deep/x.md"]
+    assert {r.path for r in skipped_files(spark, [f"{root}/src"], root=root).collect()} <= {"src/broken.py"}
+
+
 def test_extensions_and_wildcards(corpus):
     assert paths.normalise_extensions(["py,MD", ".Js  txt", ""]) == [".js", ".md", ".py", ".txt"]
     files = corpus(("src/a.py", ""), ("src/.bashrc", ""), ("b.tar.GZ", ""), ("Makefile", ""), ("t/test_x.js", ""), ("x[1].py", ""))
@@ -57,6 +75,12 @@ def test_extract(spark, tmp_path):
     assert sorted(str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*.*")) == ["out/a/x.txt"]
 
 
+def test_archives_are_extracted_apart(spark, tmp_path):
+    rows = [("one", "x.txt", "1"), ("two", "x.txt", "2")]
+    archives.extract_files(archives.extract_plan(spark.createDataFrame(rows, "archive_id string, path string, content string")), str(tmp_path))
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.txt")} == {"one/x.txt": "1", "two/x.txt": "2"}
+
+
 def test_pack_write_read(spark, corpus, tmp_path):
     files = corpus(("README.md", "# t\n\n\n\nx\n"), ("src/a.py", "def f(a):\n    return a\n"), ("t.bin", "zz"))
     entries, meta = pack(files, "aggressive", ["md", "py"], created="2024-01-01T00:00:00Z")
@@ -64,7 +88,7 @@ def test_pack_write_read(spark, corpus, tmp_path):
         documents = archives.archive_documents(entries, meta, volume_bytes, slices=2)
         back, meta_back = archives.parse_documents(documents)
         assert sorted(map(tuple, back.select(*entries.columns).collect())) == sorted(map(tuple, entries.collect()))
-        assert {r.total_files for r in meta_back.collect()} == {2}
+        assert [r.total_files for r in meta_back.collect()] == [2]
     document = json.loads(archives.archive_documents(entries, meta).first().document)
     assert list(document) == ["metadata", "files"] and document["metadata"][fv.VERSION_KEY] == fv.FORMAT_VERSION
     assert [f["path"] for f in document["files"]] == ["README.md", "src/a.py"]

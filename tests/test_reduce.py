@@ -129,3 +129,13 @@ def test_responses(corpus, spark):
 def test_answers_are_laid_out_with_defaults(spark, answer, want):
     row = semantic.parse_responses(spark.createDataFrame([("p.py", "Sure: " + answer)], "path string, raw_text string")).first()
     assert row.record_json == want
+
+
+def test_levels_without_a_model(corpus):
+    body = "import os\ndef f(a):\n    return a\n" + "    # filler line\n" * 300
+    files = corpus(("a.py", body), ("s.py", "x = 1\n"), ("t.md", "words\n"), ("b.py", " "))
+    semantic_rows = {r.path: r.method for r in reduce.reduce_without_model(files, "semantic").collect()}
+    assert semantic_rows["a.py"] == "semantic-llm-unavailable, fallback to aggressive (python-ast)"
+    smart = {r.path: r.method for r in reduce.reduce_without_model(files, "smart").collect()}
+    assert smart["a.py"] == "smart->semantic-llm-unavailable, fallback to aggressive (python-ast)"
+    assert smart["s.py"] == smart["t.md"] == "smart->light (whitespace norm.)" and smart["b.py"] == "skip (empty/whitespace)"
