@@ -23,9 +23,9 @@ WORDS, PERCENT, SKETCH = 5, 75, 64
 LEAST_SHARED = 27
 #: While more than LINEAR pairs per list entry are open, every list compares its documents with one hub, and those linked
 #: to it take its label; pairs of one label are settled.  What is open after HUB_ROUNDS is compared pair by pair.
-HUB_ROUNDS, LINEAR = 3, 4
+HUB_ROUNDS, LINEAR = 2, 4
 #: Lists with so many open pairs are compared in tasks of two blocks of their documents, which give only likely pairs.
-HOT_PAIRS, BLOCK, PROFILE = 2000, 1000, 256
+HOT_PAIRS, BLOCK, PROFILE = 300, 1000, 256
 #: Bits of the map of documents whose texts are needed: the bound of what is broadcast for it.
 BITS = 1 << 22
 _PAD = np.iinfo(np.int64).max
