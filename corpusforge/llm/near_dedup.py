@@ -24,7 +24,8 @@ LEAST_SHARED = 27
 #: While more than LINEAR pairs per list entry are open, every list compares its documents with one hub, and those linked
 #: to it take its label; pairs of one label are settled.  What is open after HUB_ROUNDS is compared pair by pair.
 HUB_ROUNDS, LINEAR = 2, 4
-#: Lists with so many open pairs are compared in tasks of two blocks of their documents, which give only likely pairs.
+#: Lists with so many open pairs are compared in tasks of two blocks of their documents.  Of the pairs of sets under PROFILE
+#: shingles, which a task holds whole, it gives a spanning forest of the links; of others the likely pairs.
 HOT_PAIRS, BLOCK, PROFILE = 300, 1000, 256
 #: Bits of the map of documents whose texts are needed: the bound of what is broadcast for it.
 BITS = 1 << 22
@@ -159,26 +160,42 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
             .select("a", "b", "label", "text_a", "text_b").mapInArrow(run, "a long, b long, label long"))
 
 
+def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a symmetric matrix of links: ends of links that join all that it joins, without rings, and each row's group."""
+    group, ends = np.full(len(link), -1), [(np.zeros(0, int),) * 2]
+    for root in range(len(link)):
+        if group[root] >= 0:
+            continue
+        group[root], front = root, np.array([root])
+        while len(front):
+            near = link[front]
+            new = np.flatnonzero(near.any(0) & (group < 0))
+            ends.append((front[near[:, new].argmax(0)], new))
+            group[new], front = root, new
+    return np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]), group
+
+
 def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b, label) with different labels that meet in hot lists and whose larger sketches allow the threshold.
 
     A list is cut into blocks and its pairs of blocks into tasks.  A pair is left to the first hot list that it meets in.
-    A task gives pairs that full sets must confirm; of documents under PROFILE shingles, hardly any others.
+    Links of sets that a task holds whole are decided there, and a spanning forest of them is given: at most one row per
+    document and task.  A larger pair is given unless its ends are joined by that forest.
     """
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in chunks(whole, "text"):
-                sets = [(s[:PROFILE] >> 31).astype(np.uint32).tobytes() for s in shingle_sets(batch.column("text"), words)]
+                sets = [s[:PROFILE].tobytes() for s in shingle_sets(batch.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], names=["doc", "profile"])
 
     def compare(rows: pa.Table) -> pa.Table:
         side = rows.column("side").to_numpy()
         value = rows.column("value")[0].as_py()
         doc, n, label = (rows.column(c).to_numpy() for c in ("doc", "n", "label"))
-        profiles = [np.frombuffer(p, np.uint32) for p in rows.column("profile").to_pylist()]
+        profiles = [np.frombuffer(p, np.int64) for p in rows.column("profile").to_pylist()]
         left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(doc)),) * 2
         sizes = np.array([len(p) for p in profiles])
-        last = np.array([p[-1] if len(p) == PROFILE else np.iinfo(np.uint32).max for p in profiles], np.uint64)
+        last = np.array([p[-1] if len(p) == PROFILE else _PAD for p in profiles])
 
         def together(lists: list) -> np.ndarray:
             """How many values the rows of every pair have in common."""
@@ -200,20 +217,25 @@ def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words
         whole = sizes[left][:, None] + sizes[right][None, :] - shared
         for rows_of, at in ((left, 0), (right, 1)):
             for i, r in enumerate(rows_of):
-                if last[r] < np.iinfo(np.uint32).max:
+                if last[r] < _PAD:
                     line = until[i] if at == 0 else until[:, i]
-                    beyond = sizes[r] - np.searchsorted(profiles[r].astype(np.uint64), line, side="right")
+                    beyond = sizes[r] - np.searchsorted(profiles[r], line, side="right")
                     if at == 0:
                         whole[i] -= beyond
                     else:
                         whole[:, i] -= beyond
         p = percent / 100
         exact = (n[left] < PROFILE)[:, None] & (n[right] < PROFILE)[None, :]
-        margin = np.where(exact, 2.0, 6 * np.sqrt(p * (1 - p) * np.maximum(whole, 1)))
-        good = ((shared + margin >= p * whole) & (earlier == 0) & (label[left][:, None] != label[right][None, :])
+        margin = 6 * np.sqrt(p * (1 - p) * np.maximum(whole, 1))
+        good = (np.where(exact, shared * 100 >= percent * whole, shared + margin >= p * whole)
+                & (earlier == 0) & (label[left][:, None] != label[right][None, :])
                 & (n[left][:, None] * 100 >= n[right][None, :] * percent) & (n[right][None, :] * 100 >= n[left][:, None] * percent))
-        a, b = np.nonzero(np.triu(good, 1) if not side.any() else good)
-        a, b = left[a], right[b]
+        link = np.zeros((len(doc), len(doc)), bool)
+        link[np.ix_(left, right)] = good & exact
+        a, b, group = forest(link | link.T)
+        good &= ~exact & (group[left][:, None] != group[right][None, :])
+        more, others = np.nonzero(np.triu(good, 1) if not side.any() else good)
+        a, b = np.concatenate([a, left[more]]), np.concatenate([b, right[others]])
         return pa.table({"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b]), "label": label[a]})
 
     entries = marked.join(hot.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "value")

@@ -55,6 +55,15 @@ def test_near_duplicates(documents, monkeypatch, hubs, linear, hot):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(true_components(texts), key=str)
 
 
+def test_forest_joins_what_links_join():
+    rng = np.random.default_rng(1)
+    for n, rate in ((1, 0), (7, 0.3), (40, 0.03), (40, 0.0), (30, 1.0)):
+        link = np.triu(rng.random((n, n)) < rate, 1)
+        a, b, group = near_dedup.forest(link | link.T)
+        assert (link | link.T)[a, b].all() and len(a) == n - len(set(group.tolist()))
+        assert (group[a] == group[b]).all() and not link[group[:, None] != group[None, :]].any()
+
+
 def test_deduplicated_keeps_one(documents, clashing):
     texts = near_copies(9, 20)
     kept = near_dedup.deduplicated(clashing(*texts))
