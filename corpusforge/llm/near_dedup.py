@@ -212,18 +212,20 @@ def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words
 
         earlier = together([np.array([x for x in h if x < value], np.int64) for h in rows.column("hot").to_pylist()])
         shared = together(profiles)
-        # Below the smaller of two last values both sets are known whole: that is the sketch of their union.
+        # Below the smaller of two last values both sets are known whole: that is the sketch of their union.  What a set lists
+        # above it is not counted, of sets that are listed whole either.
         until = np.minimum(last[left][:, None], last[right][None, :])
         whole = sizes[left][:, None] + sizes[right][None, :] - shared
         for rows_of, at in ((left, 0), (right, 1)):
             for i, r in enumerate(rows_of):
-                if last[r] < _PAD:
-                    line = until[i] if at == 0 else until[:, i]
-                    beyond = sizes[r] - np.searchsorted(profiles[r], line, side="right")
-                    if at == 0:
-                        whole[i] -= beyond
-                    else:
-                        whole[:, i] -= beyond
+                line = until[i] if at == 0 else until[:, i]
+                if line.min() == _PAD:
+                    continue
+                beyond = sizes[r] - np.searchsorted(profiles[r], line, side="right")
+                if at == 0:
+                    whole[i] -= beyond
+                else:
+                    whole[:, i] -= beyond
         p = percent / 100
         exact = (n[left] < PROFILE)[:, None] & (n[right] < PROFILE)[None, :]
         margin = 6 * np.sqrt(p * (1 - p) * np.maximum(whole, 1))

@@ -55,6 +55,18 @@ def test_near_duplicates(documents, monkeypatch, hubs, linear, hot):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(true_components(texts), key=str)
 
 
+def test_near_duplicates_of_a_truncated_and_a_whole_profile(documents, monkeypatch):
+    """Pairs at the threshold with one set above PROFILE and one below it, met in block tasks alone."""
+    for name, value in (("HUB_ROUNDS", 0), ("LINEAR", 0), ("HOT_PAIRS", 1), ("BLOCK", 4), ("PROFILE", 512)):
+        monkeypatch.setattr(near_dedup, name, value)
+    texts = []
+    for k in range(6):
+        words = [f"w{k}x{i}" for i in range(684)]
+        texts += [" ".join(words), " ".join(words[:514]), " ".join(words[:513 - k])]
+    found = near_dedup.near_duplicates(documents(*texts))
+    assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(true_components(texts), key=str)
+
+
 def test_forest_joins_what_links_join():
     rng = np.random.default_rng(1)
     for n, rate in ((1, 0), (7, 0.3), (40, 0.03), (40, 0.0), (30, 1.0)):
