@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from corpusforge.llm.arrow_text import chunks, worker_path
 from corpusforge.session import stored
 
-#: A slot is template when at least LEAST_TEXTS texts stand in it and distinct ones are at most this share of them.
+#: A slot is template when at least LEAST_TEXTS texts stand in it and distinct ones are at most this share of them.  A text
+#: counts once for every different page, so copies of a page weigh once.
 LEAST_TEXTS, TEMPLATE_VARIETY = 12, 0.3
 #: A host's wrapper merges its most frequent shapes, this many at most; all other shapes are aligned with it as well.
 WRAPPER_SHAPES = 16
@@ -287,16 +288,24 @@ def _aligned(shapes: DataFrame, wrappers: DataFrame) -> DataFrame:
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per row of (page_id, url, html): page_id, url, text (blocks joined by line feeds), n_chars (code points).
 
-    Null and empty pages have empty text, pages without a usable URL share the host "", repeated rows are separate pages.
-    Broken markup is read as far as it goes.  Texts are never cut.
+    Null and empty pages have empty text, pages without a usable URL share the host "", repeated rows each give a row but are
+    one page to the wrapper.  Broken markup is read as far as it goes.  Texts are never cut.
     """
     parsed = stored(_parsed(pages), "page-blocks")
     shapes = stored(parsed.groupBy("host", "shape").agg(F.count("*").alias("pages")), "page-shapes")
     wrappers = stored(_wrappers(shapes), "page-wrappers")
     aligned = stored(_aligned(shapes, wrappers), "page-slots")
-    placed = parsed.select("host", "shape", "blocks").join(aligned, ["host", "shape"]).select(
-        "host", "slots", F.explode("blocks").alias("b"))
-    texts = placed.select("host", F.element_at("slots", F.col("b.leaf") + 1).alias("slot"), F.xxhash64("b.text").alias("h"))
+    # Pages of a host with equal texts are one page here, whatever their number: one of their shapes stands for all.
+    able = F.filter("blocks", lambda b: b["standing"] > 0)
+    hashed = parsed.select("host", F.xxhash64("shape").alias("form"), F.transform(able, lambda b: F.struct(
+        b["leaf"].alias("leaf"), F.xxhash64(b["text"]).alias("h"))).alias("held")).filter(F.size("held") > 0)
+    page = F.xxhash64(F.transform("held", lambda b: b["h"]))
+    pages_once = hashed.groupBy("host", page.alias("page")).agg(F.min(F.struct("form", "held")).alias("p"))
+    placed = pages_once.select("host", "p.form", "p.held").join(
+        aligned.select("host", F.xxhash64("shape").alias("form"), "slots"), ["host", "form"])
+    # A text counts once per page and slot.
+    texts = placed.select("host", F.explode(F.array_distinct(F.transform("held", lambda b: F.struct(
+        F.element_at("slots", b["leaf"] + 1).alias("slot"), b["h"].alias("h"))))).alias("b")).select("host", "b.slot", "b.h")
     repeated = texts.filter("slot >= 0").groupBy("host", "slot", "h").count().groupBy("host", "slot").agg(
         F.sum("count").alias("texts"), F.count("*").alias("distinct"))
     template = repeated.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("distinct") <= F.col("texts") * TEMPLATE_VARIETY))

@@ -210,6 +210,17 @@ def test_wrapper_tells_template_from_content(spark):
     assert {r.text for r in found.collect()} == {f"story {i} of many" for i in range(30)}
 
 
+def test_copies_of_pages_weigh_once(spark):
+    """Equal pages, with and without a host, and a host where 70% of the pages are mirrors of one."""
+    page = "<div><p>Welcome to us</p></div><table><tr><td>story {} of many</td></tr></table><ul><li>a</ul>"
+    rows = [(i, "http://equal.example/x", page.format("one")) for i in range(14)] + [(20 + i, None, page.format("none")) for i in range(14)]
+    rows += [(40 + i, f"http://mirror.example/{i}", page.format(max(i, 28))) for i in range(40)]
+    found = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host, ids in (("one", range(14)), ("none", range(20, 34))):
+        assert {found[i] for i in ids} == {f"Welcome to us\nstory {host} of many\na"}
+    assert [found[40 + i] for i in range(40)] == [f"story {max(i, 28)} of many" for i in range(40)]
+
+
 def test_tree_matching():
     a = ["r", ["x", ["#"]], ["y", ["#"], ["z"]], ["#"]]
     b = ["r", ["y", ["z"]], ["w"], ["#"]]
