@@ -6,6 +6,7 @@ few texts are template and slots whose texts vary are content.  Elements that HT
 notices and the like never are content, and what stands in an article goes before what doesn't.
 """
 
+import hashlib
 import html
 import json
 import re
@@ -19,11 +20,12 @@ from pyspark.sql import functions as F
 from corpusforge.llm.arrow_text import chunks, worker_path
 from corpusforge.session import stored
 
-#: A slot is template when at least LEAST_TEXTS texts stand in it and distinct ones are at most this share of them.  A text
-#: counts once for every different page, so copies of a page weigh once.
-LEAST_TEXTS, TEMPLATE_VARIETY = 12, 0.3
-#: A host's wrapper merges its most frequent shapes, this many at most; all other shapes are aligned with it as well.
-WRAPPER_SHAPES = 16
+#: A slot is template when one text stands in it on two different pages or more, or when its distinct texts are at most this
+#: share of all.  A text counts once for every different page, so copies of a page weigh once.
+TEMPLATE_VARIETY = 0.3
+#: A host's wrapper merges all its shapes, about so many trees in one step.  What a step gives has at most WRAPPER_NODES
+#: nodes and those that all its trees have; blocks of nodes left out have a slot by their path instead.
+MERGED_TREES, WRAPPER_NODES = 16, 512
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small "
                     "span strike strong sub sup time tt u var wbr".split())
@@ -194,20 +196,45 @@ def match(a: list, b: list, seen: dict) -> tuple[int, list]:
     return seen[key]
 
 
-def merged(wrapper: list, page: list) -> list:
-    """The wrapper with the nodes of a page that it lacks, put in between the aligned ones."""
-    _, pairs = match(wrapper, page, {})
+def merged(wrapper: list, page: list, held: dict | None = None, seen: dict | None = None) -> list:
+    """The wrapper with the nodes of a page that it lacks, put in between the aligned ones.
+
+    ``held`` maps the id of a node to how many merged trees have it, with the node itself; others are of one tree.
+    """
+    seen = {} if seen is None else seen
+    _, pairs = match(wrapper, page, seen)
     out, i, j = [wrapper[0]], 1, 1
     for x, y in [*pairs, (len(wrapper), len(page))]:
         out += wrapper[i:x] + page[j:y]
         if x < len(wrapper):
-            out.append(merged(wrapper[x], page[y]))
+            out.append(merged(wrapper[x], page[y], held, seen))
         i, j = x + 1, y + 1
+    if held is not None:
+        held[id(out)] = (held.get(id(wrapper), (1,))[0] + held.get(id(page), (1,))[0], out)
     return out
 
 
+def _most_shared(wrapper: list, held: dict) -> list:
+    """The wrapper with the nodes of the most trees: at most WRAPPER_NODES, or those of every tree if they are more."""
+    def times(node: list) -> int:
+        return held.get(id(node), (1,))[0]
+
+    def all_of(node: list) -> Iterator[int]:
+        yield times(node)
+        for child in node[1:]:
+            yield from all_of(child)
+
+    def kept(node: list, least: int) -> list:
+        return [node[0], *(kept(child, least) for child in node[1:] if times(child) >= least)]
+
+    counts = sorted(all_of(wrapper), reverse=True)
+    if len(counts) <= WRAPPER_NODES:
+        return wrapper
+    return kept(wrapper, min(counts[WRAPPER_NODES] + 1, counts[0]))
+
+
 def slots(wrapper: list, page: list) -> list[int]:
-    """For every leaf of the page, in order, the number of its leaf in the wrapper, or -1."""
+    """For every leaf of the page, in order, the number of its leaf in the wrapper, or a negative hash of its path."""
     numbers: dict[int, int] = {}
 
     def count(node: list) -> None:
@@ -219,14 +246,16 @@ def slots(wrapper: list, page: list) -> list[int]:
     count(wrapper)
     seen, out = {}, []
 
-    def walk(node: list, partner: list | None) -> None:
+    def walk(node: list, partner: list | None, path: str) -> None:
+        path += f"/{node[0]}"
         if node[0] == "#":
-            out.append(numbers[id(partner)] if partner else -1)
+            digest = hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest()
+            out.append(numbers[id(partner)] if partner else -1 - (int.from_bytes(digest, "big") >> 1))
         by_child = {y: x for x, y in match(partner, node, seen)[1]} if partner else {}
         for k, child in enumerate(node[1:], 1):
-            walk(child, partner[by_child[k]] if k in by_child else None)
+            walk(child, partner[by_child[k]] if k in by_child else None, path)
 
-    walk(page, wrapper)
+    walk(page, wrapper, "")
     return out
 
 
@@ -251,25 +280,33 @@ def _parsed(pages: DataFrame) -> DataFrame:
     parsed = pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(
         run, "page_id long, url string, shape string, blocks array<struct<text string, leaf int, standing int>>")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1))
-    return parsed.withColumn("host", host)
+    # Without a host only pages of one shape are taken together, as others may be of any site.
+    return parsed.withColumn("host", F.when(host == "", F.concat(F.lit("?"), F.hex(F.xxhash64("shape")))).otherwise(host))
 
 
 def _wrappers(shapes: DataFrame) -> DataFrame:
-    """host, wrapper: the merged tree of each host's most frequent shapes."""
+    """host, wrapper: the merged tree of all shapes of each host."""
     def induce(rows: pd.DataFrame) -> pd.DataFrame:
-        trees = [json.loads(s) for s in rows.sort_values(["pages", "shape"], ascending=[False, True])["shape"]]
+        rows = rows.sort_values(["pages", "tree"], ascending=[False, True])
+        trees, held = [json.loads(s) for s in rows["tree"]], {}
         wrapper = trees[0]
         for tree in trees[1:]:
-            wrapper = merged(wrapper, tree)
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [json.dumps(wrapper)]})
-
-    # The most frequent shapes of a host come from its counted shapes: partial tops first, so no host meets in one task.
-    salted = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(32)))
-    entry = F.struct((-F.col("pages")).alias("few"), "shape")
-    top = salted.groupBy("host", "salt").agg(F.slice(F.sort_array(F.collect_list(entry)), 1, WRAPPER_SHAPES).alias("best"))
-    top = top.groupBy("host").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, WRAPPER_SHAPES).alias("best"))
-    rows = top.select("host", F.explode("best").alias("b")).select("host", (-F.col("b.few")).alias("pages"), "b.shape")
-    return rows.groupBy("host").applyInPandas(induce, "host string, wrapper string")
+            wrapper = merged(wrapper, tree, held)
+        if len(trees) > 1:
+            wrapper = _most_shared(wrapper, held)
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "open": [rows["open"].iloc[0]], "pages": [rows["pages"].sum()],
+                             "tree": [json.dumps(wrapper)]})
+
+    # Steps of about MERGED_TREES trees, until every host has one: no host meets in one task, however many shapes it has.
+    sizes = shapes.groupBy("host").agg(F.count("*").alias("open"))
+    trees = shapes.join(sizes, "host").select("host", "open", "pages", F.col("shape").alias("tree"))
+    most = sizes.agg(F.max("open")).first()[0] or 0
+    while most > 1:
+        most = -(-most // MERGED_TREES)
+        trees = trees.withColumn("open", F.ceil(F.col("open") / MERGED_TREES).cast("long"))
+        trees = stored(trees.groupBy("host", "open", F.pmod(F.xxhash64("tree"), F.col("open"))).applyInPandas(
+            induce, "host string, open long, pages long, tree string"), "page-trees")
+    return trees.select("host", F.col("tree").alias("wrapper"))
 
 
 def _aligned(shapes: DataFrame, wrappers: DataFrame) -> DataFrame:
@@ -278,17 +315,17 @@ def _aligned(shapes: DataFrame, wrappers: DataFrame) -> DataFrame:
         for batch in batches:
             wrapper, page = batch.column("wrapper").to_pylist(), batch.column("shape").to_pylist()
             found = [slots(json.loads(w), json.loads(s)) for w, s in zip(wrapper, page, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(found, pa.list_(pa.int32()))],
+            yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("shape"), pa.array(found, pa.list_(pa.int64()))],
                                              names=["host", "shape", "slots"])
 
     return shapes.join(wrappers, "host").select("host", "shape", "wrapper").mapInArrow(
-        run, "host string, shape string, slots array<int>")
+        run, "host string, shape string, slots array<long>")
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
     """Per row of (page_id, url, html): page_id, url, text (blocks joined by line feeds), n_chars (code points).
 
-    Null and empty pages have empty text, pages without a usable URL share the host "", repeated rows each give a row but are
+    Null and empty pages have empty text, pages without a usable URL are of one host where their shapes are equal, repeated rows each give a row but are
     one page to the wrapper.  Broken markup is read as far as it goes.  Texts are never cut.
     """
     parsed = stored(_parsed(pages), "page-blocks")
@@ -306,9 +343,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     # A text counts once per page and slot.
     texts = placed.select("host", F.explode(F.array_distinct(F.transform("held", lambda b: F.struct(
         F.element_at("slots", b["leaf"] + 1).alias("slot"), b["h"].alias("h"))))).alias("b")).select("host", "b.slot", "b.h")
-    repeated = texts.filter("slot >= 0").groupBy("host", "slot", "h").count().groupBy("host", "slot").agg(
+    repeated = texts.groupBy("host", "slot", "h").count().groupBy("host", "slot").agg(
         F.sum("count").alias("texts"), F.count("*").alias("distinct"))
-    template = repeated.filter((F.col("texts") >= LEAST_TEXTS) & (F.col("distinct") <= F.col("texts") * TEMPLATE_VARIETY))
+    template = repeated.filter((F.col("texts") >= 2) & (F.col("distinct") <= F.greatest(F.lit(1), F.col("texts") * TEMPLATE_VARIETY)))
     template = template.groupBy("host").agg(F.collect_set("slot").alias("template"))
     known = stored(aligned.join(template, "host", "left").select("host", "shape", F.expr(
         "filter(transform(slots, (s, i) -> if(array_contains(template, s), i, -1)), i -> i >= 0)").alias("fixed")), "page-template")

@@ -221,6 +221,26 @@ def test_copies_of_pages_weigh_once(spark):
     assert [found[40 + i] for i in range(40)] == [f"story {max(i, 28)} of many" for i in range(40)]
 
 
+@pytest.mark.parametrize("trees,nodes", [(16, 512), (3, 8)])
+def test_wrapper_of_few_pages_and_of_many_layouts(spark, monkeypatch, trees, nodes):
+    """Two pages of a host, and a host of 40 layouts whose notice stands in an element of its own in the rarer ones."""
+    monkeypatch.setattr(html_text, "MERGED_TREES", trees, raising=False)
+    monkeypatch.setattr(html_text, "WRAPPER_NODES", nodes, raising=False)
+    rows = [(i, f"http://few.example/{i}", f"<div><p>Welcome to us</p></div><table><tr><td>story {i}</table>") for i in range(2)]
+    for i in range(40):
+        notice = "<section><p>Please register</section>" if i >= 30 else ""
+        rows.append((10 + i, f"http://many.example/{i}", f"<div class=a{i}><h1>title {i}</h1><dl><dt>story {i}</dl></div>{notice}"))
+    found = {r.page_id: r.text for r in html_text.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(2)] == ["story 0", "story 1"]
+    assert [found[10 + i] for i in range(40)] == [f"title {i}\nstory {i}" for i in range(40)]
+
+
+def test_slots_by_path_where_the_wrapper_lacks_nodes():
+    wrapper, page = ["r", ["x", ["#"]]], ["r", ["x", ["#"]], ["y", ["#"]], ["z", ["#"]], ["y", ["#"]]]
+    first, *rest = html_text.slots(wrapper, page)
+    assert first == 0 and max(rest) < 0 and rest[0] == rest[2] != rest[1]
+
+
 def test_tree_matching():
     a = ["r", ["x", ["#"]], ["y", ["#"], ["z"]], ["#"]]
     b = ["r", ["y", ["z"]], ["w"], ["#"]]
