@@ -63,15 +63,15 @@ def _select(labelled: DataFrame, categories: list[str]) -> np.ndarray:
                 docs, values, _ = _features(batch.column("text"))
                 feature, code = np.unique(values, return_inverse=True)
                 marks = [np.bincount(code, weights=batch.column(c).to_numpy()[docs], minlength=len(feature)) for c in categories]
-                some = np.sum(marks, axis=0) > 0
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(feature[some]), pa.array(np.bincount(code, minlength=len(feature))[some])]
-                    + [pa.array(m[some].astype(np.int64)) for m in marks], names=["feature", "n", *categories])
+                    [pa.array(feature), pa.array(np.bincount(code, minlength=len(feature)))]
+                    + [pa.array(m.astype(np.int64)) for m in marks], names=["feature", "n", *categories])
 
     schema = ", ".join(f"{c} long" for c in ["feature", "n", *categories])
-    # A feature's documents outside every category count only where its chunk has some inside: fewer for rare ones.
+    # All documents of a feature count, whatever chunks they are in; features without one inside a category can't be chosen.
     sums = labelled.select("text", *categories).mapInArrow(count, schema).groupBy("feature").agg(
-        *[F.sum(c).alias(c) for c in ["n", *categories]]).filter(F.col("n") >= LEAST_DOCS)
+        *[F.sum(c).alias(c) for c in ["n", *categories]]).filter(
+        (F.col("n") >= LEAST_DOCS) & (F.greatest(*[F.col(c) for c in categories], F.lit(0)) > 0))
     whole = labelled.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
     sums, chosen = stored(sums, "toxicity-features"), []
     for c in categories:

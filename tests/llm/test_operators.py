@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,18 @@ def test_toxicity_on_held_out(spark, documents, clashing):
     assert toxicity.clean_documents(documents().limit(0), labels).count() == 0
 
 
+def test_toxicity_features_count_all_documents(spark):
+    """The same rows in one chunk and in many give the same features, and no word that is as common in clean documents."""
+    rng = random.Random(6)
+    rows = [(" ".join([w for w in ("tree", "water", "stone", "grows") if rng.random() < 0.6] + ["zlorp"] * (i % 10 == 0)), int(i % 10 == 0))
+            for i in range(200)]
+    toxicity.worker_path(spark)
+    labelled = spark.createDataFrame(rows, "text string, toxic long")
+    one, many = (toxicity._select(labelled.repartition(n), ["toxic"]).tolist() for n in (1, 100))
+    alone = {int(v) for t in ("zlorp",) for v in toxicity._features(pa.array([t]))[1]}
+    assert one == many and one and set(one) <= alone
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(2)
     base = rng.standard_normal((12, 16))
