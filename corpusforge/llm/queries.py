@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from corpusforge.llm import (decontamination, embedding_dedup, html_text, lm_scoring, mixing, near_dedup,
-                             substring_dedup, suffix_dedup, token_files, toxicity)
+                             prefix_trie, quality, substring_dedup, suffix_dedup, token_alignment, token_files, toxicity)
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_token_alignment": token_alignment.op11_token_alignment,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_quality": quality.op13_quality,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op2_mixing": mixing.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
