@@ -356,7 +356,7 @@ _PRESENT = "partition by caller order by ts range between interval 6 hours prece
 ORACLES = {
     "scan_binary": "select doc_id, sha256(t) as text_sha, length(t) as n_decoded from (select doc_id, "
                    "concat(text, case when doc_id % 2 = 0 then chr(65533) else '' end) as t from documents)",
-    "scan_corpus": statement("select path, strlen(content) as size_bytes, sha256(content) as content_sha from docs "
+    "scan_corpus": statement("select corpus_id || '/' || path as path, strlen(content) as size_bytes, sha256(content) as content_sha from docs "
                              f"where {t.among(t.suffix('path'), ['.py', '.md', '.txt'])}", "docs"),
     "archive_roundtrip": statement("select archive_id, path, original_size_bytes, compressed_size_bytes, estimated_tokens, compression_method, "
                                    "compression_ratio, sha256(content) as content_sha from entries", "docs", "sites", **_entries()),

@@ -113,8 +113,8 @@ def scan(spark, sf):
     """Write the documents as files through the extraction sink, then scan the folder twice (folder and glob)."""
     folder = new_folder(spark, "scan")
     entries = c.docs(spark, sf).withColumnRenamed("corpus_id", "archive_id")
-    archives.extract_files(archives.extract_plan(entries), folder)
-    found = corpus.scan_corpus(spark, [folder, f"{folder}/repo_1/*/*/*/*", f"{folder}/none"], ["py,md", ".TXT"], folder)
+    archives.extract_files(archives.extract_plan(entries), folder, apart=True)
+    found = corpus.scan_corpus(spark, [folder, f"{folder}/repo_1/repo_1/*/*/*/*", f"{folder}/none"], ["py,md", ".TXT"], folder)
     return found.select("path", "size_bytes", _sha(F.col("content")).alias("content_sha"))
 
 

@@ -7,7 +7,7 @@ from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import normalise
 from corpusforge.functions.scale import running, sliced
 from corpusforge.operators.stats import archive_totals
-from corpusforge.sources.corpus import qualified
+from corpusforge.sources.stores import open_target
 
 ENTRY = ("path string, content string, original_size_bytes bigint, compressed_size_bytes bigint, estimated_tokens bigint, "
          "compression_method string, compression_ratio double, importance_score int, last_modified_utc string")
@@ -110,27 +110,30 @@ def extract_plan(entries: DataFrame, pattern: str | None = None) -> DataFrame:
                        F.coalesce("content", F.lit("")).alias("content"))
 
 
-def extract_files(plan: DataFrame, base: str) -> None:
-    """Write every planned file below ``base``, on any storage that Arrow can open by URI.  Retries overwrite.
+def archive_folder(archive_id: Column) -> Column:
+    """A folder name for an archive: different ids have different names, and every name stays one folder below the base."""
+    escaped = F.replace(F.replace(archive_id, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    return (F.when(archive_id.isNull(), "%N").when(archive_id == "", "%").when(archive_id.isin(".", ".."), F.replace(archive_id, F.lit("."), F.lit("%2E")))
+            .otherwise(escaped))
 
-    Files of several archives go to a folder each.  A base without scheme is on the session's default file system.
+
+def extract_files(plan: DataFrame, base: str, apart: bool = False) -> None:
+    """Write every planned file below ``base``, on any storage there is a handle for.  Retries overwrite.
+
+    With ``apart`` each archive has a folder of its own (``archive_folder``); without, more than one archive raises.  Entries of
+    an archive that come to one file give the last of them by path, then content.  A base without scheme is on the session's
+    default file system.
     """
-    several = plan.agg(F.min("archive_id") != F.max("archive_id")).first()[0]
-    uri = qualified(plan.sparkSession, base)
+    if not apart and plan.agg(F.count_distinct(F.coalesce("archive_id", F.lit("")))).first()[0] > 1:
+        raise ValueError("several archives need folders of their own: extract them apart")
+    store, folder = open_target(plan.sparkSession, base)
 
     def write(rows):
-        from pyarrow import fs
-        system, root = fs.FileSystem.from_uri(uri)
         made = set()
         for row in rows:
-            target = f"{root.rstrip('/')}/{row.safe_path}"
-            folder = target.rsplit("/", 1)[0]
-            if folder not in made:
-                system.create_dir(folder, recursive=True)
-                made.add(folder)
-            with system.open_output_stream(target) as out:
-                out.write(row.content.encode("utf-8"))
-
-    own = F.concat(F.regexp_replace(F.coalesce(safe_path(F.col("archive_id")), F.lit("_")), "/", "_"), F.lit("/"))
-    target = F.concat(own, "safe_path") if several else F.col("safe_path")
-    plan.filter("action = 'write'").select(target.alias("safe_path"), "content").foreachPartition(write)
+            store.write(folder.rstrip(b"/") + b"/" + row.target.encode(), row.content.encode(), made)
+
+    target = F.concat(archive_folder(F.col("archive_id")), F.lit("/"), F.col("safe_path")) if apart else F.col("safe_path")
+    # One task writes a file, whatever entries name it.
+    last = plan.filter("action = 'write'").groupBy(target.alias("target")).agg(F.max(F.struct("path", "content")).alias("last"))
+    last.select("target", "last.content").foreachPartition(write)

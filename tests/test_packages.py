@@ -77,8 +77,15 @@ def test_extract(spark, tmp_path):
 
 def test_archives_are_extracted_apart(spark, tmp_path):
     rows = [("one", "x.txt", "1"), ("two", "x.txt", "2")]
-    archives.extract_files(archives.extract_plan(spark.createDataFrame(rows, "archive_id string, path string, content string")), str(tmp_path))
-    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.txt")} == {"one/x.txt": "1", "two/x.txt": "2"}
+    rows += [("a/b", "x.txt", "3"), ("a_b", "x.txt", "4"), ("..", "x.txt", "5"), (None, "x.txt", "6"), ("", "x.txt", "7"), ("a%2Fb", "x.txt", "8"),
+             ("one", "y.txt", "first"), ("one", "./y.txt", "zz"), ("one", "y.txt", "second")]
+    plan = archives.extract_plan(spark.createDataFrame(rows, "archive_id string, path string, content string"))
+    archives.extract_files(plan, str(tmp_path), apart=True)
+    assert {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*.txt")} == {
+        "one/x.txt": "1", "two/x.txt": "2", "a%2Fb/x.txt": "3", "a_b/x.txt": "4", "%2E%2E/x.txt": "5", "%N/x.txt": "6", "%/x.txt": "7",
+        "a%252Fb/x.txt": "8", "one/y.txt": "second"}
+    with pytest.raises(ValueError):
+        archives.extract_files(plan, str(tmp_path / "together"))
 
 
 def test_pack_write_read(spark, corpus, tmp_path):
