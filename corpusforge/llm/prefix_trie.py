@@ -9,14 +9,14 @@ depths discovers the trie and aggregates it.  Each depth is written once, so tha
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from corpusforge.functions.scale import lookup, sliced
-from corpusforge.session import stored
+from corpusforge.session import new_folder, stored
 
 #: Bytes of a cell: 16 of the digest, 4 of the text's length.
 CELL = 20
@@ -107,10 +107,11 @@ def peel(members: DataFrame) -> DataFrame:
     n_leaves, saved_tokens, ends_sha256.  An empty table has no nodes."""
     ended = stored(_ends(members).select(
         "path", "conv_id", "n_convs", F.lit(0).cast("long").alias("n_children"), F.lit(0).cast("long").alias("n_leaves"),
-        F.lit(0).cast("long").alias("saved_tokens"), "ends_sha256", F.expr(f"length(path) div {CELL}").alias("depth")), "trie-ends")
+        F.lit(0).cast("long").alias("saved_tokens"), "ends_sha256", F.expr(f"length(path) div {CELL}").alias("depth"))
+                   .sortWithinPartitions("depth"), "trie-ends")  # a depth's rows are then a few row groups
     deepest = ended.agg(F.max("depth")).first()[0]
     size = F.when(F.length("path") > 0, F.conv(F.hex(F.expr("substring(path, -4)")), 16, 10).cast("long")).otherwise(0)
-    levels, below = [], None
+    folder, below = new_folder(members.sparkSession, "trie"), None
     for depth in range(-1 if deepest is None else deepest, -1, -1):
         meeting = ended.filter(F.col("depth") == depth).drop("depth")
         if below is not None:
@@ -118,16 +119,17 @@ def peel(members: DataFrame) -> DataFrame:
         sums = meeting.groupBy("path").agg(
             F.min("conv_id").alias("conv_id"), F.max("ends_sha256").alias("ends_sha256"),
             *[F.sum(c).alias(c) for c in ("n_convs", "n_children", "n_leaves", "saved_tokens")])
-        below = stored(sums.select(
-            "path", "conv_id", F.lit(depth).cast("long").alias("depth"), "n_convs", "n_children",
-            F.greatest("n_leaves", F.lit(1).cast("long")).alias("n_leaves"),
+        nodes = sums.select(
+            "path", "conv_id", "n_convs", "n_children", F.greatest("n_leaves", F.lit(1).cast("long")).alias("n_leaves"),
             (F.col("saved_tokens") + (F.col("n_convs") - 1) * size).alias("saved_tokens"),
-            F.coalesce("ends_sha256", F.lit(_NOTHING)).alias("ends_sha256")), f"trie-depth-{depth}")
-        levels.append(below)
-    if not levels:
+            F.coalesce("ends_sha256", F.lit(_NOTHING)).alias("ends_sha256"))
+        nodes.write.parquet(f"{folder}/depth={depth}")
+        below = members.sparkSession.read.schema(nodes.schema).parquet(f"{folder}/depth={depth}")
+    if below is None:
         return members.sparkSession.createDataFrame([], "path binary, conv_id long, depth long, n_convs long, n_children long, "
                                                         "n_leaves long, saved_tokens long, ends_sha256 string")
-    return reduce(DataFrame.unionByName, levels)
+    # All depths are one table by now: one scan, however deep the trie is.
+    return members.sparkSession.read.schema(StructType([*nodes.schema.fields, StructField("depth", LongType())])).parquet(folder)
 
 
 def prefix_trie(turns: DataFrame, rebuild: bool = True) -> DataFrame:
