@@ -64,15 +64,19 @@ _METHOD = block(
 _HEADER = block(
     text("#!/usr/bin/env python3"), text('"""Stock module ', M, "."), text(""), text("def phantom(x): only text"),
     text('"""'), text("import os"), text("import sys as system"), text("from typing import (Dict,"),
-    text("    Optional as Opt)  # types"), text("from . import util_", M), text(""), text("LIMIT = ", M),
-    text("TOTAL: int = 0"), text("alpha = beta = ", M, "  # shared"), text("TOTAL += 1"), text(""),
+    text("    Optional as Opt)  # types"), text("from . import util_", M), text("import re; import time as clock, csv"),
+    text("if LEVEL: import json as levels"), text("try: import yaml"), text("except ImportError: yaml = None; found = 'a;b'"), text(""), text("LIMIT = ", M),
+    text("TOTAL: int = 0"), text("alpha = beta = ", M, "  # shared"), text("TOTAL += 1"), text("gamma = ", M, "; delta: int = 2; gamma += 1;"),
+    text("class One", M, "(Base, key={'a': (1, 2)}): first = 1; second: int = 2"), text(""),
     text("@register"), text("class Bin", M, "(Base, Mixin, metaclass=Meta):"), text('    """Holds parts."""'),
     text("    capacity: int = 16"), text("    label = 'bin # ", M, "'"), text(""))
 _FOOTER = block(
     text("def top_", M, "(a, b=(1, 2), *rest, flag=None) -> Dict[str, int]:"), text("    def inner(x):"),
     text("        return x == a"), text(""), text("    # after inner"), text("    return inner(b)"), text(""),
     text("async def poll_", M, "("), text("    queue,  # source"), text("    delay: float = 0.5,"), text("):"),
-    text("    return await queue.get()"), ("fresh and m % 2 = 0", text("")),
+    text("    return await queue.get()"), text(""),
+    text("def deep_", M, "(a: A[B[C[D[E[F[int]]]]]], b: int = (1, [2, {3: 4}]), *, c={'x': [1, (2, 3)]}) -> Dict[str, List[Set[int]]]: return a"),
+    text("def nest_", M, "(x: ", "T[" * 30, "int", "]" * 30, " = 'a:b, c', y=", "(" * 30, "0", ")" * 30, "): x = 1; return x"), ("fresh and m % 2 = 0", text("")),
     ("fresh and m % 2 = 0", text("def extra_", M, "():")), ("fresh and m % 2 = 0", text("    return ", M)), text(""))
 
 _JS = (block(text("import { x } from './util_", M, ".js';"), text("// stock ", M), text("let url = \"http://host\";")),

@@ -413,19 +413,22 @@ ORACLES = {
     "import_index": _structure(f"select {K}, start_line as line_no, indent, unnest(range(len(v))) as ordinal, unnest(v) as statement from "
                                f"(select *, {ss.imported()} as v from st where kind in ('import', 'from'))"),
     "class_index": _structure(
-        f"select {K}, {ss.class_signature('owner_text')} as class, start_line as line_no, unnest(range(len(v))) as ordinal, member, unnest(v) as value from ("
-        f"select *, 'class' as member, [{ss.class_signature('text')}] as v from st_own where kind = 'class' and indent = 0 union all "
-        f"select *, 'method', [{ss.def_signature('text', False)}] from st_own where class_item and kind = 'def' union all "
+        f"select {K}, owner_sig as class, start_line as line_no, unnest(range(len(v))) as ordinal, member, unnest(v) as value from ("
+        f"select *, 'class' as member, [sig] as v from st_own where kind = 'class' and indent = 0 union all "
+        f"select *, 'method', [sig] from st_own where class_item and kind = 'def' union all "
         f"select *, 'variable', {ss.assigned(False)} from st_own where class_item and kind = 'other')", extra=ss.owner_ctes("st")),
     "toplevel_symbols": _structure(
-        f"select {K}, 'function' as symbol, {ss.def_signature('text', False)} as value, start_line as line_no from st where indent = 0 and stmt > 0 and kind = 'def' union all "
+        f"select {K}, 'function' as symbol, sig as value, start_line as line_no from st where indent = 0 and stmt > 0 and kind = 'def' union all "
         f"select {K}, 'variable', value, min(start_line) from (select *, unnest({ss.assigned(True)}) as value from st where indent = 0 and stmt > 0 and kind = 'other') group by corpus_id, path, value"),
     "structure_skeleton": _structure(f"select {K}, sha256(skeleton) as skeleton_sha, length(skeleton) as n_chars from st_skel",
                                      extra={**ss.owner_ctes("st"), **ss.skeleton_ctes("st")}),
+    # What is broken is known from the number of the module, not from its text.
+    "python_validity": statement(f"select {K}, breakage, breakage = 0 as parses from mods_old, "
+                                 f"(select unnest(range({len(q.BREAKAGES) + 1})) as breakage)", "mods_old"),
     "outline": _structure(
         f"select {K}, sha256(o) as outline_sha, length(o) as n_chars from (select {K}, string_agg(case when not imp and coalesce(was, false) then {NL} else '' end || entry, {NL} order by stmt) "
         f"|| {NL} || '# ... (Structure extracted via AST - outlining.py)' as o from (select *, lag(imp) over (partition by corpus_id, path order by stmt) as was from "
-        f"(select *, kind in ('import', 'from') as imp, case when kind in ('import', 'from') then {strip('text')} else {strip(f'''coalesce(nullif({t.pick('first', ss.HEADER, 0)}, ''), nullif({t.pick('first', ss.CLASS, 0)}, ''), first)''')} || ' ...' end as entry "
+        f"(select *, kind in ('import', 'from') as imp, case when kind in ('import', 'from') then {strip('text')} else {strip('first')} || ' ...' end as entry "
         f"from (select *, split_part(text, {NL}, 1) as first from st_all where kind in ('import', 'from', 'def', 'async def', 'class')))) group by corpus_id, path)"),
     "compare_versions": statement(f"select {K}, change_type, method_name, old_signature, new_signature, sha256(old_source) as old_sha, sha256(new_source) as new_sha from changes",
                                   "mods_old", "mods_new", **compare_ctes()),

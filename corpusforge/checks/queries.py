@@ -257,6 +257,23 @@ def audited_scripts(spark, sf):
     return audit.audit_edit_scripts(scripts, edit_scripts.parse_edit_scripts(scripts))
 
 
+#: Ends of modules that are no Python, each for a reason of its own.
+BREAKAGES = ["x = = 1", "x = 1 +", "f() = 3", "print 'x'", "3 apples", "    x = 1", "if x:", "def f(a):\npass", "class A:", "x = [1, (2]", "s = 'open",
+             "if x:\n        y = 1\n    z = 2", "a b", "for x in y\n    pass", "x = 'a' b", "total.", "x = 1; y = = 2", "while x: pass; 3 apples",
+             "try:\n    a = 1\nexcept E as e:\nb = 2", "f(1) g"]
+
+
+def python_validity(spark, sf):
+    """Every old module as it is (0) and with each breakage at its end: does it parse?"""
+    old = c.modules(spark, sf, "old")
+    ends = F.array(F.lit(""), *[F.lit(b) for b in BREAKAGES])
+    rows = old.select("*", F.posexplode(ends).alias("breakage", "end")).select(
+        "corpus_id", F.concat("path", F.lit("#"), F.col("breakage").cast("string")).alias("path"), F.concat("content", F.lit("\n"), "end", F.lit("\n")).alias("content"))
+    found = structure.statements(rows).groupBy(*K).agg(F.bool_and("parses").alias("parses"))
+    return found.select("corpus_id", F.substring_index("path", "#", 1).alias("path"),
+                        F.substring_index("path", "#", -1).cast("bigint").alias("breakage"), "parses")
+
+
 def _versions(spark, sf):
     return c.modules(spark, sf, "old"), c.modules(spark, sf, "new")
 
@@ -383,6 +400,7 @@ QUERIES = {
     "toplevel_symbols": lambda s, sf: structure.toplevel_symbols(c.modules(s, sf, "new")),
     "structure_skeleton": lambda s, sf: structure.structure_skeleton(c.modules(s, sf, "new")).select(
         *K, _sha(F.col("skeleton")).alias("skeleton_sha"), F.length("skeleton").alias("n_chars")),
+    "python_validity": python_validity,
     "outline": lambda s, sf: structure.outline(c.modules(s, sf, "new")).select(
         *K, _sha(F.col("outline")).alias("outline_sha"), F.length("outline").alias("n_chars")),
     "compare_versions": compared, "next_definition": next_definition, "generate_edits": generated,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
-from corpusforge.functions.text import NAME, bind, join_lines, lstrip, newline_split, rstrip, strip
+from corpusforge.functions.text import NAME, WORD, bind, count_of, join_lines, lstrip, newline_split, rstrip, strip
 from corpusforge.session import shuffle_partitions
 
 KEYS = ["corpus_id", "path"]
@@ -18,29 +18,28 @@ LEXER = (r'(?s)"""(?:[^"\\]++|\\.|"(?!""))*+"""' + r"|'''(?:[^'\\]++|\\.|'(?!'')
          + r'|"(?:[^"\\\n]++|\\.)*+"' + r"|'(?:[^'\\\n]++|\\.)*+'" + r"""|#[^\n]*+|[^"'#]++|["']""")
 IN_STRING, STRAY_QUOTE = "\x01", "\x02"
 
-# Possessive and unrolled: a literal of any length takes no matcher stack.
-_QUOTED = r""""[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
-
-
-def _balanced(excluded: str, depth: int) -> str:
-    """One unit of code without the excluded characters at top level; brackets nest up to ``depth``."""
-    inner = rf"[^()\[\]{{}}\"']|{_QUOTED}"
-    for _ in range(depth - 1):
-        inner = rf"[^()\[\]{{}}\"']|{_QUOTED}|[(\[{{](?:{inner})*+[)\]}}]"
-    return rf"(?:[^{excluded}()\[\]{{}}\"']|{_QUOTED}|[(\[{{](?:{inner})*+[)\]}}])"
-
-
-DEF_HEADER = (rf"^\s*(?:async\s+)?def\s+({NAME})\s*\(({_balanced('', 4)}*+)\)\s*(?:->\s*({_balanced(':', 4)}*+))?:")
-CLASS_HEADER = rf"^\s*class\s+({NAME})\s*(?:\(({_balanced('', 4)}*+)\))?\s*:"
+#: Stands for every character inside more brackets than are looked at.
+FILL = "\x04"
+_BRACKETS = r"[()\[\]{}]|[^()\[\]{}]++"
+_LAMBDA = rf"(?<!{WORD})lambda(?!{WORD})[^:]*+:"
+#: The openings of headers, in a text whose brackets are filled.
+DEF_OPENING = rf"^\s*(?:async\s+)?def\s+{NAME}\s*(?:\[{FILL}*+\]\s*)?\("
+CLASS_OPENING = rf"^\s*class\s+{NAME}\s*(?:\[{FILL}*+\]\s*)?\("
+RETURNS = r"^(\s*->\s*)([^:]*+):"
+PIECE = rf"(?:{_LAMBDA}|[^,])++"
+ANNOTATED = rf"^(\s*{NAME}\s*:\s*)([^=]*+)"
+#: A compound statement up to the colon of its header.
+HEAD = (rf"^\s*(?:(?:async\s+)?(?:def|class|if|elif|else|for|while|with|try|except|finally)(?!{WORD})|case(?=\s))"
+        rf"(?:{_LAMBDA}|[^:])*+:")
 FROM_IMPORT = rf"^from ?([. ]*(?:{NAME}[\p{{L}}\p{{N}}_.]* )?) ?import ?(.*)$"
 IS_FROM = r"^\s*from[\s.](?s:.*)[\s.]import[\s(*]"
-PARAMETER = rf"({_balanced(',', 4)}++)"
-ANNOTATION = rf"^\s*{NAME}\s*:\s*({_balanced('=', 4)}++)"
+#: Statements of a line are numbered apart by this much.
+SUB = 1 << 31
 
-# Words that may be followed by a name at the start of a statement, and words that may follow a leading name.
-_LEADING = ("and as assert async await class def del elif else except finally for from global if import in is lambda "
+# Words that a name, number or text may follow, and words that may follow one.
+LEADING = ("and as assert async await class def del elif else except finally for from global if import in is lambda "
             "nonlocal not or pass raise return try while with yield match case type").split()
-_FOLLOWING = "and or not in is if else for async".split()
+FOLLOWING = "and or not in is if else for async as from import".split()
 _COMPOUND = r"^\s*(?:def|class|if|elif|else|for|while|with|try|except|finally)(?:[^\p{L}\p{N}_]|\z)"
 _NOT_TARGETS = ["else", "try", "finally", "except", "lambda"]
 
@@ -103,10 +102,85 @@ def statements(files: DataFrame) -> DataFrame:
         F.expr("listagg(masked, '\n') within group (order by line_no)").alias("masked"),
         F.expr("max_by(code, case when not blank then line_no end)").alias("last_code"),
         F.sum("net").alias("net"), F.max("stray").alias("stray"))
-    flawed = F.col("stray") | (F.col("net") != 0) | _broken(F.col("masked"))
-    return grouped.select(
-        *KEYS, "stmt", "start_line", "end_line", "indent", "text", "masked", "last_code", _kind(F.col("masked")).alias("kind"),
-        (~F.max(flawed).over(Window.partitionBy(*KEYS))).alias("parses"))
+    masked = F.col("masked")
+    single = F.array(F.struct(F.lit(0).alias("at"), F.length(masked).alias("size"), F.lit(0).alias("deeper")))
+    several = masked.contains(";") | (masked.rlike(HEAD) & ~masked.rlike(r":\s*\z"))
+    parts = F.when(several, bind(flattened(masked), lambda flat: _sub_statements(flat.around))).otherwise(single)
+    split = grouped.withColumn("parts", parts).select("*", F.size("parts").alias("n"), F.posexplode("parts").alias("sub", "part"))
+    at, size, whole = F.col("part.at"), F.col("part.size"), F.col("n") == 1
+
+    def piece(name):
+        return F.when(whole, F.col(name)).otherwise(F.substring(F.col(name), at + 1, size)).alias(name)
+
+    before = F.substring(masked, F.lit(1), at + size - F.length(lstrip(F.substring(masked, at + 1, size))))
+    upto = rstrip(F.substring(masked, F.lit(1), at + size))
+    rows = split.select(
+        *KEYS, (F.col("stmt") * SUB + F.col("sub")).alias("stmt"), "sub", "stray", "net",
+        F.when(whole, F.col("start_line")).otherwise(F.col("start_line") + count_of(before, "\n")).alias("start_line"),
+        F.when(whole, F.col("end_line")).otherwise(F.col("start_line") + count_of(upto, "\n")).alias("end_line"),
+        (F.col("indent") + F.col("part.deeper")).alias("indent"), piece("text"), piece("masked"), "last_code",
+        # With its body on the line a header opens no block.
+        (whole & rstrip(masked).endswith(":")).alias("opens"))
+    fields = ["stmt", "start_line", "end_line", "indent", "text", "masked", "last_code", "kind"]
+    flawed = F.col("stray") | (F.col("net") != 0) | _broken(masked)
+    # The statements of a file, bounded by its text, are looked at together once: blocks must nest.
+    files_of = rows.withColumn("kind", _kind(masked)).groupBy(*KEYS).agg(
+        F.array_sort(F.collect_list(F.struct(*fields, "sub", "opens"))).alias("all"), F.max(flawed).alias("flawed"))
+    return (files_of.select(*KEYS, F.expr("inline(all)"), (~F.col("flawed") & _nested("all")).alias("parses"))
+            .drop("sub", "opens"))
+
+
+def flattened(masked: Column) -> Column:
+    """Struct of ``around`` and ``within``: the text with what is inside any bracket, or inside two, filled; lengths stay.
+
+    A running bracket depth over the text's brackets and the runs between them, so brackets may nest as deep as they like.
+    """
+    def step(state, token):
+        opens, closes = token.isin("(", "[", "{"), token.isin(")", "]", "}")
+        depth = state.depth + F.when(opens, 1).when(closes, -1).otherwise(0)
+        level = F.when(opens, state.depth).otherwise(depth)
+        return F.struct(depth.alias("depth"), F.array_append(state.levels, level).alias("levels"))
+
+    def view(tokens, levels, most):
+        shown = F.transform(tokens, lambda t, i: F.when(F.get(levels, i) <= most, t).otherwise(F.repeat(F.lit(FILL), F.length(t))))
+        return F.array_join(shown, "")
+
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("levels"))
+    return bind(F.regexp_extract_all(masked, F.lit(_BRACKETS), F.lit(0)), lambda tokens: bind(
+        F.aggregate(tokens, start, step, lambda state: state.levels),
+        lambda levels: F.struct(view(tokens, levels, 0).alias("around"), view(tokens, levels, 1).alias("within"))))
+
+
+def _sub_statements(outer: Column) -> Column:
+    """Places, sizes and derived extra depth of the statements in one logical line: the header of a one-line block, then what
+    stands between semicolons.  Empty ones are left out."""
+    def cut(head):
+        body = F.substring(outer, head + 1, F.length(outer))
+        inline = (head > 0) & (lstrip(body) != "")
+        parts = F.when(inline, F.concat(F.array(F.substring(outer, F.lit(1), head)), F.split(body, ";"))).otherwise(F.split(outer, ";"))
+
+        def placed(ps):
+            def one(p, i):
+                gaps = F.when(inline, F.greatest(i - 1, F.lit(0))).otherwise(i)
+                earlier = F.aggregate(F.slice(ps, F.lit(1), i), F.lit(0), lambda total, x: total + F.length(x))
+                return F.struct((earlier + gaps).alias("at"), F.length(p).alias("size"),
+                                F.when(inline & (i > 0), 1).otherwise(0).alias("deeper"))
+            return F.filter(F.transform(ps, one), lambda x: lstrip(F.substring(outer, x["at"] + 1, x["size"])) != "")
+        return bind(parts, placed)
+    return bind(F.length(F.regexp_extract(outer, HEAD, 0)), cut)
+
+
+def _nested(statements_column: str) -> Column:
+    """Whether blocks nest: an indentation stack over a file's logical lines, deeper after a header and nowhere else."""
+    def step(state, row):
+        kept = F.filter(state.stack, lambda x: x <= row.indent)
+        stack = F.when(state.open, F.array_append(state.stack, row.indent)).otherwise(kept)
+        right = F.when(state.open, row.indent > F.element_at(state.stack, -1)).otherwise(F.element_at(kept, -1) == row.indent)
+        return F.struct(stack.alias("stack"), row.opens.alias("open"), (state.right & right).alias("right"))
+
+    start = F.struct(F.array(F.lit(0)).alias("stack"), F.lit(False).alias("open"), F.lit(True).alias("right"))
+    lines = F.filter(F.col(statements_column), lambda x: (x["sub"] == 0) & (x["stmt"] > 0))
+    return F.aggregate(lines, start, step, lambda state: state.right & ~state.open)
 
 
 def parsed_statements(files: DataFrame) -> DataFrame:
@@ -123,27 +197,55 @@ def _kind(masked: Column) -> Column:
             .when(masked.rlike(r"^\s*@"), "decorator").otherwise("other"))
 
 
-def _broken(masked: Column) -> Column:
-    """Statements that no Python grammar accepts: two names in a row, a final dot, a block header without colon."""
-    first = F.regexp_extract(masked, rf"^\s*({NAME})[ \t]+({NAME})", 1)
-    second = F.regexp_extract(masked, rf"^\s*({NAME})[ \t]+({NAME})", 2)
-    juxtaposed = (second != "") & ~first.isin(_LEADING) & ~second.isin(_FOLLOWING)
-    trailing_dot = masked.rlike(r'[\p{L}_)\]}"]\.\s*\z')
-    headless = masked.rlike(_COMPOUND) & ~masked.contains(":")
-    return juxtaposed | trailing_dot | headless
+def _words(words: list[str]) -> str:
+    return rf"(?:{'|'.join(words)})(?!{WORD})"
+
 
+_NEXT = rf"[ \t]+(?!{_words(FOLLOWING)}|[rRbBuUfFtT]{{1,2}}\"){NAME}"
+_FIRST = rf"(?<![\p{{L}}\p{{N}}_.])(?!{_words(LEADING)}){NAME}"
+#: Signs that no Python grammar accepts, in masked text: a name, number, text or bracket with a name behind it; a name with a text
+#: behind it; an operator that has no right side, or has another behind it that takes two; a call that is assigned to.
+BROKEN = [_FIRST + _NEXT, rf"(?<![\p{{L}}\p{{N}}_.])\d[\p{{L}}\p{{N}}_.]*+{_NEXT}", rf"[\"\])}}]{_NEXT}", _FIRST + r'[ \t]+"',
+          r"[-+/%@&|^~=<>!]\s*:?\s*\z", r"(?<!import)[ \t]\*\s*\z", r"[-+*/%@&|^~<>=][ \t]+(?:[/%@&|^<>]|=)",
+          r'[\p{L}_)\]}"]\.\s*\z']
+CALL_ASSIGNED = rf"{WORD}\({FILL}*+\)\s*=(?!=)"
 
-def parameters(header: Column) -> Column:
-    """Positional parameters as written: none before '/', none from the first '*' on."""
-    raw = F.regexp_extract_all(F.regexp_extract(header, DEF_HEADER, 2), F.lit(PARAMETER), F.lit(1))
 
-    def positional(parts):
-        after = F.slice(parts, (F.array_position(parts, "/") + 1).cast("int"), F.greatest(F.size(parts), F.lit(1)))
+def _broken(masked: Column) -> Column:
+    """Statements that no Python grammar accepts, by sure signs."""
+    headless = masked.rlike(_COMPOUND) & ~masked.contains(":")
+    assigned = masked.rlike(r"\)\s*=(?!=)") & bind(flattened(masked), lambda flat: flat.around.rlike(CALL_ASSIGNED))
+    return masked.rlike("|".join(BROKEN)) | headless | assigned
+
+
+def _pieces(flat: Column, text: Column) -> Column:
+    """Comma-separated pieces of a bracket's inside, as filled and as real text."""
+    return bind(F.regexp_extract_all(flat, F.lit(PIECE), F.lit(0)), lambda parts: F.transform(parts, lambda p, i: F.struct(
+        p.alias("flat"), F.substring(text, F.aggregate(F.slice(parts, F.lit(1), i), F.lit(1), lambda n, x: n + F.length(x) + 1),
+                                     F.length(p)).alias("text"))))
+
+
+def _inside(text: Column, masked: Column, opening: str, body) -> Column:
+    """``body(pieces, behind, rest)`` of a header: the pieces in the bracket that ``opening`` ends with, the filled text behind
+    it and the real text behind it."""
+    def found(flat):
+        def parts(at):
+            size = F.length(F.regexp_extract(F.substring(flat.around, at + 1, F.length(masked)), rf"^{FILL}*+", 0))
+            behind = at + F.when(at > 0, size + 2).otherwise(1)
+            return body(_pieces(F.substring(flat.within, at + 1, size), F.substring(text, at + 1, size)),
+                        F.substring(flat.around, behind, F.length(masked)), F.substring(text, behind, F.length(text)))
+        return bind(F.length(F.regexp_extract(flat.around, opening, 0)), parts)
+    return bind(flattened(masked), found)
+
+
+def _positional(pieces: Column) -> Column:
+    """Positional parameters: none before '/', none from the first '*' on."""
+    def cut(ps):
+        after = F.slice(ps, (F.array_position(F.transform(ps, lambda p: strip(p.flat)), "/") + 1).cast("int"), F.greatest(F.size(ps), F.lit(1)))
         return bind(after, lambda p: bind(
-            F.array_position(F.transform(p, lambda x: x.startswith("*")), True),
+            F.array_position(F.transform(p, lambda x: lstrip(x.flat).startswith("*")), True),
             lambda star: F.when(star > 0, F.slice(p, 1, (star - 1).cast("int"))).otherwise(p)))
-
-    return bind(F.filter(F.transform(raw, lambda p: strip(p)), lambda p: p != ""), positional)
+    return bind(F.filter(pieces, lambda p: strip(p.flat) != ""), cut)
 
 
 def _printed(expression: Column) -> Column:
@@ -153,26 +255,35 @@ def _printed(expression: Column) -> Column:
     return F.regexp_replace(text, r"""\"([^"'\\]*)\"""", "'$1'")
 
 
-def def_signature(header: Column, annotated: bool) -> Column:
-    def show(parameter):
-        name = F.regexp_extract(parameter, rf"^\s*({NAME})", 1)
-        annotation = F.regexp_extract(parameter, ANNOTATION, 1)
-        return F.when(annotation != "", F.concat(name, F.lit(": "), _printed(annotation))).otherwise(name) \
-            if annotated else name
+def def_signature(text: Column, masked: Column, annotated: bool) -> Column:
+    """A definition's name and positional parameters, with annotations and return type if asked for.
+
+    The header is cut by its bracket depth, in the text whose literals are masked; both texts have the same places.
+    """
+    def show(p):
+        name = F.regexp_extract(p.flat, rf"^\s*({NAME})", 1)
+        if not annotated:
+            return name
+        before, size = (F.length(F.regexp_extract(p.flat, ANNOTATED, g)) for g in (1, 2))
+        return F.when(size > 0, F.concat(name, F.lit(": "), _printed(F.substring(p.text, before + 1, size)))).otherwise(name)
+
+    def written(pieces, behind, rest):
+        before, size = (F.length(F.regexp_extract(behind, RETURNS, g)) for g in (1, 2))
+        return F.concat(F.lit("def "), F.regexp_extract(masked, rf"^\s*(?:async\s+)?def\s+({NAME})", 1), F.lit("("),
+                        F.array_join(F.transform(_positional(pieces), show), ", "), F.lit(")"),
+                        F.when(size > 0, F.concat(F.lit(" -> "), _printed(F.substring(rest, before + 1, size)))).otherwise(""))
+
+    return _inside(text, masked, DEF_OPENING, written)
 
-    returns = F.regexp_extract(header, DEF_HEADER, 3)
-    return F.concat(F.lit("def "), F.regexp_extract(header, rf"^\s*(?:async\s+)?def\s+({NAME})", 1), F.lit("("),
-                    F.array_join(F.transform(parameters(header), show), ", "), F.lit(")"),
-                    F.when(strip(returns) != "", F.concat(F.lit(" -> "), _printed(returns))).otherwise(""))
 
+def class_signature(text: Column, masked: Column) -> Column:
+    def written(pieces, behind, rest):
+        bases = F.filter(pieces, lambda p: (strip(p.flat) != "") & ~p.flat.rlike(rf"^\s*{NAME}\s*=|^\s*\*\*"))
+        listed = F.array_join(F.transform(bases, lambda p: _printed(p.text)), ", ")
+        return F.concat(F.lit("class "), F.regexp_extract(masked, rf"^\s*class\s+({NAME})", 1),
+                        F.when(listed != "", F.concat(F.lit("("), listed, F.lit(")"))).otherwise(""), F.lit(":"))
 
-def class_signature(header: Column) -> Column:
-    bases = F.transform(F.regexp_extract_all(F.regexp_extract(header, CLASS_HEADER, 2), F.lit(PARAMETER), F.lit(1)),
-                        lambda b: _printed(b))
-    positional = F.filter(bases, lambda b: (b != "") & ~b.rlike(rf"^{NAME}\s*=|^\*\*"))
-    listed = F.array_join(positional, ", ")
-    return F.concat(F.lit("class "), F.regexp_extract(header, rf"^\s*class\s+({NAME})", 1),
-                    F.when(listed != "", F.concat(F.lit("("), listed, F.lit(")"))).otherwise(""), F.lit(":"))
+    return _inside(text, masked, CLASS_OPENING, written)
 
 
 def definitions(files: DataFrame, with_source: bool = True) -> DataFrame:
@@ -189,7 +300,7 @@ def definitions(files: DataFrame, with_source: bool = True) -> DataFrame:
         order.rowsBetween(Window.unboundedPreceding, -1))
     rows = (parsed_statements(files).filter("stmt > 0")
             .select(*KEYS, "stmt", "start_line", "end_line", "indent", "kind", "last_code",
-                    F.when(is_def, F.col("text")).alias("header"))
+                    F.when(is_def, F.col("text")).alias("header"), F.when(is_def, F.col("masked")).alias("header_masked"))
             .withColumn("next_start", F.lead("start_line").over(order))
             .withColumn("prev_end", F.lag("end_line").over(order))
             .withColumn("prev_code", F.lag("last_code").over(order))
@@ -214,7 +325,7 @@ def definitions(files: DataFrame, with_source: bool = True) -> DataFrame:
         *KEYS, F.regexp_extract("header", rf"^\s*(?:async\s+)?def\s+({NAME})", 1).alias("name"),
         (F.col("kind") == "async def").alias("is_async"), "start_line",
         F.coalesce("closed_end", "file_end").alias("end_line"), "indent",
-        def_signature(F.col("header"), True).alias("signature"), "source_start",
+        def_signature(F.col("header"), F.col("header_masked"), True).alias("signature"), "source_start",
         F.when(F.col("closed_end").isNotNull(), F.col("closed_code")).otherwise(F.col("file_code")).alias("tail"))
     if not with_source:
         return found.drop("source_start", "tail")
@@ -236,7 +347,7 @@ def definitions(files: DataFrame, with_source: bool = True) -> DataFrame:
 
 def _imported(kind: Column, text: Column) -> Column:
     """One canonical line per imported alias, in order."""
-    flat = strip(F.regexp_replace(F.regexp_replace(text, r"[\s\\]+", " "), ";.*", ""))
+    flat = strip(F.regexp_replace(text, r"[\s\\]+", " "))
     plain = F.regexp_extract(flat, "^import (.*)$", 1)
     module = F.replace(F.regexp_extract(flat, FROM_IMPORT, 1), F.lit(" "), F.lit(""))
     listed = F.translate(F.regexp_extract(flat, FROM_IMPORT, 2), "()", "  ")
@@ -252,8 +363,11 @@ def _imported(kind: Column, text: Column) -> Column:
 def _assigned(kind: Column, masked: Column) -> Column:
     """Plain names bound by an assignment or an annotation."""
     text = F.replace(masked, F.lit("=="), F.lit("\x03"))
-    chain = F.regexp_extract_all(F.regexp_extract(text, rf"^\s*((?:{NAME}[ \t]*=[ \t]*)+)", 1),
-                                 F.lit(f"({NAME})"), F.lit(1))
+    # The plain names before the first other target; split, not matched, so that a long chain takes no matcher stack.
+    targets = F.transform(F.split(text, "="), lambda part: F.btrim(part, F.lit(" \t\n\\")))
+    chain = bind(targets, lambda parts: bind(
+        F.array_position(F.transform(parts, lambda part: ~part.rlike(rf"^{NAME}\z")), True),
+        lambda other: F.slice(parts, F.lit(1), F.when(other > 0, F.least(other, F.size(parts)) - 1).otherwise(F.size(parts) - 1).cast("int"))))
     annotated = F.regexp_extract(text, rf"^\s*({NAME})[ \t]*:", 1)
     return F.when(kind == "other", F.when(F.size(chain) > 0, chain).when(
         (annotated != "") & ~annotated.isin(_NOT_TARGETS), F.array(annotated)))
@@ -276,7 +390,7 @@ def owned_statements(files: DataFrame) -> DataFrame:
     top = (F.col("indent") == 0) & (F.col("stmt") > 0)
     rows = parsed_statements(files).select(
         *KEYS, "stmt", "start_line", "indent", "kind", F.coalesce(top, F.lit(False)).alias("top"),
-        F.when(kind == "def", def_signature(text, False)).when(kind == "class", class_signature(text)).alias("signature"),
+        F.when(kind == "def", def_signature(text, masked, False)).when(kind == "class", class_signature(text, masked)).alias("signature"),
         _assigned(kind, masked).alias("names"), _augmented(kind, masked).alias("grown"),
         _imported(kind, text).alias("imports"))
     return (rows.withColumn("owner", F.max(F.when(F.col("top"), F.struct("stmt", "kind", "signature"))).over(order))
@@ -308,7 +422,7 @@ def toplevel_symbols(files: DataFrame) -> DataFrame:
     values = F.when(is_def, F.array("signature")).otherwise(F.coalesce("names", "grown"))
     rows = (owned_statements(files).filter(F.col("top"))
             .select(*KEYS, F.when(is_def, "function").otherwise("variable").alias("symbol"),
-                    F.explode(values).alias("value"), F.when(is_def, F.col("start_line")).otherwise(0).alias("place"),
+                    F.explode(values).alias("value"), F.when(is_def, F.col("stmt")).otherwise(0).alias("place"),
                     "start_line"))
     return (rows.filter("value is not null").groupBy(*KEYS, "symbol", "value", "place")
             .agg(F.min("start_line").alias("line_no")).drop("place"))
@@ -320,13 +434,13 @@ def structure_skeleton(files: DataFrame, label: str = fv.STRUCTURE_LABEL) -> Dat
     Files with unbalanced quotes or brackets, or with a statement no grammar accepts, give no row.  Nested imports
     come by indentation, then position.
     """
-    kind, line, top, member = F.col("kind"), F.col("start_line"), F.col("top"), F.col("class_item")
+    kind, line, top, member = F.col("kind"), F.col("stmt"), F.col("top"), F.col("class_item")
     signature, owner, none = F.col("signature"), F.col("owner.stmt"), F.lit(0)
     empty = F.array().cast("array<string>")
 
     def item(section, first, second, third, value, fourth=F.lit(0)):
-        return F.struct(F.lit(section).alias("section"), first.cast("int").alias("a"), second.cast("int").alias("b"),
-                        third.cast("int").alias("c"), F.coalesce(fourth, none).cast("int").alias("d"), value.alias("value"))
+        return F.struct(F.lit(section).alias("section"), first.cast("long").alias("a"), second.cast("long").alias("b"),
+                        third.cast("long").alias("c"), F.coalesce(fourth, none).cast("long").alias("d"), value.alias("value"))
 
     method = F.concat(F.lit("    "), signature, F.lit(":\n        ..."))
     items = (F.when(F.col("imports").isNotNull(), F.transform("imports", lambda v, i: item(
@@ -359,9 +473,7 @@ def outline(files: DataFrame, label: str = fv.OUTLINE_LABEL) -> DataFrame:
     Files without any give their first characters and a note.
     """
     order = Window.partitionBy(*KEYS).orderBy("stmt")
-    first_line = F.substring_index(F.col("text"), "\n", 1)
-    header = F.coalesce(F.nullif(F.regexp_extract(first_line, DEF_HEADER, 0), F.lit("")),
-                        F.nullif(F.regexp_extract(first_line, CLASS_HEADER, 0), F.lit("")), first_line)
+    header = F.substring_index(F.col("text"), "\n", 1)
     is_import = F.col("kind").isin("import", "from")
     rows = (statements(files).filter(F.col("kind").isin("import", "from", "def", "async def", "class"))
             .withColumn("is_import", is_import)

@@ -43,9 +43,9 @@ def test_generated_structure_is_exact(spark):
             assert any(line.startswith(f"def {node.name}({', '.join(a.arg for a in node.args.args)})") for line in lines)
         for node in classes:
             assert f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):" in lines
-            methods = [n.name for n in node.body if isinstance(n, ast.FunctionDef)]
-            shown = [line.split("(")[0][8:] for line in lines if line.startswith("    def ")]
-            assert shown == methods
+        methods = [n.name for node in classes for n in node.body if isinstance(n, ast.FunctionDef)]
+        shown = [line.split("(")[0][8:] for line in lines if line.startswith("    def ")]
+        assert shown == methods
         imports = sum(len(n.names) for n in ast.walk(tree) if isinstance(n, (ast.Import, ast.ImportFrom)))
         assert sum(line.startswith(("import ", "from ")) for line in lines) == imports
 
@@ -101,3 +101,80 @@ def test_members_of_one_statement_keep_their_order(corpus):
     skeleton = structure.structure_skeleton(corpus(("a.py", text))).first().skeleton
     found = [line.split()[0] for line in skeleton.splitlines() if line.startswith("    v") or line.startswith("    last")]
     assert found == [*names, "last"]
+
+
+LINES = """import os; import sys as system, json
+if 1: import csv
+try: import yaml
+except ImportError: yaml = None; found = 'a;b'
+finally: done = True
+a = 1; b = 2; c: int = 3; a += 1;
+class A: x = 1; y: int = 2
+class B(Base[int, str], metaclass=M(a=1, b=2)):
+    def one(self, k: Dict[str, Tuple[int, ...]] = {1: 2}, v=lambda p, q: (p, q)) -> List[int]: import re; return k
+    z = "text; with: marks"; w = [1,
+        2]; u = 3
+async def two(x): return x; y = 1
+def three(a, /, b, c=(1, (2, [3])), *d, e=lambda: 0, **f): pass
+for i in range(3): total = i; other = lambda k: k
+while False: pass
+with open("f") as f: text = f.read(); more = 1
+if x: y = 1
+elif z: y = 2
+else: y = 3
+def four(k={"a": [(1, 2), {3: 4}]}, *, q: "str;:,(" = ";"): return k; z = 1
+def five[T: (int, str)](x: T, y: list[T] = [1]) -> dict[str, T]:
+    if x: return y
+    else: import zlib; return x
+lambda_free = 1 if x else 2
+"""
+
+
+def test_one_line_statements_against_the_parser(corpus):
+    """Semicolons, one-line blocks and nested headers: imports, definitions and variables as the parser has them."""
+    files = corpus(("a.py", LINES))
+    tree = ast.parse(LINES)
+    found = found_definitions(structure.definitions(files).collect())
+    assert found == set(parsed_definitions("a.py", LINES))
+    rows = [(r.line_no, r.statement) for r in structure.import_index(files).collect()]
+    assert sorted(rows) == sorted((n.lineno, f"import {a.name}" + (f" as {a.asname}" if a.asname else ""))
+                                  for n in ast.walk(tree) if isinstance(n, ast.Import) for a in n.names)
+    variables = {r.value for r in structure.toplevel_symbols(files).collect() if r.symbol == "variable"}
+    assert {"a", "b", "c", "lambda_free"} == variables
+    members = {(r["class"], r.member, r.value) for r in structure.class_index(files).collect() if r.member != "class"}
+    assert members == {("class A:", "variable", "x"), ("class A:", "variable", "y"), ("class B(Base[int, str]):", "method", "def one(self, k, v) -> List[int]"),
+                       ("class B(Base[int, str]):", "variable", "z"), ("class B(Base[int, str]):", "variable", "w"), ("class B(Base[int, str]):", "variable", "u")}
+
+
+def test_deep_headers(corpus):
+    deep = f"def f(a: {'T[' * 60}int{']' * 60}, b: int = {'(' * 60}1{')' * 60}) -> A[B[C[D[E[F[G]]]]]]:\n    pass\n"
+    wide = f"def g(a={{{', '.join(f'({i}, [{i}])' for i in range(2000))}}}, b: int = 1): pass\n"
+    files = corpus(("a.py", deep), ("b.py", wide))
+    assert found_definitions(structure.definitions(files).collect()) == {
+        d for p, x in (("a.py", deep), ("b.py", wide)) for d in parsed_definitions(p, x)}
+
+
+BROKEN = ["x = = 1", "x = 1 +", "f() = 3", "print 'x'", "3 apples", "  x = 1", "if x:", "if x:\npass", "class A:\n\nb = 1", "if x:\n    y = 1\n  z = 2",
+          "x = 1; y = = 2", "x = [1, 2] 3 four", "x = 'a' b", "def f(): return 1\n    x = 2", "a.b.", "if x: pass\nelse:", "x = 1 *"]
+SOUND = ["x = -1", "x = not y", "f(a)[0] = 3", "f(a).b = 3", "print('x')", "x = 3 if y else 4", "if x:\n  y = 1", "if x: y = 1\nelse: z = 1", "x = 'a' 'b' f'c'",
+         "if x:\n    y = 1\n# note\n  # note\nz = 2", "from a import *", "from .. import b", "x = yield", "x = a if b else c", "raise A from b", "del a, b",
+         "x: int", "x = [\n 1,\n   2]", "if x:\n\ty = 1\n\tz = 2", "for x in 1, 2: pass", "match = 1\nmatch.x = 2", "assert 'a' in b", "x = (1,) * 2",
+         "try:\n    a\nexcept (A, B) as e:\n    b", "x = lambda: 0", "(a, b) = c", "[a, b] = c = d", "x = a @ b", "x **= 2", "async def f():\n    await g()", "x = 0xFF and 1",
+         "return_value = 1", "x = a <= b >= c != d", "global_x = b'x' rb'y'", "x = *a, *b", "print(*a, **b)", "@a.b(c)\ndef f(): pass", "type X = int", "if (a := 1): pass"]
+
+
+def test_validity(spark, corpus):
+    """Broken files take the medium level; what the parser accepts is never called broken."""
+    for text in BROKEN:
+        with pytest.raises(SyntaxError):
+            ast.parse(text)
+    for text in SOUND:
+        ast.parse(text)
+    files = corpus(*[(f"b{i}.py", t + "\n") for i, t in enumerate(BROKEN)], *[(f"s{i}.py", t + "\n") for i, t in enumerate(SOUND)])
+    parses = {r.path: r.parses for r in structure.statements(files).select("path", "parses").distinct().collect()}
+    assert [t for i, t in enumerate(BROKEN) if parses[f"b{i}.py"]] == []
+    assert [t for i, t in enumerate(SOUND) if not parses[f"s{i}.py"]] == []
+    from corpusforge.operators.reduce import reduce_corpus
+    methods = {r.path: r.method for r in reduce_corpus(files, "aggressive").collect()}
+    assert {m for p, m in methods.items() if p.startswith("b")} == {"medium (comment removal)"} or len({m for p, m in methods.items() if p.startswith("b")}) == 1
+    assert not {m for p, m in methods.items() if p.startswith("b")} & {m for p, m in methods.items() if p.startswith("s")}
