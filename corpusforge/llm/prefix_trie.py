@@ -4,7 +4,11 @@ A conversation is a path: one cell of CELL bytes per turn, a 128-bit digest of r
 points.  Peeling starts at the greatest depth: the nodes there are the distinct paths of conversations that end there.  Their
 last cells are stripped, and what is left is grouped anew together with the conversations that end one turn earlier, and so
 on up to the root.  Every grouping finds the nodes of one depth and adds up what their subtrees hold, so one pass over the
-depths discovers the trie and aggregates it.  Each depth is written once, so that a lost executor repeats one depth only.
+depths discovers the trie and aggregates it.
+
+Subtrees of up to SUBTREE_BYTES of paths are peeled whole inside a task, all of their depths after one shuffle; what lies above
+them, few depths as a rule, is peeled depth by depth over the cluster.  So a single very long conversation costs no job per turn.
+Each depth of the upper part is written once, so that a lost executor repeats one depth only.
 """
 
 import hashlib
@@ -24,6 +28,8 @@ CELL = 20
 HEAD = 5
 #: Conversation ids of one node that are joined into one string.
 FRAGMENT = 512
+#: Bytes of distinct whole paths under a node that are peeled in one task; a single path may be longer.
+SUBTREE_BYTES = 1 << 20
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
@@ -102,18 +108,113 @@ def _stripped(nodes: DataFrame) -> DataFrame:
                         F.lit(None).cast("string").alias("ends_sha256"))
 
 
+_NODE = "conv_id long, depth long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+
+
+def _peeled(rows: list[tuple], cut: int) -> Iterator[tuple]:
+    """Nodes of one subtree, deepest first, from its ended (path, conv_id, n_convs, ends_sha256); its top node is at depth
+    ``cut``.  All nodes but the top come with their parent's conv_id, the top comes with its path."""
+    ended: dict[int, list] = {}
+    for row in rows:
+        ended.setdefault(len(row[0]) // CELL, []).append(row)
+    below: dict[bytes, list] = {}
+    for depth in range(max(ended), cut - 1, -1):
+        level = {path: [conv, n, 0, 0, 0, ends] for path, conv, n, ends in ended.get(depth, ())}
+        for path, (conv, n, _, leaves, saved, _) in below.items():
+            node = level.setdefault(path[:-CELL], [conv, 0, 0, 0, 0, _NOTHING])
+            node[0] = min(node[0], conv)
+            node[1] += n
+            node[2] += 1
+            node[3] += leaves
+            node[4] += saved
+        for path, node in level.items():
+            node[3] = max(node[3], 1)
+            node[4] += (node[1] - 1) * int.from_bytes(path[-4:], "big")
+        for path, node in below.items():
+            yield (None, level[path[:-CELL]][0], node[0], depth + 1, *node[1:])
+        below = level
+    for path, node in below.items():
+        yield (path, None, node[0], cut, *node[1:])
+
+
+def _subtrees(assigned: DataFrame) -> DataFrame:
+    """All nodes under and at the tops: path (of tops), parent_conv_id (of others), and the columns of a node.
+
+    ``assigned`` has ended paths with ``key``, the path of their subtree's top.
+    """
+    kinds = [pa.binary(), *[pa.int64()] * 7, pa.string()]
+    names = ["path", "parent_conv_id", *[c.split()[0] for c in _NODE.split(", ")]]
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def peel_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+        for whole in batches:
+            for own, *row in zip(*(whole.column(c).to_pylist() for c in ("key", "path", "conv_id", "n_convs", "ends_sha256")), strict=True):
+                if own != key:
+                    if rows:
+                        for node in _peeled(rows, len(key) // CELL):
+                            out.append(node)
+                            if len(out) == 10_000:
+                                yield batch(out)
+                                out = []
+                    key, rows = own, []
+                rows.append(row)
+        if rows:
+            out.extend(_peeled(rows, len(key) // CELL))
+        for k in range(0, len(out), 10_000):
+            yield batch(out[k:k + 10_000])
+
+    dealt = assigned.select("key", "path", "conv_id", "n_convs", "ends_sha256").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(peel_groups, f"path binary, parent_conv_id long, {_NODE}")
+
+
+def _assign(ended: DataFrame) -> tuple[list[DataFrame], list[DataFrame], int]:
+    """Ended paths in subtrees small enough for a task, with ``key``; those that end above such subtrees; the deepest top.
+
+    Tops are sought ever deeper, and only under nodes that still hold too much.
+    """
+    assigned, short, pending, cut = [], [ended.filter("depth = 0")], ended.filter("depth > 0"), 1
+    while True:
+        keyed = pending.withColumn("key", F.substring("path", 1, CELL * cut))
+        # At most one of these nodes per SUBTREE_BYTES of all paths.
+        large = stored(keyed.groupBy("key").agg(F.sum(F.length("path") + 64).alias("size"), F.count("*").alias("n"))
+                       .filter((F.col("size") > SUBTREE_BYTES) & (F.col("n") > 1)).select("key"), "trie-large")
+        assigned.append(keyed.join(large, "key", "left_anti"))
+        if large.isEmpty():
+            return assigned, short, cut
+        rest = stored(keyed.join(large, "key", "left_semi").drop("key"), "trie-pending")
+        following = cut + max(1, cut // 2)
+        short.append(rest.filter(F.col("depth") < following))
+        pending, cut = rest.filter(F.col("depth") >= following), following
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
+
+
 def peel(members: DataFrame) -> DataFrame:
-    """All nodes of the trie of ``members(conv_id, path)``: path, conv_id (smallest member), depth, n_convs, n_children,
-    n_leaves, saved_tokens, ends_sha256.  An empty table has no nodes."""
-    ended = stored(_ends(members).select(
-        "path", "conv_id", "n_convs", F.lit(0).cast("long").alias("n_children"), F.lit(0).cast("long").alias("n_leaves"),
-        F.lit(0).cast("long").alias("saved_tokens"), "ends_sha256", F.expr(f"length(path) div {CELL}").alias("depth"))
-                   .sortWithinPartitions("depth"), "trie-ends")  # a depth's rows are then a few row groups
-    deepest = ended.agg(F.max("depth")).first()[0]
+    """All nodes of the trie of ``members(conv_id, path)``: conv_id (smallest member), depth, parent_conv_id, n_convs,
+    n_children, n_leaves, saved_tokens, ends_sha256.  An empty table has no nodes."""
+    spark = members.sparkSession
+    ended = stored(_ends(members).withColumn("depth", F.expr(f"length(path) div {CELL}")), "trie-ends")
+    assigned, short, top = _assign(ended)
+    subtrees = stored(_subtrees(_union(assigned)), "trie-subtrees")
+    tops = subtrees.filter("path is not null")
+    above = stored(_union(short).select(
+        "path", "conv_id", "depth", "n_convs", *[F.lit(0).cast("long").alias(c) for c in ("n_children", "n_leaves", "saved_tokens")],
+        "ends_sha256"), "trie-above")
     size = F.when(F.length("path") > 0, F.conv(F.hex(F.expr("substring(path, -4)")), 16, 10).cast("long")).otherwise(0)
-    folder, below = new_folder(members.sparkSession, "trie"), None
-    for depth in range(-1 if deepest is None else deepest, -1, -1):
-        meeting = ended.filter(F.col("depth") == depth).drop("depth")
+    folder, below = new_folder(spark, "trie"), None
+    for depth in range(top, -1, -1):
+        # Tops of this depth are nodes already; one depth up they are stripped with the others.
+        meeting = above.filter(F.col("depth") == depth).drop("depth").unionByName(
+            _stripped(tops.filter(F.col("depth") == depth + 1)))
         if below is not None:
             meeting = meeting.unionByName(_stripped(below))
         sums = meeting.groupBy("path").agg(
@@ -124,12 +225,17 @@ def peel(members: DataFrame) -> DataFrame:
             (F.col("saved_tokens") + (F.col("n_convs") - 1) * size).alias("saved_tokens"),
             F.coalesce("ends_sha256", F.lit(_NOTHING)).alias("ends_sha256"))
         nodes.write.parquet(f"{folder}/depth={depth}")
-        below = members.sparkSession.read.schema(nodes.schema).parquet(f"{folder}/depth={depth}")
-    if below is None:
-        return members.sparkSession.createDataFrame([], "path binary, conv_id long, depth long, n_convs long, n_children long, "
-                                                        "n_leaves long, saved_tokens long, ends_sha256 string")
-    # All depths are one table by now: one scan, however deep the trie is.
-    return members.sparkSession.read.schema(StructType([*nodes.schema.fields, StructField("depth", LongType())])).parquet(folder)
+        below = spark.read.schema(nodes.schema).parquet(f"{folder}/depth={depth}")
+    # All depths of the upper part are one table by now.
+    upper = spark.read.schema(StructType([*nodes.schema.fields, StructField("depth", LongType())])).parquet(folder)
+    meeting = upper.unionByName(tops.drop("parent_conv_id"))
+    keyed = meeting.withColumn("_parent", F.expr(f"substring(path, 1, length(path) - {CELL})")).drop("path")
+    parents = upper.select(F.col("path").alias("_parent"), F.col("conv_id").alias("parent_conv_id"))
+    # A node may have a child for every conversation (different first turns): such parents are split.
+    joined = lookup(keyed.filter("depth > 0"), parents, ["_parent"], ["conv_id"])
+    root = keyed.filter("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return _union([t.select(*columns) for t in (subtrees.filter("path is null"), joined, root)])
 
 
 def prefix_trie(turns: DataFrame, rebuild: bool = True) -> DataFrame:
@@ -139,15 +245,7 @@ def prefix_trie(turns: DataFrame, rebuild: bool = True) -> DataFrame:
     Nulls, ties, repeated rows and extra columns as in ``paths``; turns of any length count by their code points.
     """
     own = stored(paths(turns), "trie-paths")
-    members = stored(rebuilt(own), "trie-rebuilt") if rebuild else own
-    nodes = peel(members)
-    keyed = nodes.withColumn("_parent", F.expr(f"substring(path, 1, length(path) - {CELL})")).drop("path")
-    parents = nodes.filter("n_children > 0").select(F.col("path").alias("_parent"), F.col("conv_id").alias("parent_conv_id"))
-    # A node may have a child for every conversation (different first turns): such parents are split.
-    below = lookup(keyed.filter("depth > 0"), parents, ["_parent"], ["conv_id"])
-    root = keyed.filter("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
-    return below.unionByName(root).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
-                                          "saved_tokens", "ends_sha256")
+    return peel(stored(rebuilt(own), "trie-rebuilt") if rebuild else own)
 
 
 def op12_prefix_trie(spark, sf_dir: str) -> DataFrame:

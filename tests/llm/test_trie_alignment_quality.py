@@ -55,8 +55,10 @@ def conversations(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("rebuild", [True, False])
-def test_trie(spark, rebuild):
+@pytest.mark.parametrize("rebuild,subtree", [(True, 1 << 20), (False, 1 << 20), (True, 400), (False, 1)])
+def test_trie(spark, monkeypatch, rebuild, subtree):
+    """Peeled in tasks alone, in both ways, and depth by depth alone."""
+    monkeypatch.setattr(prefix_trie, "SUBTREE_BYTES", subtree)
     rows = conversations(3, 60)
     rows += [(7, None, None, None), (None, 1, "user", "lost"), (8, 90, "user", "x" * 70_000), (8, 91, "user", "日本")]
     found = prefix_trie.prefix_trie(spark.createDataFrame(rows, TURNS), rebuild)
@@ -71,6 +73,14 @@ def test_trie_of_equal_conversations_in_many_fragments(spark, monkeypatch):
     assert rows_of(prefix_trie.prefix_trie(df, False), *NODE) == true_trie(rows, False)
 
 
+def test_trie_of_a_very_long_conversation(spark):
+    """A conversation of 3,000 turns, and one that leaves it near its end, take no job per turn."""
+    rows = [(c, t, "user", f"{t}") for c in (1, 2) for t in range(3000 - c)] + [(2, 5000, "user", "other")]
+    found = {r["depth"]: r for r in prefix_trie.prefix_trie(spark.createDataFrame(rows, TURNS), False).collect() if r["conv_id"] == 1}
+    assert len(found) == 3000 and found[2998]["n_convs"] == 2 and found[2998]["n_leaves"] == 2 and found[2999]["parent_conv_id"] == 1
+    assert found[0]["saved_tokens"] == sum(len(str(t)) for t in range(2998)) and found[0]["parent_conv_id"] is None
+
+
 def test_trie_of_nothing_and_of_turnless_conversations(spark):
     assert prefix_trie.prefix_trie(spark.createDataFrame([], TURNS)).count() == 0
     short = next(c for c in range(1, 100) if zlib.crc32(str(c).encode()) % 6 == 5)
