@@ -75,6 +75,24 @@ def _level(level: str, source: str) -> str:
     return statement(_SHOWN, source, **level_ctes(source, level))
 
 
+def _unavailable(level: str) -> str:
+    """Levels without a model: code that the aggressive level shrinks enough is kept by smart, the size tiers decide the rest."""
+    missing = f"{fv.METHOD_SEMANTIC}-unavailable, fallback to "
+    rough = {f"rough_{n}" if n == "shown" else n: s for n, s in level_ctes("prose", "aggressive").items()}
+    inner = ", ".join(f"{n} as ({s})" for n, s in rough.items() if not n.startswith("rough_"))
+    rough_shown = f"with {inner} {rough['rough_shown']}"
+    plain = f"method = {lit(fv.METHOD_BLANK)}"
+    if level == "semantic":
+        return statement(_SHOWN.replace("method,", f"case when {plain} then method else {lit(missing)} || method end as method,"),
+                         "docs", "sites", prose=PROSE, shown=rough_shown)
+    code = f"{t.among('file_type', fv.SMART_CODE_TYPES)} and original_size > {fv.SMART_SEMANTIC_MIN_BYTES}"
+    tiers_inner = ", ".join(f"{n} as ({s})" for n, s in level_ctes("prose", "smart").items())
+    kept = f"select * from rough where {code} and not ({plain}) and ratio > {fv.SMART_SEMANTIC_MIN_RATIO}"
+    rows = (f"select * replace ('smart->' || {lit(missing)} || method as method) from kept union all "
+            "select * from tiers where (corpus_id, path) not in (select (corpus_id, path) from kept)")
+    return statement(_SHOWN, "docs", "sites", prose=PROSE, rough=rough_shown, tiers=f"with {tiers_inner} select * from shown", kept=kept, shown=rows)
+
+
 def _summary() -> str:
     selects = []
     for level in ("none", "light", "medium", "aggressive"):
@@ -441,6 +459,15 @@ ORACLES = {
                              "mods_old", "mods_new", **_applied_ctes()).replace("with ", "with recursive ", 1),
     "apply_report": statement("select concat_ws(':', corpus_id, path) as script_id, n_instructions, applied, applied > 0 as success from walked",
                               "mods_old", "mods_new", **_applied_ctes()).replace("with ", "with recursive ", 1),
+    "apply_script_chain": statement(
+        f"select corpus_id, path as file, 3 as n_scripts, 4 as n_instructions, 3 as applied, sha256({_file_text('after')}) as content_sha from "
+        f"(select *, list_concat(list_concat(list_append(ls[1:top - 1], '# went'), ls[poll:]), case when {strip('ls[len(ls)]')} <> '' then ['', '# done'] else ['# done'] end) as after from "
+        f"(select *, list_position({t.each('ls', 'contains(x, ' + lit('def top_') + ')')}, true) as top, list_position({t.each('ls', 'contains(x, ' + lit('async def poll_') + ')')}, true) as poll "
+        f"from (select *, {splitlines('content')} as ls from mods_old)))", "mods_old"),
+    "script_chain_report": statement(
+        "select s.script_id, corpus_id, path as file, s.seq, s.applied, s.conflict from mods_old, (values ('s2', 1, true, false), ('s1', 1, false, true), "
+        "('s1', 2, true, false), ('s0', 1, true, false)) s(script_id, seq, applied, conflict)", "mods_old"),
+    "compress_smart_unavailable": _unavailable("smart"), "compress_semantic_unavailable": _unavailable("semantic"),
     "apply_preamble": _preamble(), "apply_append": _append(), "apply_replace": _replace(),
     "archive_totals": statement(f"select archive_id, {_TOTALS} from entries group by archive_id", "docs", "sites", **_entries()),
     "corpus_stats": statement(

@@ -335,6 +335,25 @@ def report(spark, sf):
     return edits.apply_report(_applied(spark, sf))
 
 
+def _chain(spark, sf):
+    """Three scripts on every old module: one replaces a function, one looks for it in vain, one appends."""
+    old = c.modules(spark, sf, "old")
+    steps = [("s2", 2, 1, "def top_", "async def poll_", "# gone"), ("s1", 3, 1, "def top_", "", "# late"), ("s1", 3, 2, "# gone", "async def", "# went"),
+             ("s0", 4, 1, "", "", "# done")]
+    names = ["script_id", "script_seq", "seq", "find_method", "until_exclude", "replace_with"]
+    listed = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, step, strict=True)]) for step in steps])
+    rows = old.select("corpus_id", F.concat(F.lit("./"), "path").alias("file"), F.lit(None).cast("string").alias("section"), F.inline(listed))
+    return edits.apply_script_chain(rows, old)
+
+
+def apply_chain(spark, sf):
+    return _chain(spark, sf)[0].withColumn("content_sha", _sha(F.col("content"))).drop("content")
+
+
+def chain_report(spark, sf):
+    return _chain(spark, sf)[1]
+
+
 def budget_level(spark, sf):
     reduced = reduce.reduce_levels(_prose(spark, sf), budget.LEVELS_WEAK_TO_STRONG)
     return budget.budget_level(budget.level_tokens(reduced), BUDGET, slices=4)
@@ -387,6 +406,8 @@ QUERIES = {
     "signatures_js": _signature_query("js"), "signatures_java": _signature_query("java"),
     "signatures_cfamily": _signature_query("cpp", "h"), "compress_regex_generic": regex_generic,
     "compress_aggressive": _level("aggressive", c.files), "compress_smart": _level("smart", c.files),
+    "compress_smart_unavailable": lambda s, sf: _shown(reduce.reduce_without_model(_prose(s, sf), "smart")),
+    "compress_semantic_unavailable": lambda s, sf: _shown(reduce.reduce_without_model(_prose(s, sf), "semantic")),
     "compress_summary": summary,
     "prefix_preview": lambda s, sf: c.files(s, sf).select(*K, _sha(reduce.prefix_preview(F.col("content"))).alias("preview_sha")),
     "prompt_table": prompts, "ingest_responses": ingested, "unwrap_envelope": unwrapped,
@@ -405,7 +426,7 @@ QUERIES = {
         *K, _sha(F.col("outline")).alias("outline_sha"), F.length("outline").alias("n_chars")),
     "compare_versions": compared, "next_definition": next_definition, "generate_edits": generated,
     "apply_preamble": _single("preamble"), "apply_append": _single("append"), "apply_replace": _single("replace"),
-    "apply_edits": applied, "apply_report": report,
+    "apply_edits": applied, "apply_report": report, "apply_script_chain": apply_chain, "script_chain_report": chain_report,
     "archive_totals": lambda s, sf: stats.archive_totals(_entries(s, sf)), "corpus_stats": corpus_stats,
     "extension_histogram": lambda s, sf: stats.extension_histogram(c.files(s, sf)), "cache_stats": cache_hit_stats,
     "call_log_stats": lambda s, sf: calllog.call_log_stats(_calls(s, sf)),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import normalise
 from corpusforge.functions.text import bind, join_lines, lstrip, splitlines, starts_with_any, strip
+from corpusforge.session import stored
 
 _EMPTY = "array<string>"
 
@@ -109,7 +110,24 @@ def _step(state: Column, ins: Column) -> Column:
                                                 ins.replace_with)).when(creates, created)
     return bind(outcome, lambda after: F.struct(
         F.coalesce(after, state.lines).alias("lines"), (state["exists"] | after.isNotNull()).alias("exists"),
-        (state.applied + after.isNotNull().cast("int")).alias("applied")))
+        F.array_append(state.done, after.isNotNull()).alias("done")))
+
+
+def _folded(scripts: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows with corpus_id, file and ``steps``, and what the steps leave: content, and ``done``, whether each step applied."""
+    joined = scripts.join(files.select("corpus_id", F.col("path").alias("file"), "content"), ["corpus_id", "file"], "left")
+    start = F.struct(F.coalesce(splitlines(F.col("content")), F.array().cast(_EMPTY)).alias("lines"),
+                     F.col("content").isNotNull().alias("exists"), F.array().cast("array<boolean>").alias("done"))
+    none = F.transform("steps", lambda step: F.lit(False))
+    folded = joined.withColumn("state", F.when(F.col("file").isNotNull(), F.aggregate("steps", start, _step)))
+    done = F.coalesce("state.done", none)
+    text = F.when(F.exists(done, lambda d: d), file_text(F.col("state.lines"))).otherwise(F.col("content"))
+    return folded.withColumn("done", done).withColumn("content", text).drop("state")
+
+
+def _addressed(instructions: DataFrame) -> DataFrame:
+    """Instructions with their file names normalised as paths; an empty name is none."""
+    return instructions.withColumn("file", F.when(F.col("file") != "", normalise(F.col("file"))))
 
 
 def apply_edits(instructions: DataFrame, files: DataFrame, single_file: bool = False) -> DataFrame:
@@ -123,21 +141,58 @@ def apply_edits(instructions: DataFrame, files: DataFrame, single_file: bool = F
     if single_file:
         instructions = instructions.drop("file").join(files.select("corpus_id", F.col("path").alias("file")), "corpus_id")
     else:
-        instructions = instructions.withColumn("file", F.when(F.col("file") != "", normalise(F.col("file"))).otherwise(F.col("file")))
+        instructions = _addressed(instructions)
     step = F.struct("seq", "section", "find_method", "until_exclude", "replace_with")
-    scripts = (instructions.groupBy("script_id", "corpus_id", F.nullif("file", F.lit("")).alias("file"))
-               .agg(F.array_sort(F.collect_list(step)).alias("steps")))
-    joined = scripts.join(files.select("corpus_id", F.col("path").alias("file"), "content"), ["corpus_id", "file"], "left")
-    start = F.struct(F.coalesce(splitlines(F.col("content")), F.array().cast(_EMPTY)).alias("lines"),
-                     F.col("content").isNotNull().alias("exists"), F.lit(0).alias("applied"))
-    folded = joined.withColumn("state", F.when(F.col("file").isNotNull(), F.aggregate("steps", start, _step)))
-    text = F.when(F.col("state.applied") > 0, file_text(F.col("state.lines"))).otherwise(F.col("content"))
-    return folded.select("script_id", "corpus_id", "file", text.alias("content"), F.size("steps").alias("n_instructions"),
-                         F.coalesce("state.applied", F.lit(0)).alias("applied"))
+    scripts = instructions.groupBy("script_id", "corpus_id", "file").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return _folded(scripts, files).select(
+        "script_id", "corpus_id", "file", "content", F.size("steps").alias("n_instructions"),
+        F.size(F.filter("done", lambda d: d)).alias("applied"))
+
+
+def apply_script_chain(instructions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Apply several scripts to one tree, one after the other: each sees what those before it left.
+
+    ``instructions`` is that of ``apply_edits`` with ``script_seq``, the place of the script in the chain (null first; equal
+    places go by script_id).  The first result has one row per corpus and file, whatever number of scripts name it:
+    corpus_id, file, content, n_scripts, n_instructions, applied.  The second has one row per instruction: script_id,
+    corpus_id, file, seq, applied, and conflict: it did not apply, but would have if its script had come alone, so that an
+    earlier script took away what it looks for.  A step that fails leaves the file as it is.  Steps for one file are one fold,
+    as its text depends on their order; files run in parallel.
+    """
+    step = F.struct("script_seq", "script_id", "seq", "section", "find_method", "until_exclude", "replace_with")
+    named = _addressed(instructions)
+
+    def folded(*groups):
+        steps = named.groupBy("corpus_id", "file", *groups).agg(F.array_sort(F.collect_list(step), _by_place).alias("steps"))
+        return _folded(steps, files)
+
+    def outcomes(rows, name):
+        each = rows.select("corpus_id", "file", F.explode(F.arrays_zip("steps", "done")).alias("x"))
+        return each.select("corpus_id", "file", "x.steps.script_id", "x.steps.script_seq", "x.steps.seq", F.col("x.done").alias(name))
+
+    chained = stored(folded(), "chain")
+    keys = ["corpus_id", "file", "script_seq", "script_id", "seq"]
+    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
+    alone = outcomes(folded("script_seq", "script_id"), "alone").alias("b")
+    report = outcomes(chained, "applied").alias("a").join(alone, same).select(
+        "a.script_id", "a.corpus_id", "a.file", "a.seq", "a.applied", (F.col("alone") & ~F.col("applied")).alias("conflict"))
+    whole = chained.select("corpus_id", "file", "content", F.size(F.array_distinct(F.transform(
+        "steps", lambda x: F.struct(x.script_seq, x.script_id)))).alias("n_scripts"),
+        F.size("steps").alias("n_instructions"), F.size(F.filter("done", lambda d: d)).alias("applied"))
+    return whole, report
+
+
+def _by_place(a: Column, b: Column) -> Column:
+    """Order of steps: script's place, script, step; nulls first."""
+    def rank(x, y):
+        return F.when(x.eqNullSafe(y), 0).when(x.isNull(), -1).when(y.isNull(), 1).when(x < y, -1).otherwise(1)
+
+    first, second, third = (rank(a[k], b[k]) for k in ("script_seq", "script_id", "seq"))
+    return F.when(first != 0, first).when(second != 0, second).otherwise(third)
 
 
 def patched_corpus(files: DataFrame, applied: DataFrame) -> DataFrame:
-    """The next version of the corpus for one script per file: changed and created files replace stored ones."""
+    """The next version of the corpus: changed and created files replace stored ones.  ``applied`` has one row per file."""
     changed = applied.filter("applied > 0").select("corpus_id", F.col("file").alias("path"), "content")
     kept = files.select("corpus_id", "path", "content").join(changed.select("corpus_id", "path"),
                                                              ["corpus_id", "path"], "left_anti")
