@@ -7,6 +7,7 @@ from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import basename
 from corpusforge.functions.text import join_lines, lstrip, newline_split, splitlines, starts_with_any, strip
 from corpusforge.operators.structure import KEYS, definitions
+from corpusforge.session import stored
 
 
 def _normalised(source: Column) -> Column:
@@ -14,26 +15,44 @@ def _normalised(source: Column) -> Column:
     return strip(join_lines(F.filter(lines, lambda line: line != "")))
 
 
-def _by_name(defs: DataFrame, prefix: str) -> DataFrame:
-    """One definition per name and file: the last in walk order (deepest, then lowest).
+def changed_files(old: DataFrame, new: DataFrame, how: str = "full_outer") -> DataFrame:
+    """corpus_id, path, old_content, new_content of the files whose content differs, stored.
 
-    Also the end line of the first in walk order, which is where the search for the following definition starts.
+    Both snapshots are read once; unchanged files are dropped here, before anything is parsed.  A file of one snapshot only has
+    a null on the other side (left out with ``how`` inner).
     """
-    place = F.struct("indent", "start_line")
-    return defs.groupBy(*KEYS, "name").agg(
-        F.max_by("source", place).alias(f"{prefix}_source"), F.max_by("signature", place).alias(f"{prefix}_signature"),
-        F.min_by("end_line", place).alias(f"{prefix}_end"))
+    before = old.select(*KEYS, F.col("content").alias("old_content"))
+    after = new.select(*KEYS, F.col("content").alias("new_content"))
+    pairs = before.join(after, KEYS, how)
+    return stored(pairs.filter(~F.col("old_content").eqNullSafe(F.col("new_content"))), "changed-files")
 
 
-def compare_versions(old: DataFrame, new: DataFrame, keep_end: bool = False) -> DataFrame:
-    """Added, removed and modified definitions per file."""
-    pairs = (_by_name(definitions(old), "old").join(_by_name(definitions(new), "new"), KEYS + ["name"], "full_outer")
-             .withColumnRenamed("name", "method_name"))
+def _compared(pairs: DataFrame) -> DataFrame:
+    """Added, removed and modified definitions of ``changed_files``, with the line where the old one's search for the following
+    definition starts.
+
+    Both versions of all files go through one pass of the parser, as files of a corpus each.  There is one definition per name,
+    file and version: the last in walk order (deepest, then lowest); the end line is that of the first.
+    """
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_content").alias("content")) for side in ("old", "new")])
+    tagged = F.concat("x.side", F.lit(":"), F.coalesce("corpus_id", F.lit("")))
+    files = pairs.select(*KEYS, F.explode(sides).alias("x")).filter("x.content is not null").select(
+        tagged.alias("corpus_id"), "path", "x.content")
+    place, is_old = F.struct("indent", "start_line"), F.col("corpus_id").startswith("old:")
+    found = definitions(files).select(F.substring("corpus_id", 5, 1 << 30).alias("corpus_id"), "path", "name", "source", "signature", "end_line",
+                                      F.when(is_old, place).alias("old"), F.when(~is_old, place).alias("new"))
+    rows = found.groupBy(*KEYS, F.col("name").alias("method_name")).agg(
+        *[F.max_by(value, side).alias(f"{side}_{value}") for value in ("signature", "source") for side in ("old", "new")],
+        F.min_by("end_line", "old").alias("end_line"))
     change = (F.when(F.col("old_source").isNull(), "added").when(F.col("new_source").isNull(), "removed")
               .when(_normalised(F.col("old_source")) != _normalised(F.col("new_source")), "modified"))
-    columns = [*KEYS, "change_type", "method_name", "old_signature", "new_signature", "old_source", "new_source"]
-    return (pairs.withColumn("change_type", change).filter(F.col("change_type").isNotNull())
-            .select(*columns, *(["old_end"] if keep_end else [])))
+    return rows.withColumn("change_type", change).filter(F.col("change_type").isNotNull())
+
+
+def compare_versions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Added, removed and modified definitions per file."""
+    return _compared(changed_files(old, new)).select(
+        *KEYS, "change_type", "method_name", "old_signature", "new_signature", "old_source", "new_source")
 
 
 def next_definition(files: DataFrame, ends: DataFrame) -> DataFrame:
@@ -59,9 +78,8 @@ def generate_edits(old: DataFrame, new: DataFrame, whole_path: bool = False) ->
     A file is named by its base name, or by its path for scripts that address whole trees.  Order within a script is
     by change type and name.  Files present in only one snapshot give no instructions.
     """
-    both = old.join(new.select(*KEYS), KEYS, "left_semi"), new.join(old.select(*KEYS), KEYS, "left_semi")
-    changes = compare_versions(*both, keep_end=True).withColumnRenamed("old_end", "end_line")
-    rows = next_definition(both[0], changes)
+    pairs = changed_files(old, new, "inner")
+    rows = next_definition(pairs.withColumnRenamed("old_content", "content"), _compared(pairs))
     added, removed = F.col("change_type") == "added", F.col("change_type") == "removed"
     order = Window.partitionBy(*KEYS).orderBy("change_type", "method_name")
     return rows.select(
