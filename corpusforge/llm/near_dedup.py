@@ -175,11 +175,38 @@ def forest(link: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends]), group
 
 
+def _super_lists(entries: DataFrame) -> DataFrame:
+    """Entries (doc, n, label, value, blocks) of hot lists, after lists that hold nearly the same documents became one.
+
+    The values of a large cluster are listed by nearly all of its documents, which would meet in every one of them.  A list goes
+    to the longest list that half of its documents or more have as their longest one, unless the union has over twice the
+    documents of that list.  Documents that met in a list still do.
+    """
+    longest = entries.groupBy("doc").agg(F.max(F.struct("m", "value")).alias("top"))
+    votes = entries.join(longest, "doc").groupBy("value", "m", F.col("top.value").alias("leader")).agg(F.count("*").alias("c"))
+    leads = stored(votes.groupBy("value", "m").agg(F.max(F.struct("c", "leader")).alias("best")).select(
+        "value", "m", F.when(F.col("best.c") * 2 >= F.col("m"), F.col("best.leader")).otherwise(F.col("value")).alias("leader")), "near-leaders")
+    # A list may lead others and follow one itself: two steps, and what then has no end stays as it is.
+    step = leads.select(F.col("value").alias("leader"), F.col("leader").alias("next"))
+    for _ in range(2):
+        leads = leads.join(step, "leader").select("value", "m", F.col("next").alias("leader"))
+    ends = step.filter("leader = next").select("leader")
+    leads = stored(leads.join(ends, "leader"), "near-leads")
+    joined = entries.join(leads.select("value", "leader"), "value").select("leader", "doc").distinct()
+    sizes = joined.groupBy("leader").count().join(entries.groupBy(F.col("value").alias("leader")).agg(F.max("m").alias("own")), "leader")
+    fit = sizes.filter("count <= 2 * own").select("leader")
+    moves = stored(leads.join(fit, "leader").select("value", "leader"), "near-moves")
+    merged = entries.join(moves, "value", "left").select("doc", "n", "label", F.coalesce("leader", "value").alias("value")).distinct()
+    merged = stored(merged, "near-merged")
+    blocks = merged.groupBy("value").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return merged.join(blocks, "value")
+
+
 def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b, label) with different labels that meet in hot lists and whose larger sketches allow the threshold.
 
     A list is cut into blocks and its pairs of blocks into tasks.  A pair is left to the first hot list that it meets in.
-    Links of sets that a task holds whole are decided there, and a spanning forest of them is given: at most one row per
+    Lists that hold nearly the same documents are one list (``_super_lists``).  Links of sets that a task holds whole are decided there, and a spanning forest of them is given: at most one row per
     document and task.  A larger pair is given unless its ends are joined by that forest.
     """
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +267,7 @@ def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words
         a, b = np.concatenate([a, left[more]]), np.concatenate([b, right[others]])
         return pa.table({"a": np.minimum(doc[a], doc[b]), "b": np.maximum(doc[a], doc[b]), "label": label[a]})
 
-    entries = marked.join(hot.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "value")
+    entries = _super_lists(stored(marked.join(hot.select("value", "m"), "value"), "near-entries"))
     members = entries.groupBy("doc").agg(F.collect_set("value").alias("hot"))
     members = stored(members.join(_only(texts, entries.select("doc")), "doc").select("doc", "hot", "text"), "near-hot")
     profiles = members.select("doc", "text").mapInArrow(profile, "doc long, profile binary").dropDuplicates(["doc"])
@@ -309,15 +336,33 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return whole
 
 
+def _marked_places(ids: DataFrame, spread: int) -> DataFrame:
+    """(_word, _bits): a bitmap of ``spread`` places, as a table of at most spread / 32 rows, of the hashes of ``ids`` (_id)."""
+    place = F.pmod(F.xxhash64("_id"), F.lit(spread))
+    return ids.select(F.shiftright(place, 5).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_id), {spread}) & 31 as int))").alias("_bit")
+                      ).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """Rows of ``docs`` with one document of every component; of rows that repeat a doc_id, one."""
-    kept = stored(near_duplicates(docs, **options).filter("kept").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count("*").alias("_rows")), "near-kept")
-    rows = docs.select(F.col("doc_id").cast("long").alias("_own"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    rows = rows.join(kept, rows["_own"].eqNullSafe(kept["_id"]))
-    single = rows.filter("_rows = 1 or _own is null")
-    repeated = rows.filter("_rows > 1 and _own is not null").dropDuplicates(["_own"])
-    return single.union(repeated).select("_row.*")
+    """Rows of ``docs`` with one document of every component; of rows that repeat a doc_id, one.  Rows without id stay.
+
+    Decisions are narrow rows.  A bitmap of the ids that go, or come more than once, tells the other documents, which are kept
+    where they are; only the texts of those that it marks are shuffled.
+    """
+    found = near_duplicates(docs, **options).filter("doc_id is not null")
+    status = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.bool_or("kept").alias("_kept"))
+    special = stored(status.filter("not _kept or _rows > 1"), "near-special")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    place = F.pmod(F.xxhash64("_id"), F.lit(BITS))
+    # BITS / 32 rows of two numbers at most.
+    marks = F.broadcast(_marked_places(special, BITS))
+    bit = F.expr(f"shiftright(_bits, cast(pmod(xxhash64(_id), {BITS}) & 31 as int)) & 1")
+    rows = rows.withColumn("_word", F.shiftright(place, 5)).join(marks, "_word", "left").withColumn(
+        "_marked", F.coalesce(bit == 1, F.lit(False)) & F.col("_id").isNotNull())
+    marked = rows.filter("_marked").select("_id", "_row")
+    repeated = marked.join(special.filter("_kept").select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
+    plain = rows.filter("not _marked").select("_id", "_row").union(marked.join(special.select("_id"), "_id", "left_anti"))
+    return plain.union(repeated).select("_row.*")
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:

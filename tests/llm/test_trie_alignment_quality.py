@@ -191,3 +191,40 @@ def test_quality_sums_equal_a_plain_walk(documents):
         assert np.allclose(mean, (vectors[own] * n[:, None]).sum(0) / max(n.sum(), 1))
     # "one two two": 3 words, 2 pairs, and 2 + 1 byte runs a word of three bytes.
     assert counts[first[0]:first[1]].sum() == 3 + 2 + 9
+
+
+def test_deduplicated_rows_of_repeated_ids_and_of_none(documents, monkeypatch):
+    """Every component keeps one document, a repeated id one row, rows without id stay; also when every place is marked."""
+    from corpusforge.llm import near_dedup
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text), (2, text), (3, "another text of six words here"), (3, "another text of six words here"), (None, text), (None, text), (4, ""), (5, None),
+            (6, "x"), (6, "different")]
+    for bits in (1 << 22, 32):
+        monkeypatch.setattr(near_dedup, "BITS", bits)
+        kept = near_dedup.deduplicated(documents(*rows))
+        assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect() if r["doc_id"] is not None) == [(False, i) for i in (1, 3, 4, 5, 6)]
+        assert kept.filter("doc_id is null").count() == 2
+
+
+def test_hot_lists_of_one_cluster_become_one(spark, documents, monkeypatch):
+    """Variants of one text meet once or a few times, not once a hot value, and the links stay the same."""
+    from corpusforge.llm import near_dedup
+    from tests.llm.test_operators import true_components
+    for name, value in (("HUB_ROUNDS", 0), ("LINEAR", 0), ("HOT_PAIRS", 10), ("BLOCK", 20)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(w if rng.random() > 0.02 else f"v{rng.randrange(999)}" for w in base) for _ in range(150)]
+    seen, original = [], near_dedup._super_lists
+
+    def counted(entries):
+        merged = original(entries)
+        seen.append((entries.count(), merged.count(), merged.select("doc").distinct().count()))
+        return merged
+
+    monkeypatch.setattr(near_dedup, "_super_lists", counted)
+    found = near_dedup.near_duplicates(documents(*texts))
+    assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(true_components(texts), key=str)
+    before, after, docs = seen[0]
+    assert before > 8 * docs and after < 4 * docs
