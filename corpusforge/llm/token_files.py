@@ -123,10 +123,12 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     dictionary = train_dictionary(docs, tokenizer, end_id)
     name = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(name, dictionary)], "sha256 string, data binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    rows = stored(_encoded(docs, tokenizer, end_id, spark.sparkContext.broadcast(dictionary)), "token-rows")
-    order = ["doc_id", "n_tokens", "frame"]
-    ranged = (rows.repartitionByRange(*[F.asc_nulls_first(c) for c in order])
-              .sortWithinPartitions(*[F.asc_nulls_first(c) for c in order]).withColumn("slice", F.spark_partition_id()))
+    rows = stored(_encoded(docs, tokenizer, end_id, spark.sparkContext.broadcast(dictionary)).withColumn(
+        "tie", F.xxhash64("frame")), "token-rows")
+    # The bounds of the slices are drawn from two numbers a row; frames only order equal ones inside a slice.
+    order = [F.asc_nulls_first("doc_id"), F.asc("tie")]
+    ranged = (rows.repartitionByRange(*order).sortWithinPartitions(*order, "frame").drop("tie")
+              .withColumn("slice", F.spark_partition_id()))
 
     def block(slice_no: int, number: int, ids: list, counts: list, frames: list) -> pa.RecordBatch:
         offsets = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).tolist()
