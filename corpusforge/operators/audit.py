@@ -5,30 +5,39 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
 from corpusforge.functions.text import strip
+from corpusforge.sources.archives import READING
 
 _VARIANTS = "array<variant>"
+#: Bytes from which a document is taken apart before its values are parsed: a variant holds less than 128 MiB.
+LARGE = 128 << 20
+_PARTS = "struct<metadata:string,files:array<string>,_broken:string>"
 
 
 def audit_archives(documents: DataFrame) -> DataFrame:
     """(archive_id, document) -> one row per violation: archive_id, entry (0 = document), violation, is_first.
 
     Documents are read as variants, so any JSON shape can be inspected.  Every violation is reported; the first one
-    in reading order is marked.  A valid archive gives no row.
+    in reading order is marked.  A valid archive gives no row.  A document of LARGE bytes or more, which is no variant, is cut
+    into its entries first and each of them is inspected as one; an entry of that size counts as no object.
     """
-    doc = F.try_parse_json(F.col("document"))
-    rows = documents.select("archive_id", doc.alias("doc"))
-    shape = F.schema_of_variant("doc")
-    is_object = F.coalesce(shape.startswith("OBJECT<"), F.lit(False))
-    meta = F.when(is_object, F.try_variant_get("doc", "$.metadata", "variant"))
-    files = F.when(is_object, F.try_variant_get("doc", "$.files", "variant"))
-    version = F.when(F.schema_of_variant(meta).startswith("OBJECT<"),
-                     F.try_variant_get("doc", f"$.metadata.{fv.VERSION_KEY}", "variant"))
+    large = F.octet_length("document") >= LARGE
+    split = F.from_json(F.col("document"), _PARTS, {**READING, "columnNameOfCorruptRecord": "_broken"})
+    rows = documents.select("archive_id", large.alias("large"), F.try_parse_json(F.when(~large, F.col("document"))).alias("small"),
+                            F.when(large & F.col("document").rlike(r"\A\s*\{"), split).alias("parts"))
+    whole_files = F.when(F.col("parts.files").isNotNull(), F.parse_json(F.lit("[]")))
+    rows = rows.select(
+        "archive_id", "large", "parts", F.when(~F.col("large"), F.col("small")).when(
+            F.col("parts").isNotNull() & F.col("parts._broken").isNull(), F.parse_json(F.lit("{}"))).alias("doc"))
+    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT<"), F.lit(False))
+    meta = F.when(F.col("large"), F.try_parse_json("parts.metadata")).when(is_object, F.try_variant_get("doc", "$.metadata", "variant"))
+    files = F.when(F.col("large"), whole_files).when(is_object, F.try_variant_get("doc", "$.files", "variant"))
+    version = F.when(F.schema_of_variant(meta).startswith("OBJECT<"), F.try_variant_get(meta, f"$.{fv.VERSION_KEY}", "variant"))
     whole = (F.when(F.col("doc").isNull(), F.array(F.lit("bad json")))
              .when(~is_object | meta.isNull() | files.isNull(), F.array(F.lit("missing metadata or files")))
              .otherwise(F.array_compact(F.array(
                  F.when(version.isNull(), "missing format version"),
                  F.when(~F.schema_of_variant(files).startswith("ARRAY<"), "files not a list")))))
-    entries = F.when(F.coalesce(F.schema_of_variant(files).startswith("ARRAY<"), F.lit(False)),
+    entries = F.when(F.col("large"), F.transform("parts.files", lambda x: F.try_parse_json(x))).when(F.coalesce(F.schema_of_variant(files).startswith("ARRAY<"), F.lit(False)),
                      F.coalesce(F.try_variant_get("doc", "$.files", _VARIANTS), F.array().cast(_VARIANTS)))
 
     def flaws(entry, i):

@@ -16,6 +16,8 @@ METADATA = (f"{fv.VERSION_KEY} string, archive_uuid string, creation_timestamp_u
             "total_compressed_size_bytes bigint, total_estimated_tokens bigint")
 DOCUMENT = (f"struct<metadata:struct<{METADATA.replace(' ', ':').replace(',:', ',')}>,"
             f"files:array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>>")
+#: JSON readers stop at strings of 20 million characters unless told otherwise.
+READING = {"mode": "PERMISSIVE", "maxStringLen": "2147483647"}
 ENTRY_COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
 
 
@@ -50,12 +52,12 @@ def write_archives(entries: DataFrame, archives: DataFrame, folder: str) -> None
     archives.write.mode("errorifexists").parquet(f"{folder}/archives")
 
 
-def archive_documents(entries: DataFrame, archives: DataFrame, volume_bytes: int = 128 << 20,
+def archive_documents(entries: DataFrame, archives: DataFrame, volume_bytes: int = 16 << 20,
                       slices: int | None = None) -> DataFrame:
     """archive_id, volume, document: JSON documents with entries in path order.
 
-    An archive is cut into volumes of about ``volume_bytes`` by a running total of sizes, so no task ever gathers more
-    than a volume plus one entry.  Archives that fit one volume give the single-document form; every volume repeats
+    An archive is cut into volumes of about ``volume_bytes`` of text by a running total of sizes, so no task ever gathers more
+    than a volume plus one entry; escaped, text takes six times its bytes at most.  Archives that fit one volume give the single-document form; every volume repeats
     the metadata of the whole archive.
     """
     order = [F.asc("path")]
@@ -87,7 +89,7 @@ def parse_documents(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     audit_archives reports the other documents.
     """
-    parsed = documents.withColumn("d", F.from_json("document", DOCUMENT, {"mode": "PERMISSIVE"}))
+    parsed = documents.withColumn("d", F.from_json("document", DOCUMENT, READING))
     good = parsed.filter(F.col(f"d.metadata.{fv.VERSION_KEY}").isNotNull() & F.col("d.files").isNotNull())
     return good.select("archive_id", F.inline("d.files")), good.select("archive_id", "d.metadata.*").dropDuplicates(["archive_id"])
 

@@ -126,6 +126,39 @@ def test_archive_audit(spark):
     assert [f for f in found if f[0] != "a"] == [("b", 0, "missing metadata or files", True)]
 
 
+def test_audit_of_documents_larger_than_a_variant(spark, monkeypatch):
+    """The same findings whether a document is parsed as a whole or cut into its entries first."""
+    good = {k: "x" for k in fv.REQUIRED_ENTRY_KEYS}
+    meta = {fv.VERSION_KEY: "4"}
+    documents = {"ok": {"metadata": meta, "files": [good, good]}, "flawed": {"metadata": meta, "files": [good, {"path": "a"}, 1, "text", [good]]},
+                 "no list": {"metadata": meta, "files": {"a": 1}}, "no version": {"metadata": {}, "files": []}, "no files": {"metadata": meta},
+                 "array": [good], "text": "text", "empty": {}}
+    rows = [(k, json.dumps(v)) for k, v in documents.items()] + [("broken", '{"metadata": {"a": 1}, "files": [{"x": '), ("prose", "prose"), ("null", None)]
+    df = spark.createDataFrame(rows, "archive_id string, document string")
+
+    def found():
+        return sorted((r.archive_id, r.entry, r.violation, r.is_first) for r in audit.audit_archives(df).collect())
+    small = found()
+    monkeypatch.setattr(audit, "LARGE", 1)
+    large = found()
+    # Cut into entries, a list that is none, or a value that is no object, is told apart less finely.
+    coarse = {"no list", "array", "text"}
+    assert [f for f in small if f[0] not in coarse] == [f for f in large if f[0] not in coarse]
+    assert {f[0] for f in small} == {f[0] for f in large} and not any(f[0] == "ok" for f in small)
+
+
+def test_long_entries_survive_the_round_trip(spark):
+    """An entry of more than 20 million characters is read back and audited."""
+    entries = spark.range(1).selectExpr("'big' as archive_id", "'a.txt' as path", "repeat('long \\n text ', 2000000) as content").selectExpr(
+        "*", "octet_length(content) as original_size_bytes", "octet_length(content) as compressed_size_bytes", "1L as estimated_tokens",
+        "'none' as compression_method", "1.0D as compression_ratio", "0 as importance_score", "cast(null as string) as last_modified_utc")
+    documents = archives.archive_documents(entries, archives.archive_metadata(entries, "none", created="2024-01-01T00:00:00Z"), slices=1)
+    back, _ = archives.parse_documents(documents)
+    want = entries.select(F.length("content"), F.sha2("content", 256)).first()
+    assert tuple(back.select(F.length("content"), F.sha2("content", 256)).first()) == tuple(want) and want[0] > 20_000_000
+    assert audit.audit_archives(documents).count() == 0
+
+
 def test_budgeted_pack(spark, corpus):
     files = corpus(*[(f"src/f{i}.txt", "word " * 50) for i in range(6)], ("README.md", "read me\n"), ("tests/test_a.txt", "t"))
     entries, meta = pack(files, "light", max_tokens=300)
