@@ -3,13 +3,13 @@
 The file type is part of the key because the same text reduces differently under different types.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusforge.functions import paths
 from corpusforge.functions.scale import lookup
 from corpusforge.operators.reduce import normalise_level, reduce_corpus
-from corpusforge.session import checkpointed
+from corpusforge.session import checkpointed, stored
 
 KEY = ["content_sha256", "file_type", "level", "model"]
 RESULT = ["reduced", "method", "reduced_size", "tokens"]
@@ -27,8 +27,8 @@ def fingerprinted(files: DataFrame, level: str, model: str | None = None) -> Dat
 
 def lookup_cached(keyed: DataFrame, cache: DataFrame, hot_rows: int = 100_000) -> DataFrame:
     """Keyed rows with stored result columns and a ``cached`` flag; a hit's method gets one suffix."""
-    stored = cache.select(*KEY, *RESULT, F.lit(True).alias("_hit"))
-    rows = lookup(keyed, stored, KEY, ["corpus_id", "path"], "left", hot_rows)
+    known = cache.select(*KEY, *RESULT, F.lit(True).alias("_hit"))
+    rows = lookup(keyed, known, KEY, ["corpus_id", "path"], "left", hot_rows)
     return (rows.withColumn("cached", F.coalesce("_hit", F.lit(False)))
             .withColumn("method", F.concat(F.col("method"), F.lit(" (cached)"))).drop("_hit"))
 
@@ -56,6 +56,36 @@ def save_cache(cache: DataFrame, folder: str, version: str) -> str:
     return target
 
 
+def update_cache(results: DataFrame, folder: str, digits: int = 2) -> list[str]:
+    """Put new results into a stored cache and rewrite only the buckets they fall into; gives those buckets.
+
+    A bucket holds the keys whose content hash begins with the same ``digits`` hexadecimal digits, so there are 16 ** digits of
+    them, about equal, whatever the corpus.  All calls for a folder use the same number.  The new rows are complete in the shared folder before any bucket is replaced.
+    """
+    spark = results.sparkSession
+    bucket = F.substring("content_sha256", 1, digits).alias("bucket")
+    fresh = stored(results.select(*KEY, *RESULT, bucket), "cache-fresh")
+    # At most 16 ** digits values.
+    touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        there = read_cache(spark, folder).filter(F.col("bucket").isin(touched))
+    else:
+        there = fresh.limit(0)
+    merged = stored(upsert(there, fresh).select("*", bucket), "cache-merged")
+    # Buckets are split over tasks by their size.
+    (merged.hint("rebalance", "bucket").sortWithinPartitions("content_sha256").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(folder))
+    return touched
+
+
+def read_cache(spark: SparkSession, folder: str) -> DataFrame:
+    """A cache that ``update_cache`` wrote, with its buckets."""
+    kinds = {"reduced_size": "bigint", "tokens": "bigint"}
+    schema = ", ".join(f"{c} {kinds.get(c, 'string')}" for c in [*KEY, *RESULT, "bucket"])
+    return spark.read.schema(schema).parquet(folder)
+
+
 def reduce_distinct(files: DataFrame, level: str, hot_rows: int = 100_000) -> DataFrame:
     """Reduce each distinct (content, file type) once and give every copy the result.
 

@@ -7,6 +7,7 @@ from corpusforge import fixed_values as fv
 from corpusforge.functions.paths import normalise
 from corpusforge.functions.scale import running, sliced
 from corpusforge.operators.stats import archive_totals
+from corpusforge.session import shuffle_partitions
 from corpusforge.sources.stores import open_target
 
 ENTRY = ("path string, content string, original_size_bytes bigint, compressed_size_bytes bigint, estimated_tokens bigint, "
@@ -18,6 +19,8 @@ DOCUMENT = (f"struct<metadata:struct<{METADATA.replace(' ', ':').replace(',:', '
             f"files:array<struct<{ENTRY.replace(' ', ':').replace(',:', ',')}>>>")
 #: JSON readers stop at strings of 20 million characters unless told otherwise.
 READING = {"mode": "PERMISSIVE", "maxStringLen": "2147483647"}
+#: Files that an archive of any size is dealt over at most.
+SPREAD = 64
 ENTRY_COLUMNS = [c.split()[0] for c in ENTRY.split(", ")]
 
 
@@ -46,12 +49,24 @@ def archive_metadata(entries: DataFrame, level: str, max_tokens: int = 0, create
         "total_compressed_size_bytes", "total_estimated_tokens")
 
 
-def write_archives(entries: DataFrame, archives: DataFrame, folder: str) -> None:
-    """Native layout: entries and metadata as Parquet, entries partitioned by archive."""
-    entries.write.partitionBy("archive_id").mode("errorifexists").parquet(f"{folder}/archive_files")
+def write_archives(entries: DataFrame, archives: DataFrame, folder: str, files: int | None = None) -> None:
+    """Native layout: entries and metadata as Parquet.
+
+    Entries lie in ``files`` files (the shuffle width unless given), however many archives there are, sorted by archive and
+    path, so that one archive is found by the files' own statistics.  Every archive is dealt over SPREAD files, so none makes one of them large.
+    """
+    salt = F.pmod(F.xxhash64("path"), F.lit(SPREAD))
+    dealt = entries.repartition(files or shuffle_partitions(entries.sparkSession), "archive_id", salt)
+    dealt.sortWithinPartitions("archive_id", "path").write.mode("errorifexists").parquet(f"{folder}/archive_files")
     archives.write.mode("errorifexists").parquet(f"{folder}/archives")
 
 
+def read_archives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Entries and metadata that ``write_archives`` wrote."""
+    entries = spark.read.schema(f"archive_id string, {ENTRY}").parquet(f"{folder}/archive_files")
+    return entries, spark.read.schema(f"archive_id string, {METADATA}").parquet(f"{folder}/archives")
+
+
 def archive_documents(entries: DataFrame, archives: DataFrame, volume_bytes: int = 16 << 20,
                       slices: int | None = None) -> DataFrame:
     """archive_id, volume, document: JSON documents with entries in path order.

@@ -126,6 +126,38 @@ def test_archive_audit(spark):
     assert [f for f in found if f[0] != "a"] == [("b", 0, "missing metadata or files", True)]
 
 
+def test_archive_files_do_not_grow_with_the_number_of_archives(spark, tmp_path):
+    rows = [(f"archive {i % 300}/é", f"f{i}.txt", "t", 1, 1, 1, "none", 1.0, 0, None) for i in range(900)]
+    entries = spark.createDataFrame(rows, f"archive_id string, {archives.ENTRY}")
+    archives.write_archives(entries, archives.archive_metadata(entries, "none"), str(tmp_path / "native"), files=4)
+    assert len(list((tmp_path / "native/archive_files").glob("*.parquet"))) <= 4
+    back, meta = archives.read_archives(spark, str(tmp_path / "native"))
+    assert sorted(map(tuple, back.collect())) == sorted(rows) and meta.count() == 300
+    one = back.filter("archive_id = 'archive 7/é'")
+    assert one.count() == 3 and "PushedFilters: [IsNotNull(archive_id), EqualTo(archive_id" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cache_updates_touch_their_buckets_only(spark, corpus, tmp_path):
+    folder = str(tmp_path / "cache")
+
+    def results(*texts, method="m"):
+        keyed = cache.fingerprinted(corpus(*[(f"{i}.txt", t) for i, t in enumerate(texts)]), "light").select(*cache.KEY)
+        return keyed.selectExpr("*", "'r' as reduced", f"'{method}' as method", "1L as reduced_size", "2L as tokens")
+
+    def files():
+        return {str(p.relative_to(tmp_path)) for p in (tmp_path / "cache").rglob("*.parquet")}
+
+    first = cache.update_cache(results(*[f"text {i}" for i in range(60)]), folder, digits=1)
+    assert 10 < len(first) <= 16 and cache.read_cache(spark, folder).count() == 60
+    before = files()
+    touched = cache.update_cache(results("text 3", "text 3", "fresh", method="new"), folder, digits=1)
+    kept = {f for f in before if f.split("bucket=")[1][0] not in touched}
+    assert 1 <= len(touched) <= 2 and kept and kept == files() & before
+    rows = cache.read_cache(spark, folder).collect()
+    assert len(rows) == 61 and sorted(r.method for r in rows if r.method == "new") == ["new", "new"]
+    assert cache.lookup_cached(cache.fingerprinted(corpus(("a.txt", "text 5"), ("b.txt", "none")), "light"), cache.read_cache(spark, folder)).filter("cached").count() == 1
+
+
 def test_audit_of_documents_larger_than_a_variant(spark, monkeypatch):
     """The same findings whether a document is parsed as a whole or cut into its entries first."""
     good = {k: "x" for k in fv.REQUIRED_ENTRY_KEYS}
