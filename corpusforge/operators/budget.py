@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions.paths import basename
 from corpusforge.functions.scale import running, sliced
+from corpusforge.session import stored
 
 # Documented order: README and main files, then ordinary files, then helpers, then tests.
 CRITICAL, ORDINARY, HELPER, TEST = 3, 2, 1, 0
@@ -23,10 +24,10 @@ def _order() -> list[Column]:
 
 
 def _cut(files: DataFrame, values: dict[str, Column], slices: int | None) -> DataFrame:
-    """Narrow rows in rank order, materialised once: the text behind the token counts is not read again."""
+    """Narrow rows in rank order.  They are stored before their slices are drawn, so the text behind the counts is read once."""
     rows = files.select("corpus_id", "path", importance(F.col("path")).alias("importance_score"),
                         *[v.cast("bigint").alias(n) for n, v in values.items()])
-    return sliced(rows, ["corpus_id"], _order(), slices)
+    return sliced(stored(rows, "ranks"), ["corpus_id"], _order(), slices)
 
 
 def _ranked(cut: DataFrame, names: list[str]) -> DataFrame:

@@ -26,7 +26,11 @@ def fingerprinted(files: DataFrame, level: str, model: str | None = None) -> Dat
 
 
 def lookup_cached(keyed: DataFrame, cache: DataFrame, hot_rows: int = 100_000) -> DataFrame:
-    """Keyed rows with stored result columns and a ``cached`` flag; a hit's method gets one suffix."""
+    """Keyed rows with stored result columns and a ``cached`` flag; a hit's method gets one suffix.
+
+    The keys are stored first: hot ones are sought among them and then joined, and the texts behind them are hashed once.
+    """
+    keyed = checkpointed(keyed)
     known = cache.select(*KEY, *RESULT, F.lit(True).alias("_hit"))
     rows = lookup(keyed, known, KEY, ["corpus_id", "path"], "left", hot_rows)
     return (rows.withColumn("cached", F.coalesce("_hit", F.lit(False)))

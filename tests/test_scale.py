@@ -91,3 +91,22 @@ def test_invalid_bytes_go_and_genuine_replacement_characters_stay(spark):
     from corpusforge.functions.text import decode_utf8
     rows = spark.createDataFrame([(bytearray(b"a\xef\xbf\xbdb\xffc"),), (bytearray("ü�".encode()),)], "content binary")
     assert [r[0] for r in rows.select(decode_utf8(rows.content)).collect()] == ["a�bc", "ü�"]
+
+
+def test_texts_behind_ranks_and_cache_keys_are_read_once(spark, tmp_path):
+    """What is returned reads stored narrow rows, not the files again."""
+    from corpusforge.functions import tokens
+    from corpusforge.operators import cache
+    from corpusforge.operators.reduce import reduce_levels
+    rows = [("c", f"f{i}.txt", f"some words {i} " * 20) for i in range(50)]
+    spark.createDataFrame(rows, "corpus_id string, path string, content string").write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    counted = tokens.add_tokens(files.withColumn("file_type", F.lit("text")), "content")
+    known = cache.fingerprinted(files.limit(3), "light").select(*cache.KEY).selectExpr(
+        "*", "'r' as reduced", "'m' as method", "1L as reduced_size", "2L as tokens")
+    known.write.parquet(str(tmp_path / "known"))
+    levels = budget.level_tokens(reduce_levels(files, budget.LEVELS_WEAK_TO_STRONG))
+    for result in (budget.budget_fit(counted, 1000), budget.budget_level(levels, 1000),
+                   cache.lookup_cached(cache.fingerprinted(files, "light"), spark.read.parquet(str(tmp_path / "known")))):
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        assert f"{tmp_path}/files" not in plan and result.count() > 0
