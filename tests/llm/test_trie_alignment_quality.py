@@ -228,3 +228,87 @@ def test_hot_lists_of_one_cluster_become_one(spark, documents, monkeypatch):
     assert rows_of(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(true_components(texts), key=str)
     before, after, docs = seen[0]
     assert before > 8 * docs and after < 4 * docs
+
+
+def test_pipeline_stage_by_stage_against_brute_force(spark, documents, tmp_path):
+    """Every stage on what the one before it kept: known toxic rows, components, windows, shares of sources, token ids."""
+    import re
+    import numpy as np
+    import corpus_pipeline
+    from tests.llm.test_operators import true_components
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "kmprst" for b in ("alo", "eni", "uro", "ima", "osi", "etu")]
+
+    def prose(n=24):
+        return " ".join(rng.choice(words) for _ in range(n))
+
+    item = " ".join(f"exam{i}" for i in range(12))
+    texts, toxic = [], set()
+    for i in range(240):
+        kind = i % 8
+        if kind == 0:
+            toxic.add(i)
+            texts.append(f"{prose(8)} vilea vileb vilec viled {prose(8)}")
+        elif kind == 1 and i > 8:
+            copied = texts[-6].split()
+            copied[rng.randrange(2)] = "changed"
+            texts.append(" ".join(copied))
+        elif kind == 2 and i % 16 == 2:
+            texts.append(f"{prose(6)} {item.upper()} {prose(6)}")
+        else:
+            texts.append(prose())
+    folder = str(tmp_path)
+    documents(*[(i, t, ["a", "b", "c", None][i % 4]) for i, t in enumerate(texts)]).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs.cache()
+        docs = stage(spark, docs, folder)
+        docs.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert docs.columns == columns or name == "tokens"
+        kept[name] = [tuple(r) for r in docs.collect()]
+    ids = {name: [r[0] for r in rows] for name, rows in kept.items()}
+    assert sorted(ids["toxicity"]) == [i for i in range(240) if i not in toxic]
+
+    left = sorted(ids["toxicity"])
+    components = true_components([texts[i] for i in left])
+    assert sorted(ids["near_dedup"]) == [left[k] for k, _, group, first in components if first]
+    windows = {tuple(item.split()[i:i + 10]) for i in range(3)}
+
+    def leaks(text):
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+        return any(tuple(own[i:i + 10]) in windows for i in range(len(own)))
+    clean = [i for i in ids["near_dedup"] if not leaks(texts[i])]
+    assert sorted(ids["decontamination"]) == sorted(clean) and len(clean) < len(ids["near_dedup"])
+
+    size = {i: len(texts[i].split()) for i in clean}
+    total = {s: sum(size[i] for i in clean if i % 4 == s) for s in range(4)}
+    share, rest, open_ones = {}, 1.5 * sum(total.values()), {0: 5, 1: 2, 2: 1, 3: 5}
+    while open_ones:
+        over = [s for s in open_ones if rest * open_ones[s] / sum(open_ones.values()) > 2 * total[s]]
+        if not over:
+            share.update({s: rest * w / sum(open_ones.values()) for s, w in open_ones.items()})
+            break
+        for s in over:
+            share[s] = 2 * total[s]
+        for s in over:
+            rest -= share[s]
+            del open_ones[s]
+    copies = Counter(ids["mixing"])
+    for i in clean:
+        rate = share[i % 4] / total[i % 4]
+        assert int(rate + 1e-9) <= copies[i] <= -int(-rate // 1) + (rate > int(rate)) <= 3
+    for s in share:
+        taken = sum(copies[i] * size[i] for i in clean if i % 4 == s)
+        assert abs(taken - share[s]) <= 6 * 24 * (len([i for i in clean if i % 4 == s]) ** 0.5)
+
+    tokenizer, start = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0
+    names = docs.columns
+    for row, i in zip(sorted(kept["tokens"], key=lambda r: r[names.index("start")]), sorted(ids["mixing"]), strict=True):
+        own = np.array([*tokenizer.encode(texts[i], add_special_tokens=False).ids, 2], "<u4")
+        assert [row[names.index(c)] for c in ("doc_id", "start", "n_tokens", "ids_crc32")] == [i, start, len(own), zlib.crc32(own.tobytes())]
+        start += len(own)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, folder).collect())) == sorted(kept["tokens"])
