@@ -29,6 +29,8 @@ HUB_ROUNDS, LINEAR = 2, 4
 HOT_PAIRS, BLOCK, PROFILE = 300, 1000, 256
 #: Bits of the map of documents whose texts are needed: the bound of what is broadcast for it.
 BITS = 1 << 22
+#: Bytes of text that a Python step works on at a time.
+PIECE_BYTES = 1 << 18
 _PAD = np.iinfo(np.int64).max
 
 
@@ -53,7 +55,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (set size), class (fingerprint of the set), sketch (ascending longs)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", PIECE_BYTES):
                 sets = shingle_sets(batch.column("text"), words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
@@ -121,22 +123,28 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             .select("a", "b", "label", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long, label long"))
 
 
-def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of (doc, text) that may be in ``wanted`` (doc): a bitmap of BITS hash values keeps other texts from the shuffle."""
-    spark = texts.sparkSession
-    place = F.pmod(F.xxhash64("doc"), F.lit(BITS))
-    rows = wanted.select(F.shiftright(place, 5).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc), {BITS}) & 31 as int))").alias("bit"))
-    marks = np.zeros(BITS // 32, np.uint32)
-    for word, bits in rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        marks[word] = bits
-    shared = spark.sparkContext.broadcast(marks)
+def _marked_places(ids: DataFrame, spread: int) -> DataFrame:
+    """(_word, _bits): a bitmap of ``spread`` places, as a table of at most spread / 32 rows, of the hashes of ``ids`` (_id)."""
+    place = F.pmod(F.xxhash64("_id"), F.lit(spread))
+    return ids.select(F.shiftright(place, 5).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_id), {spread}) & 31 as int))").alias("_bit")
+                      ).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def _flagged(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` with ``_marked``: whether their _id may be among ``ids`` (_id); those that are always are.
+
+    What is broadcast are BITS / 32 rows of two numbers at most.
+    """
+    bit = F.expr(f"shiftright(_bits, cast(pmod(xxhash64(_id), {BITS}) & 31 as int)) & 1")
+    placed = rows.withColumn("_word", F.shiftright(F.pmod(F.xxhash64("_id"), F.lit(BITS)), 5))
+    return placed.join(F.broadcast(_marked_places(ids, BITS)), "_word", "left").withColumn(
+        "_marked", F.coalesce(bit == 1, F.lit(False)) & F.col("_id").isNotNull()).drop("_word", "_bits")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column("place").to_numpy()
-            yield batch.filter(pa.array((shared.value[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))).select(["doc", "text"])
 
-    return texts.filter("doc is not null").select("doc", "text", place.alias("place")).mapInArrow(run, "doc long, text string")
+def _only(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of (doc, text) that may be in ``wanted`` (doc): a bitmap of BITS hash values keeps other texts from the shuffle."""
+    rows = texts.filter("doc is not null").select(F.col("doc").alias("_id"), "text")
+    return _flagged(rows, wanted.select(F.col("doc").alias("_id"))).filter("_marked").select(F.col("_id").alias("doc"), "text")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -147,7 +155,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for whole in batches:
-            for batch in chunks(whole, "text_b"):
+            for batch in chunks(whole, "text_b", PIECE_BYTES):
                 ids, theirs, good = batch.column("a").to_pylist(), shingle_sets(batch.column("text_b"), words), []
                 for k, other in enumerate(theirs):
                     if ids[k] != last:
@@ -211,7 +219,7 @@ def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words
     """
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, "text"):
+            for batch in chunks(whole, "text", PIECE_BYTES):
                 sets = [s[:PROFILE].tobytes() for s in shingle_sets(batch.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], names=["doc", "profile"])
 
@@ -336,13 +344,6 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _marked_places(ids: DataFrame, spread: int) -> DataFrame:
-    """(_word, _bits): a bitmap of ``spread`` places, as a table of at most spread / 32 rows, of the hashes of ``ids`` (_id)."""
-    place = F.pmod(F.xxhash64("_id"), F.lit(spread))
-    return ids.select(F.shiftright(place, 5).alias("_word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(_id), {spread}) & 31 as int))").alias("_bit")
-                      ).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-
-
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` with one document of every component; of rows that repeat a doc_id, one.  Rows without id stay.
 
@@ -353,12 +354,7 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     status = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"), F.bool_or("kept").alias("_kept"))
     special = stored(status.filter("not _kept or _rows > 1"), "near-special")
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    place = F.pmod(F.xxhash64("_id"), F.lit(BITS))
-    # BITS / 32 rows of two numbers at most.
-    marks = F.broadcast(_marked_places(special, BITS))
-    bit = F.expr(f"shiftright(_bits, cast(pmod(xxhash64(_id), {BITS}) & 31 as int)) & 1")
-    rows = rows.withColumn("_word", F.shiftright(place, 5)).join(marks, "_word", "left").withColumn(
-        "_marked", F.coalesce(bit == 1, F.lit(False)) & F.col("_id").isNotNull())
+    rows = _flagged(rows, special.select("_id"))
     marked = rows.filter("_marked").select("_id", "_row")
     repeated = marked.join(special.filter("_kept").select("_id"), "_id", "left_semi").dropDuplicates(["_id"])
     plain = rows.filter("not _marked").select("_id", "_row").union(marked.join(special.select("_id"), "_id", "left_anti"))
