@@ -5,6 +5,7 @@ operations.  Hashes are polynomials modulo 2**64 with an odd base, taken from on
 bit mixer; two different words or shingles agree with a chance of about their length over 2**64.
 """
 
+import ctypes
 import os
 from collections.abc import Iterator
 
@@ -40,6 +41,19 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         begin = end
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; what the work on one has freed goes back to the system before the next, and when a task ends.
+
+    Workers live on between tasks and stages, and their allocators keep what they have freed.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+
+
 def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts and their bounds; a null has no bytes."""
     if texts.null_count:

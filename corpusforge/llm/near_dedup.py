@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusforge.llm.arrow_text import LOWER, Words, chunks, span_hashes, worker_path
+from corpusforge.llm.arrow_text import LOWER, Words, chunks, released, span_hashes, worker_path
 from corpusforge.llm.components import components
 from corpusforge.session import checkpointed, stored
 
@@ -54,7 +54,7 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (set size), class (fingerprint of the set), sketch (ascending longs)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for batch in chunks(whole, "text", PIECE_BYTES):
                 sets = shingle_sets(batch.column("text"), words)
                 yield pa.RecordBatch.from_arrays(
@@ -154,7 +154,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
-        for whole in batches:
+        for whole in released(batches):
             for batch in chunks(whole, "text_b", PIECE_BYTES):
                 ids, theirs, good = batch.column("a").to_pylist(), shingle_sets(batch.column("text_b"), words), []
                 for k, other in enumerate(theirs):
@@ -218,7 +218,7 @@ def _likely_in_blocks(marked: DataFrame, hot: DataFrame, texts: DataFrame, words
     document and task.  A larger pair is given unless its ends are joined by that forest.
     """
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in released(batches):
             for batch in chunks(whole, "text", PIECE_BYTES):
                 sets = [s[:PROFILE].tobytes() for s in shingle_sets(batch.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.binary())], names=["doc", "profile"])
