@@ -32,8 +32,8 @@ LEVEL = 3
 END_ID = 2
 #: A block ends at the document that fills it; a longer document is a block of its own.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
-#: Words whose ids a Python worker remembers between documents and tasks.
-CACHE_WORDS = 800_000
+#: Words whose ids a Python worker remembers between documents and tasks, in each of two generations.
+CACHE_WORDS = 400_000
 _cache: dict[str, tuple] = {}
 
 
@@ -46,11 +46,15 @@ class _Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.words = Tokenizer.from_file(path), {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.words) + len(words) > CACHE_WORDS:
-            self.words.clear()
+        self.tokenizer, self.words, self.older = Tokenizer.from_file(path), {}, {}
+
+    def learn(self, wanted: set[bytes]) -> None:
+        """Have the ids of all these words at hand; a full generation makes way, and its words stay while they are used."""
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        missing = wanted.difference(self.words)
+        self.words.update((w, self.older[w]) for w in missing if w in self.older)
+        words = list(missing.difference(self.words))
         for k in range(0, len(words), 4096):
             part = words[k:k + 4096]
             got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True,
@@ -63,8 +67,8 @@ class _Encoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Serialized ids of every text."""
         split = [t.split() for t in texts]
+        self.learn(set().union(*split))
         known = self.words
-        self.learn(list(set().union(*split).difference(known)))
         for words in split:
             yield b"".join([known[w] for w in words])
 

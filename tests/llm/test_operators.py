@@ -109,6 +109,18 @@ def test_mixing(documents, clashing):
     assert mixing.mix_report(documents().limit(0)).count() == 0 and mixing.mixed_documents(documents().limit(0)).count() == 0
 
 
+def test_word_cache_keeps_the_words_in_use(monkeypatch):
+    """Words known from texts before stay at hand when a full cache makes way in the middle of a text."""
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 5)
+    path, rng = token_files.tokenizer_path(), random.Random(3)
+    encoder, plain = token_files._Encoder(path), Tokenizer.from_file(path)
+    for _ in range(60):
+        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 4, 12]))) for _ in range(3)]
+        expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert list(encoder.encode([t.encode() for t in texts])) == expected
+
+
 def test_token_files_round_trip(spark, documents, tmp_path):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(token_files.tokenizer_path())
