@@ -11,8 +11,10 @@ Blocks ascend by document id, nulls first.  Ids are little-endian unsigned 32-bi
 document needs its block's row (found by first_id and last_id, which Parquet prunes on) and one frame of it.
 """
 
+import gc
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -32,29 +34,46 @@ LEVEL = 3
 END_ID = 2
 #: A block ends at the document that fills it; a longer document is a block of its own.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
-#: Words whose ids a Python worker remembers between documents and tasks, in each of two generations.
+#: Words, and parts of words, whose ids a Python worker remembers between documents and tasks, in each of two generations.
 CACHE_WORDS = 400_000
 _cache: dict[str, tuple] = {}
 
 
+#: A word of one run of ASCII letters between ASCII marks, without those that contractions and added tokens are written with.
+_PARTS = re.compile(rb"([!-&(-;=?-@[-`{}~]*)([A-Za-z]+)([!-&(-;=?-@[-`{}~]*)")
+
+
+class _Cache:
+    """Values of the keys in use: when a generation is full, the next one takes over what is asked for again."""
+
+    def __init__(self):
+        self.now, self.older = {}, {}
+
+    def missing(self, wanted: set[bytes]) -> set[bytes]:
+        """Those that have no value; the values of all others are in ``now`` until the next call."""
+        if len(self.now) > CACHE_WORDS:
+            self.older, self.now = self.now, {}
+        left = wanted.difference(self.now)
+        self.now.update([(w, self.older[w]) for w in left if w in self.older])
+        return left.difference(self.now) if self.older else left
+
+
 class _Encoder:
-    """Ids of whole texts by the tokenizers library, which is asked once for every distinct word.
+    """Ids of whole texts by the tokenizers library, which is asked once for every distinct part of a word.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn.
+    The tokenizer drops white space and never joins across it, so a text's ids are those of its words in turn.  Where it also
+    lower-cases and parts letters from marks, a word's ids are those of its letters and marks.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer, self.words, self.older = Tokenizer.from_file(path), {}, {}
+        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), _Cache(), _Cache()
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.parting = all(ids(f"{a}{b}{a}") == [*ids(a), *ids(b.lower()), *ids(a)] for a, b in (
+            (".,", "Word"), ("(-", "THE"), ("9", "x"), ("_", "Ab")))
 
-    def learn(self, wanted: set[bytes]) -> None:
-        """Have the ids of all these words at hand; a full generation makes way, and its words stay while they are used."""
-        if len(self.words) > CACHE_WORDS:
-            self.older, self.words = self.words, {}
-        missing = wanted.difference(self.words)
-        self.words.update((w, self.older[w]) for w in missing if w in self.older)
-        words = list(missing.difference(self.words))
+    def _ask(self, words: list[bytes]) -> Iterator[tuple[bytes, bytes]]:
         for k in range(0, len(words), 4096):
             part = words[k:k + 4096]
             got = self.tokenizer.encode([w.decode("utf-8", "replace") for w in part], is_pretokenized=True,
@@ -62,13 +81,29 @@ class _Encoder:
             ids = np.array(got.ids, "<u4").tobytes()
             owner = np.array(got.word_ids, np.int64)
             cuts = (np.searchsorted(owner, np.arange(len(part) + 1)) * 4).tolist()
-            self.words.update(zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True))
+            yield from zip(part, [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], strict=True)
+
+    def learn(self, wanted: set[bytes]) -> None:
+        """Have the ids of all these words at hand."""
+        words = list(self.words.missing(wanted))
+        found = [_PARTS.fullmatch(w) if self.parting else None for w in words]
+        parted = [(w, m[1], m[2].lower(), m[3]) for w, m in zip(words, found, strict=True) if m]
+        new = self.parts.missing({p for _, *parts in parted for p in parts})
+        self.parts.now.update(self._ask(list(new)))
+        known = self.parts.now
+        self.words.now.update([(w, known[a] + known[b] + known[c]) for w, a, b, c in parted])
+        self.words.now.update(self._ask([w for w, m in zip(words, found, strict=True) if not m]))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Serialized ids of every text."""
         split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        known = self.words
+        # A great many small objects and no rings among them: looking for rings takes a quarter of the time.
+        gc.disable()
+        try:
+            self.learn(set().union(*split))
+        finally:
+            gc.enable()
+        known = self.words.now
         for words in split:
             yield b"".join([known[w] for w in words])
 

@@ -115,8 +115,12 @@ def test_word_cache_keeps_the_words_in_use(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_WORDS", 5)
     path, rng = token_files.tokenizer_path(), random.Random(3)
     encoder, plain = token_files._Encoder(path), Tokenizer.from_file(path)
-    for _ in range(60):
-        texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([0, 1, 4, 12]))) for _ in range(3)]
+    assert encoder.parting
+    signs = [*"aBcdE.,:;!?*-_()[]{}~`^#$%&/=+@|<>\\\"'0129éßİK", "'s", "'LL", "n't", "<|endoftext|>", "The", "ing", "\u0331", "\u2003"]
+    for turn in range(150):
+        pick = (lambda: rng.choice("abcdefgh") * rng.randint(1, 3)) if turn < 60 else (
+            lambda: "".join(rng.choice(signs) for _ in range(rng.randint(1, 6))))
+        texts = [" ".join(pick() for _ in range(rng.choice([0, 1, 4, 12]))) for _ in range(3)]
         expected = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert list(encoder.encode([t.encode() for t in texts])) == expected
 
