@@ -115,7 +115,6 @@ def test_word_cache_keeps_the_words_in_use(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_WORDS", 5)
     path, rng = token_files.tokenizer_path(), random.Random(3)
     encoder, plain = token_files._Encoder(path), Tokenizer.from_file(path)
-    assert encoder.parting
     signs = [*"aBcdE.,:;!?*-_()[]{}~`^#$%&/=+@|<>\\\"'0129éßİK", "'s", "'LL", "n't", "<|endoftext|>", "The", "ing", "\u0331", "\u2003"]
     for turn in range(150):
         pick = (lambda: rng.choice("abcdefgh") * rng.randint(1, 3)) if turn < 60 else (
