@@ -4,12 +4,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
-from corpusforge.functions.text import strip
+from corpusforge.functions.text import bind, json_value, strip
 from corpusforge.sources.archives import READING
 
 _VARIANTS = "array<variant>"
-#: Bytes from which a document is taken apart before its values are parsed: a variant holds less than 128 MiB.
-LARGE = 128 << 20
+#: Bytes from which a document is taken apart before its values are parsed: a variant's parser stops at strings of 20 million
+#: characters.
+LARGE = 20_000_000
 _PARTS = "struct<metadata:string,files:array<string>,_broken:string>"
 
 
@@ -17,12 +18,12 @@ def audit_archives(documents: DataFrame) -> DataFrame:
     """(archive_id, document) -> one row per violation: archive_id, entry (0 = document), violation, is_first.
 
     Documents are read as variants, so any JSON shape can be inspected.  Every violation is reported; the first one
-    in reading order is marked.  A valid archive gives no row.  A document of LARGE bytes or more, which is no variant, is cut
-    into its entries first and each of them is inspected as one; an entry of that size counts as no object.
+    in reading order is marked.  A valid archive gives no row.  A document of LARGE bytes or more, which may be no variant, is
+    cut into its entries first and the keys of each are inspected.
     """
     large = F.octet_length("document") >= LARGE
     split = F.from_json(F.col("document"), _PARTS, {**READING, "columnNameOfCorruptRecord": "_broken"})
-    rows = documents.select("archive_id", large.alias("large"), F.try_parse_json(F.when(~large, F.col("document"))).alias("small"),
+    rows = documents.select("archive_id", large.alias("large"), json_value(F.when(~large, F.col("document"))).alias("small"),
                             F.when(large & F.col("document").rlike(r"\A\s*\{"), split).alias("parts"))
     whole_files = F.when(F.col("parts.files").isNotNull(), F.parse_json(F.lit("[]")))
     rows = rows.select(
@@ -37,18 +38,24 @@ def audit_archives(documents: DataFrame) -> DataFrame:
              .otherwise(F.array_compact(F.array(
                  F.when(version.isNull(), "missing format version"),
                  F.when(~F.schema_of_variant(files).startswith("ARRAY<"), "files not a list")))))
-    entries = F.when(F.col("large"), F.transform("parts.files", lambda x: F.try_parse_json(x))).when(F.coalesce(F.schema_of_variant(files).startswith("ARRAY<"), F.lit(False)),
-                     F.coalesce(F.try_variant_get("doc", "$.files", _VARIANTS), F.array().cast(_VARIANTS)))
+    small = F.when(~F.col("large") & F.coalesce(F.schema_of_variant(files).startswith("ARRAY<"), F.lit(False)),
+                   F.coalesce(F.try_variant_get("doc", "$.files", _VARIANTS), F.array().cast(_VARIANTS)))
 
-    def flaws(entry, i):
-        keys = F.array_compact(F.array(*[
-            F.when(F.try_variant_get(entry, f"$.{k}", "variant").isNull(), f"missing {k}") for k in fv.REQUIRED_ENTRY_KEYS]))
-        problems = F.when(F.schema_of_variant(entry).startswith("OBJECT<"), keys).otherwise(
-            F.array(F.lit("entry not an object")))
+    def flaws(is_entry, has, i):
+        keys = F.array_compact(F.array(*[F.when(~has(k), f"missing {k}") for k in fv.REQUIRED_ENTRY_KEYS]))
+        problems = F.when(is_entry, keys).otherwise(F.array(F.lit("entry not an object")))
         return F.transform(problems, lambda p: F.struct((i + 1).alias("entry"), p.alias("violation")))
 
+    def of_variant(entry, i):
+        return flaws(F.schema_of_variant(entry).startswith("OBJECT<"), lambda k: F.try_variant_get(entry, f"$.{k}", "variant").isNotNull(), i)
+
+    def of_text(entry, i):
+        return bind(F.from_json(entry, "map<string,string>", READING), lambda m: flaws(
+            m.isNotNull(), lambda k: F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False)), i))
+
+    entries = F.coalesce(F.transform(small, of_variant), F.transform(F.when(F.col("large"), F.col("parts.files")), of_text))
     found = F.concat(F.transform(whole, lambda v: F.struct(F.lit(0).alias("entry"), v.alias("violation"))),
-                     F.coalesce(F.flatten(F.transform(entries, flaws)),
+                     F.coalesce(F.flatten(entries),
                                 F.array().cast("array<struct<entry:int,violation:string>>")))
     return (rows.select("archive_id", F.posexplode(found).alias("place", "v"))
             .select("archive_id", "v.entry", "v.violation", (F.col("place") == 0).alias("is_first")))

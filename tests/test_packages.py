@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
 from corpusforge.functions import paths
-from corpusforge.operators import audit, cache, filters, reduce
+from corpusforge.operators import audit, cache, filters, reduce, semantic
 from corpusforge.plans.pack import pack
 from corpusforge.sources import archives
 from corpusforge.sources.corpus import scan_corpus, skipped_files
@@ -213,3 +213,15 @@ def test_cache(spark, corpus):
     rows = {r.path: (r.reduced, r.tokens, r.method) for r in cache.reduce_distinct(files, "light", hot_rows=5).collect()}
     alone = {r.path: (r.reduced, r.tokens, r.method) for r in reduce.reduce_corpus(files, "light").collect()}
     assert rows == alone
+
+
+def test_a_value_with_text_behind_it_is_no_json(spark):
+    """The variant parser stops behind the first value; a number, a list or an object with prose behind it is no document."""
+    whole = '{"metadata": {"%s": "4"}, "files": []}' % fv.VERSION_KEY
+    texts = ["8294846167456848 Inly onhe.", "[1] [2]", "{} x", whole + " tail", '1,"x"] y', "", "1, 2"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100, whole), (101, f" {whole}\n")], "archive_id long, document string")
+    found = {r.archive_id: r.violation for r in audit.audit_archives(rows).collect()}
+    assert found == {i: "bad json" for i in range(len(texts))}
+    answers = spark.createDataFrame([("c", "a.py", "python", '{"file_path": "a"} done'), ("c", "b.py", "python", '{"file_path": "a"}')],
+                                    "corpus_id string, path string, file_type string, raw_text string")
+    assert {r.path: r.record is not None for r in semantic.parse_responses(answers).select("path", "record").collect()} == {"a.py": False, "b.py": True}
