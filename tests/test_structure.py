@@ -190,3 +190,11 @@ def test_validity(spark, corpus):
     methods = {r.path: r.method for r in reduce_corpus(files, "aggressive").collect()}
     assert len({m for p, m in methods.items() if p.startswith("b")}) == 1
     assert not {m for p, m in methods.items() if p.startswith("b")} & {m for p, m in methods.items() if p.startswith("s")}
+
+
+def test_a_star_at_the_end_is_broken_unless_it_is_imported(spark):
+    texts = {"prose": "Of%%% the\nand.***\n", "star": "x = a**\n", "colon": "if a *:\n    pass\n", "from": "from a import *\n",
+             "tight": "from a import*\n", "call": "f(*a)\nx = a * b\n"}
+    rows = spark.createDataFrame([("c", k, v) for k, v in texts.items()], "corpus_id string, path string, content string")
+    found = {r.path for r in structure.parsed_statements(rows).select("path").distinct().collect()}
+    assert found == {"from", "tight", "call"}
