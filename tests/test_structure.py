@@ -198,3 +198,16 @@ def test_a_star_at_the_end_is_broken_unless_it_is_imported(spark):
     rows = spark.createDataFrame([("c", k, v) for k, v in texts.items()], "corpus_id string, path string, content string")
     found = {r.path for r in structure.parsed_statements(rows).select("path").distinct().collect()}
     assert found == {"from", "tight", "call"}
+
+
+def test_endings_parse_as_with_the_whole_text(spark):
+    """Files that end in an open bracket, quote, line or block, and endings that close, continue or break them."""
+    texts = ["", "\n", "x = 1", "x = 1\n", "x = (1,", "x = (1,\n", "f(a))", "x = 1 + \\", "x = 1 + \\\r", "x = \"\"\"a\n", "x = 'a", "if x:", "if x:\n    y = 1",
+             "class A:\n    def f(self):\n        pass  # (", "def f(\n    a", "x = = 1", "x = = 1\ny = (1", "# only", "x = [1\n]", "if x:\n    y = (1\nz = 2", "@d", "x; y = 2"]
+    endings = ["", "y = 2", "    y = 2", ")", "2)", "1", "'", '\"\"\"', "\n\n    pass", "else:\n    z = 3", "if z:", "):\n    pass", "y = (", "# )", "def g(): pass", "x = = 2"]
+    files = spark.createDataFrame([("c", f"a#{i}.py", t) for i, t in enumerate(texts)], "corpus_id string, path string, content string")
+    whole = spark.createDataFrame([("c", f"{i}:{j}", f"{t}\n{e}\n") for i, t in enumerate(texts) for j, e in enumerate(endings)],
+                                  "corpus_id string, path string, content string")
+    want = {r.path: r.parses for r in structure.statements(whole).select("path", "parses").distinct().collect()}
+    got = {f"{r.path[2:-3]}:{r.ending}": r.parses for r in structure.parses_with(files, endings).collect()}
+    assert got == want and len(got) == len(texts) * len(endings) and 0 < sum(got.values()) < len(got)
