@@ -139,3 +139,23 @@ def test_levels_without_a_model(corpus):
     smart = {r.path: r.method for r in reduce.reduce_without_model(files, "smart").collect()}
     assert smart["a.py"] == "smart->semantic-llm-unavailable, fallback to aggressive (python-ast)"
     assert smart["s.py"] == smart["t.md"] == "smart->light (whitespace norm.)" and smart["b.py"] == "skip (empty/whitespace)"
+
+
+def test_files_of_one_split_are_reduced_by_many_tasks(spark, corpus):
+    """A table of one row group is read by one task; reducing it is dealt over all."""
+    files = corpus(*[(f"d{i}.md", f"# line {i}\n\n\n\nwords  of\ttext {i}") for i in range(64)]).coalesce(1)
+    for level in ("light", "aggressive"):
+        rows = reduce.reduce_corpus(files, level).select("path", "reduced", F.spark_partition_id().alias("part")).collect()
+        assert len(rows) == 64 and len({r["part"] for r in rows}) > 4
+
+
+def test_blank_runs_and_keywords_of_the_estimate(spark):
+    """The cheaper patterns of the estimate give what the plain ones give."""
+    texts = ["a\tb", "a  b", "a b", " \t", "\t", "  x \t\ty  \n\t\n", "public  static\tfinal", "publicx xstatic FINAL_ final", "Élan classé class", "new\tNEW(new)"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    word = tokens.WORD
+    for kind, (_, _, words) in tokens.fv.TOKEN_WORDS.items():
+        plain = f"(?i)(?<!{word})(?:{'|'.join(words.split())})(?!{word})"
+        assert rows.filter(F.regexp_count("t", F.lit(plain)) != F.regexp_count("t", F.lit(tokens.word_pattern(words)))).count() == 0, kind
+    spaced = tokens.strip(F.regexp_replace(F.regexp_replace("t", "[ \t]{2,}|\t", " "), f"\n[{tokens.SPACE}]*\n[{tokens.SPACE}]*\n", "\n\n"))
+    assert rows.filter(spaced != tokens.clean(F.col("t"), F.lit("text"))).count() == 0
