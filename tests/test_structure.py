@@ -6,6 +6,7 @@ import os
 import sysconfig
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusforge.checks import corpora
 from corpusforge.operators import structure
@@ -211,3 +212,19 @@ def test_endings_parse_as_with_the_whole_text(spark):
     want = {r.path: r.parses for r in structure.statements(whole).select("path", "parses").distinct().collect()}
     got = {f"{r.path[2:-3]}:{r.ending}": r.parses for r in structure.parses_with(files, endings).collect()}
     assert got == want and len(got) == len(texts) * len(endings) and 0 < sum(got.values()) < len(got)
+
+
+def test_signs_of_broken_neighbours_show_at_their_gap(spark):
+    """Whatever shows two words that can't be neighbours passes the cheap test for the blank between them."""
+    words = ["a", "if", "in", "not", "print", "3", "3.if", "x.y", ".b", '"', 'r"', 'f("', "f(1)", "[2]", "}", "é", "lambda", "import", "=", "_", "", "ab1"]
+    rows = (spark.range(len(words)).crossJoin(spark.range(len(words)).toDF("j")).crossJoin(spark.range(len(words)).toDF("k"))
+            .select(F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("id") + 1).cast("int")).alias("a"),
+                    F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("j") + 1).cast("int")).alias("b"),
+                    F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("k") + 1).cast("int")).alias("c"))
+            .select(F.explode(F.array(F.concat_ws(" ", "a", "b", "c"), F.concat("a", F.lit(" \t"), "b", "c"), F.concat("a", "b", F.lit("  "), "c"))).alias("t")))
+    signs = F.col("t").rlike("|".join(structure.NEIGHBOURS))
+    counts = rows.select(F.count_if(signs), F.count_if(signs & ~F.col("t").rlike(structure.GAP)), F.count_if(~signs & ~F.col("t").rlike(structure.GAP))).first()
+    assert counts[0] > 1000 and counts[1] == 0 and counts[2] > 1000
+    # The final dot is looked for from the dot on.
+    plain = r'[\p{L}_)\]}"]\.\s*\z'
+    assert rows.select(F.concat("t", F.lit(". ")).alias("t")).filter(F.col("t").rlike(plain) != F.col("t").rlike(structure.OPERATORS[-1])).count() == 0
