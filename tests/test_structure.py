@@ -4,6 +4,7 @@ import ast
 import glob
 import os
 import sysconfig
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -228,3 +229,15 @@ def test_signs_of_broken_neighbours_show_at_their_gap(spark):
     # The final dot is looked for from the dot on.
     plain = r'[\p{L}_)\]}"]\.\s*\z'
     assert rows.select(F.concat("t", F.lit(". ")).alias("t")).filter(F.col("t").rlike(plain) != F.col("t").rlike(structure.OPERATORS[-1])).count() == 0
+
+
+def test_bracket_depth_of_a_long_statement_is_cheap(spark):
+    """The running depth over 60,000 brackets: a few seconds, several times as long with an array as the state."""
+    text = "([{}])" * 5000 + "(" * 15000 + "x" + ")" * 15000
+    rows = spark.createDataFrame([(text,)], "t string")
+    began = time.time()
+    flat = rows.select(structure.flattened(F.col("t")).alias("f")).select("f.around", "f.within").first()
+    fill = structure.FILL
+    assert flat["around"] == f"({fill * 4})" * 5000 + "(" + fill * 29999 + ")"
+    assert flat["within"] == f"([{fill * 2}])" * 5000 + "((" + fill * 29997 + "))"
+    assert time.time() - began < 12
