@@ -241,3 +241,16 @@ def test_bracket_depth_of_a_long_statement_is_cheap(spark):
     assert flat["around"] == f"({fill * 4})" * 5000 + "(" + fill * 29999 + ")"
     assert flat["within"] == f"([{fill * 2}])" * 5000 + "((" + fill * 29997 + "))"
     assert time.time() - began < 12
+
+
+def test_lines_are_no_rows_of_their_own(spark, corpus):
+    """Statements come from the files' texts in one step, without windows, sorts or groups; only turns of definitions meet windows."""
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    files = corpus(("a.py", "@one\n@two\ndef f(a):\n    x = [\n        1]\n\n    return x\nz = 1\nclass B:\n    async def g(): pass\n"), ("b.py", "x = (\n" * 70 + ")\n" * 70 + "y = 2"))
+    assert not [step for step in ("Window", "Aggregate", "Sort") if step in plan(structure.statements(files))]
+    rows = structure.statements(files)
+    assert [tuple(r) for r in rows.filter("path = 'b.py'").select("start_line", "end_line", "parses").orderBy("stmt").collect()] == [(1, 140, True), (141, 141, True)]
+    assert [tuple(r) for r in structure.definitions(files).select("name", "start_line", "end_line", "source").orderBy("start_line").collect()] == [
+        ("f", 3, 7, "@one\n@two\ndef f(a):\n    x = [\n        1]\n\n    return x"), ("g", 10, 10, "async def g(): pass")]
