@@ -159,3 +159,37 @@ def test_blank_runs_and_keywords_of_the_estimate(spark):
         assert rows.filter(F.regexp_count("t", F.lit(plain)) != F.regexp_count("t", F.lit(tokens.word_pattern(words)))).count() == 0, kind
     spaced = tokens.strip(F.regexp_replace(F.regexp_replace("t", "[ \t]{2,}|\t", " "), f"\n[{tokens.SPACE}]*\n[{tokens.SPACE}]*\n", "\n\n"))
     assert rows.filter(spaced != tokens.clean(F.col("t"), F.lit("text"))).count() == 0
+
+
+AWKWARD = ["", " \n\t", "if a:\n    return b  # not c\n", "# class x\nwhile True: pass\n\n\n\n# if\n\nelse", "a\rif b\r# for c\x0bclass d\n", "#!for\nif\n",
+           "int x; // if y\n// for z\n\"//\" return\n", "/* if\nelse */ public class A { }\nreturn; /* this */", "x /", "*\n/ if /* for", "//* if */ a",
+           "a  if\tb \u3000 \n\u3000\n \u2003\nclass\u2028else\x85for", "  lead\n\n\n\ntail\u00a0\u00a0\n", "\u00e9t\u00e9 if\u00e9 _if if2 IF\n" * 3,
+           "# one\n\n\n[a](b) **c** `d` __e__\n#", "function f() { return 1; }\nclass A {\n}", "#include <a>\nint f(int a) {\n  return a; // x\n}\n",
+           "import os\ndef f(a):\n    # c\n    return 1\n", "x = 1 # if\n\n\n\n\ny = 2", "a\n# ... (Medium compression via regex - java)", "if \"\"\"\nfor\n\"\"\" else"]
+
+
+@pytest.mark.parametrize("level", ["light", "medium", "aggressive"])
+def test_estimates_of_levels_together_equal_those_alone(corpus, level):
+    """A count that levels share is that of each level's own text, whatever comments, breaks and blanks stand in it."""
+    suffixes = [".py", ".js", ".ts", ".java", ".c", ".h", ".cpp", ".hpp", ".cs", ".go", ".rs", ".md", ".txt", ".sh", ".html"]
+    files = corpus(*[(f"{i}{suffix}", text) for suffix in suffixes for i, text in enumerate(AWKWARD)])
+    shown = ["path", "method", "reduced", "tokens"]
+    together = reduce.reduce_levels(files, ["light", "medium", "aggressive"]).filter(F.col("level") == level)
+    alone = reduce.reduce_corpus(files, level)
+    assert sorted(together.select(*shown).collect()) == sorted(alone.select(*shown).collect())
+
+
+def test_words_are_counted_once_for_all_levels(corpus):
+    """The keyword patterns meet the content below the generator that repeats a file for its levels."""
+    plan = reduce.reduce_levels(corpus(("a.c", "int a;")), ["light", "medium", "aggressive"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all(content" in plan[plan.index("Generate inline"):]
+
+
+def test_unusual_breaks_are_found_wherever_they_stand(spark):
+    from corpusforge.functions import text as t
+    texts = ["a\nb", "", "\r", "a\r\nb", "\x85", "a\u2028", "\u2029b", "\x0b\x0c\x1c\x1d\x1ex", "\u00e9\n\u3000"]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", t.unify_breaks(F.col("t")).alias("u"), t.is_blank(F.col("t")).alias("blank"))
+    for r in rows.collect():
+        assert r.u == "\n".join((r.t + "x").splitlines())[:-1] and r.blank == (r.t.strip() == "")
+    late = spark.createDataFrame([(" " * 70 + "x",), (" " * 70,), ("\u3000" * 64 + "\n" * 9,)], "t string")
+    assert [r[0] for r in late.select(t.is_blank(F.col("t"))).collect()] == [False, True, True]

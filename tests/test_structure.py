@@ -254,3 +254,19 @@ def test_lines_are_no_rows_of_their_own(spark, corpus):
     assert [tuple(r) for r in rows.filter("path = 'b.py'").select("start_line", "end_line", "parses").orderBy("stmt").collect()] == [(1, 140, True), (141, 141, True)]
     assert [tuple(r) for r in structure.definitions(files).select("name", "start_line", "end_line", "source").orderBy("start_line").collect()] == [
         ("f", 3, 7, "@one\n@two\ndef f(a):\n    x = [\n        1]\n\n    return x"), ("g", 10, 10, "async def g(): pass")]
+
+
+def test_broken_neighbours_are_told_before_statements_are_cut(spark):
+    """Prose under a Python name costs no statements, and no text that may parse is given up."""
+    import random
+    draw = random.Random(5)
+    words = ["a", "b1", "if", "not", "in", ":", ";", "\n", "\n    ", " ", "  ", "'", '"', '"""', "#", "(", ")", "[", "]", "=", ",", "f'x'", "r", "\\\n", "1", ".", "def f():", "lambda x:", "for", "\t"]
+    texts = ["".join(draw.choice(words) for _ in range(draw.randrange(2, 14))) for _ in range(1500)] + ["some words here", "if a:\n    b = 'c d'  # e f\n"]
+    read = spark.createDataFrame([(t,) for t in texts], "content string").select(
+        "content", structure._read(F.col("content")).alias("whole"), structure._read(F.col("content"), True).alias("sound")).select(
+        "content", F.col("sound").isNull().alias("given_up"), structure._flawed(F.col("whole")).alias("flawed"),
+        F.col("sound").eqNullSafe(F.col("whole")).alias("same"),
+        F.exists("whole", lambda x: structure._neighbours(x.masked)).alias("neighbours")).collect()
+    assert all(r.flawed for r in read if r.given_up) and all(r.same for r in read if not r.given_up)
+    assert all(r.given_up == r.neighbours for r in read), [r.content for r in read if r.given_up != r.neighbours][:5]
+    assert [r.given_up for r in read][-2:] == [True, False] and 100 < sum(r.given_up for r in read) < 1400
