@@ -4,60 +4,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusforge import fixed_values as fv
-from corpusforge.functions.text import bind, json_value, strip
-from corpusforge.sources.archives import READING
+from corpusforge.functions.text import bind, json_items, json_member, json_members, json_outline, strip
 
-_VARIANTS = "array<variant>"
-#: Bytes from which a document is taken apart before its values are parsed: a variant's parser stops at strings of 20 million
-#: characters.
+#: Bytes of the documents that tests call large.  No rule reads it: every document takes the same way.
 LARGE = 20_000_000
-_PARTS = "struct<metadata:string,files:array<string>,_broken:string>"
 
 
 def audit_archives(documents: DataFrame) -> DataFrame:
     """(archive_id, document) -> one row per violation: archive_id, entry (0 = document), violation, is_first.
 
-    Documents are read as variants, so any JSON shape can be inspected.  Every violation is reported; the first one
-    in reading order is marked.  A valid archive gives no row.  A document of LARGE bytes or more, which may be no variant, is
-    cut into its entries first and the keys of each are inspected.
+    Documents are read as outlines, so any JSON shape of any size can be inspected.  Every violation is reported; the first one
+    in reading order is marked.  A valid archive gives no row.  Of members with one name the first counts.
     """
-    large = F.octet_length("document") >= LARGE
-    split = F.from_json(F.col("document"), _PARTS, {**READING, "columnNameOfCorruptRecord": "_broken"})
-    rows = documents.select("archive_id", large.alias("large"), json_value(F.when(~large, F.col("document"))).alias("small"),
-                            F.when(large & F.col("document").rlike(r"\A\s*\{"), split).alias("parts"))
-    whole_files = F.when(F.col("parts.files").isNotNull(), F.parse_json(F.lit("[]")))
-    rows = rows.select(
-        "archive_id", "large", "parts", F.when(~F.col("large"), F.col("small")).when(
-            F.col("parts").isNotNull() & F.col("parts._broken").isNull(), F.parse_json(F.lit("{}"))).alias("doc"))
-    is_object = F.coalesce(F.schema_of_variant("doc").startswith("OBJECT<"), F.lit(False))
-    meta = F.when(F.col("large"), F.try_parse_json("parts.metadata")).when(is_object, F.try_variant_get("doc", "$.metadata", "variant"))
-    files = F.when(F.col("large"), whole_files).when(is_object, F.try_variant_get("doc", "$.files", "variant"))
-    version = F.when(F.schema_of_variant(meta).startswith("OBJECT<"), F.try_variant_get(meta, f"$.{fv.VERSION_KEY}", "variant"))
-    whole = (F.when(F.col("doc").isNull(), F.array(F.lit("bad json")))
-             .when(~is_object | meta.isNull() | files.isNull(), F.array(F.lit("missing metadata or files")))
-             .otherwise(F.array_compact(F.array(
-                 F.when(version.isNull(), "missing format version"),
-                 F.when(~F.schema_of_variant(files).startswith("ARRAY<"), "files not a list")))))
-    small = F.when(~F.col("large") & F.coalesce(F.schema_of_variant(files).startswith("ARRAY<"), F.lit(False)),
-                   F.coalesce(F.try_variant_get("doc", "$.files", _VARIANTS), F.array().cast(_VARIANTS)))
-
-    def flaws(is_entry, has, i):
-        keys = F.array_compact(F.array(*[F.when(~has(k), f"missing {k}") for k in fv.REQUIRED_ENTRY_KEYS]))
-        problems = F.when(is_entry, keys).otherwise(F.array(F.lit("entry not an object")))
+    def flaws(members, i):
+        keys = F.array_compact(F.array(*[F.when(json_member(members, k).isNull(), f"missing {k}") for k in fv.REQUIRED_ENTRY_KEYS]))
+        problems = F.when(members.isNotNull(), keys).otherwise(F.array(F.lit("entry not an object")))
         return F.transform(problems, lambda p: F.struct((i + 1).alias("entry"), p.alias("violation")))
 
-    def of_variant(entry, i):
-        return flaws(F.schema_of_variant(entry).startswith("OBJECT<"), lambda k: F.try_variant_get(entry, f"$.{k}", "variant").isNotNull(), i)
-
-    def of_text(entry, i):
-        return bind(F.from_json(entry, "map<string,string>", READING), lambda m: flaws(
-            m.isNotNull(), lambda k: F.coalesce(F.map_contains_key(m, F.lit(k)), F.lit(False)), i))
-
-    entries = F.coalesce(F.transform(small, of_variant), F.transform(F.when(F.col("large"), F.col("parts.files")), of_text))
-    found = F.concat(F.transform(whole, lambda v: F.struct(F.lit(0).alias("entry"), v.alias("violation"))),
-                     F.coalesce(F.flatten(entries),
-                                F.array().cast("array<struct<entry:int,violation:string>>")))
-    return (rows.select("archive_id", F.posexplode(found).alias("place", "v"))
+    def found(doc, top, items):
+        meta, files = json_member(top, "metadata"), json_member(top, "files")
+        whole = (F.when(doc.isNull(), F.array(F.lit("bad json")))
+                 .when(meta.isNull() | files.isNull(), F.array(F.lit("missing metadata or files")))
+                 .otherwise(F.array_compact(F.array(
+                     F.when(json_member(json_members(meta), fv.VERSION_KEY).isNull(), "missing format version"),
+                     F.when(items.isNull(), "files not a list")))))
+        entries = F.transform(items, lambda entry, i: bind(json_members(entry), lambda m: flaws(m, i)))
+        return F.concat(F.transform(whole, lambda v: F.struct(F.lit(0).alias("entry"), v.alias("violation"))),
+                        F.coalesce(F.flatten(entries),
+                                   F.array().cast("array<struct<entry:int,violation:string>>")))
+
+    # Bound, not columns: each row that holds them would be another copy of the outline.
+    rows = bind(json_outline(F.col("document")), lambda doc: bind(json_members(doc), lambda top: bind(
+        json_items(json_member(top, "files")), lambda items: found(doc, top, items))))
+    return (documents.select("archive_id", F.posexplode(rows).alias("place", "v"))
             .select("archive_id", "v.entry", "v.violation", (F.col("place") == 0).alias("is_first")))
 
 

@@ -191,6 +191,43 @@ def test_long_entries_survive_the_round_trip(spark):
     assert audit.audit_archives(documents).count() == 0
 
 
+def test_audits_do_not_depend_on_the_size_of_a_document(spark):
+    """20 million blanks in front of a document change no finding, whatever its shape."""
+    good, meta = {k: "x" for k in fv.REQUIRED_ENTRY_KEYS}, {fv.VERSION_KEY: "4"}
+    values = [{"metadata": meta, "files": [good, {"path": "a"}, 1, "text", [good], None, json.dumps(good)]}, {"metadata": meta, "files": {"a": 1}},
+              {"metadata": json.dumps(meta), "files": "[]"}, {"metadata": None, "files": None}, {"files": [{}]}, [good], "text", 12.5, None, {}]
+    texts = [json.dumps(v) for v in values] + [
+        "{'metadata': {'%s': 1}, 'files': []}" % fv.VERSION_KEY, '{"metadata": {"a": NaN}, "files": []}', '{"metadata": {}, "files": []} tail', "prose",
+        '{"metadata": {"%s": 1}, "files": [], "files": 1}' % fv.VERSION_KEY, '{"metadata": {"a": 01}, "files": []}', '{"files": [{"x": ', "1 2", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "archive_id int, document string").repartition(4)
+
+    def found(rows):
+        return sorted((r.archive_id, r.entry, r.violation, r.is_first) for r in audit.audit_archives(rows).collect())
+
+    small = found(df)
+    assert found(df.withColumn("document", F.concat(F.repeat(F.lit(" "), F.lit(20_000_000)), F.col("document")))) == small
+    assert [f for f in small if f[0] < 10 and f[1:3] not in [(2, f"missing {k}") for k in fv.REQUIRED_ENTRY_KEYS]] == [
+        (0, 3, "entry not an object", False), (0, 4, "entry not an object", False), (0, 5, "entry not an object", False),
+        (0, 6, "entry not an object", False), (0, 7, "entry not an object", False), (1, 0, "files not a list", True),
+        (2, 0, "files not a list", False), (2, 0, "missing format version", True), (3, 0, "files not a list", False), (3, 0, "missing format version", True),
+        (4, 0, "missing metadata or files", True), *[(4, 1, v, False) for v in sorted(f"missing {k}" for k in fv.REQUIRED_ENTRY_KEYS)],
+        *[(i, 0, "missing metadata or files", True) for i in range(5, 10)]]
+    assert [f[::2] for f in small if f[0] >= 10] == [(i, "bad json") for i in (10, 11, 12, 13, 15, 16, 17, 18)]
+
+
+def test_audits_read_strings_names_and_numbers_of_any_length(spark):
+    """Nothing long makes a document bad, nor hides what is broken behind it."""
+    head, word = '{"metadata": {"%s": ' % fv.VERSION_KEY, r'long \\ \"text\" \u00e9 '
+    middles = {"name": ('1, "', "n", 60_000, '": 1'), "string": ('"', word, 1_000_000, '"'), "number": ("", "7", 2_000, ""), "zeros": ("0.", "0", 2_000, "1"),
+               "bad escape": ('"', word, 1_000_000, r'\q"'), "line feed": ('"', "x", 2_000, '\n"'), "open": ('"', "x", 2_000, r'\"'),
+               "leading zeros": ("", "0", 2_000, ""), "two points": ("1.", "5", 2_000, ".5"), "sign": ("1", "2", 2_000, "-3")}
+    df = spark.createDataFrame([(k, *v) for k, v in middles.items()], "archive_id string, a string, b string, n int, c string").repartition(4)
+    documents = df.select("archive_id", F.expr("repeat(b, n)").alias("b"), "a", "c").select(
+        "archive_id", F.concat(F.lit(head), "a", "b", "c", F.lit('}, "files": []}')).alias("document"))
+    assert {r.archive_id: r.violation for r in audit.audit_archives(documents).collect()} == {
+        k: "bad json" for k in ("bad escape", "line feed", "open", "leading zeros", "two points", "sign")}
+
+
 def test_budgeted_pack(spark, corpus):
     files = corpus(*[(f"src/f{i}.txt", "word " * 50) for i in range(6)], ("README.md", "read me\n"), ("tests/test_a.txt", "t"))
     entries, meta = pack(files, "light", max_tokens=300)
